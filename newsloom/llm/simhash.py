@@ -122,6 +122,39 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owner)
 
 
+def _canonical(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The one key, of those that two fingerprints within MAX_BITS share, under which they are linked."""
+    part = lambda x, i: ((x >> _U(SEGMENTS[i][0])) & _U((1 << SEGMENTS[i][1]) - 1)).astype(np.int64)
+    apart = [np.bitwise_count(part(u ^ v, i)) for i in range(3)]
+    common = []
+    for i in range(3):
+        a, b = indices(part(u, i)), indices(part(v, i))
+        same = (a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]
+        common.append(np.where(same, a[:, :, None], 1 << 12).min((1, 2)).astype(np.int64))
+    out = 9 << 40 | common[0] << 24 | common[1] << 12 | common[2]
+    for i in reversed(range(3)):
+        for j in reversed(range(3)):
+            if i != j:
+                out = np.where((apart[i] == 0) & (apart[j] <= 2), 3 * i + j << 40 | part(u, i) << 12 | common[j], out)
+    return out
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of n nodes to the least of its component under the pairs (a, b), other than itself."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -172,7 +205,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links (u > v) under one key; fingerprints of over-full keys come back as (fp, null)."""
+    """Links under one key, at most one for each of its fingerprints, whose components are those of its verified pairs; a
+    pair is looked at under its canonical key alone. Fingerprints of over-full keys come back as (fp, null)."""
     for key, fp, over in _sorted_groups(batches):
         if over:
             u, v = fp, None
@@ -181,23 +215,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(np.concatenate([begins, [len(key)]]))
             group = np.repeat(size, size)
             big = group > BUCKET
-            us, vs = [fp[big]], []
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fp[big]), pa.nulls(int(big.sum()), pa.int64())], ["u", "v"])
             key, fp = key[~big], fp[~big]
             alive = np.arange(len(key))
+            firsts, seconds = [], []
             for step in range(1, BUCKET):
                 alive = alive[alive + step < len(key)]
                 alive = alive[key[alive] == key[alive + step]]
                 if not len(alive):
                     break
-                a, b = fp[alive], fp[alive + step]
-                good = np.bitwise_count((a ^ b).view(_U)) <= MAX_BITS
-                us.append(np.maximum(a, b)[good])
-                vs.append(np.minimum(a, b)[good])
-            if len(us[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.nulls(len(us[0]), pa.int64())], ["u", "v"])
-            if len(us) == 1:
+                near = alive[np.bitwise_count((fp[alive] ^ fp[alive + step]).view(_U)) <= MAX_BITS]
+                near = near[_canonical(fp[near].view(_U), fp[near + step].view(_U)) == key[near]]
+                firsts.append(near)
+                seconds.append(near + step)
+            if not firsts:
                 continue
-            u, v = np.concatenate(us[1:]), np.concatenate(vs)
+            moved, to = _forest(len(key), np.concatenate(firsts), np.concatenate(seconds))
+            u, v = fp[moved], fp[to]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v)], ["u", "v"])
 
@@ -221,8 +256,10 @@ def links(fps: DataFrame) -> DataFrame:
     exactly and in proportion to their number.
     """
     shape = "key long, fp long"
+    # each fingerprint makes some two hundred rows, so they are spread before, not after
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(
-        fps.mapInArrow(_keyed, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
+        fps.repartition(parts, "fp").mapInArrow(_keyed, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
     )
     direct = found.filter("v is not null")
     crowded = found.filter("v is null").select(F.col("u").alias("fp"))
