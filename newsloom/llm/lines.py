@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import cut
+
 MIN_DOCS = 10
 MIN_CHARS = 1
 SALTS = 64
@@ -20,7 +22,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def line_key(line: Column) -> Column:
     """The line without [\\x20\\x09-\\x0D] at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(_SPACE)), _UPPER, _UPPER.lower())
+    line = F.btrim(line, F.lit(_SPACE))
+    # lower() is quick but knows other letters too, so it takes ASCII alone
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(F.translate(line, _UPPER, _UPPER.lower()))
 
 
 def line_array(text: Column) -> Column:
@@ -51,7 +55,8 @@ def line_frequencies(hashes: DataFrame) -> DataFrame:
 def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """(doc_id, keep_runs array<int>) of each document that loses lines: how many lines in turn stay, go, stay, ...; lines
     after the last run stay. With keep_first the first place of a line stays (in the smallest doc_id, at the first position)."""
-    hashes = line_hashes(docs, min_chars)
+    # read once, for the ranges' bounds, the frequencies and the places
+    hashes = cut(line_hashes(docs, min_chars))
     if keep_first and min_docs <= 1:
         raise ValueError("keep_first needs min_docs of 2 or more")
     common = line_frequencies(hashes).filter(F.col("n_docs") >= min_docs)
