@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Network | None = None) -> DataFrame:
                     for i, m in zip(some, mean, strict=True):
                         if has_letter(texts[i]):
                             label[i] = model.langs[int(m.argmax())]
-                            score[i] = min(1.0, float(m.max()))
+                            score[i] = min(1.0, round(float(m.max()), 5))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(label), pa.array(score)], [*names, "lang_pred", "score"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -18,8 +18,8 @@ REPEATED = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Most percent inside the places of the one most frequent n-gram, by n, if it has at least TOP_TIMES places.
 TOP = {2: 20, 3: 18, 4: 16}
 TOP_TIMES = 3
-#: Most percent of lines, and of word characters in lines, that repeat an earlier line.
-LINES, LINE_CHARS = 30, 20
+#: Most percent of lines, and of word characters in lines, that repeat an earlier line, if MIN_DUP_LINES or more do.
+LINES, LINE_CHARS, MIN_DUP_LINES = 30, 20, 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -129,7 +129,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     over = lambda part, percent, whole: 100 * part > percent * whole
     rules = {f"repeated_{k}": over(F.col("repeated_chars")[i], p, F.col("word_chars")) for i, (k, p) in enumerate(REPEATED.items())}
     rules |= {f"top_{k}": over(F.col("top_chars")[i], p, F.col("word_chars")) for i, (k, p) in enumerate(TOP.items())}
-    rules |= {"lines": over(F.col("n_dup_lines"), LINES, F.col("n_lines")), "line_chars": over(F.col("dup_line_chars"), LINE_CHARS, F.col("word_chars"))}
+    some = F.col("n_dup_lines") >= MIN_DUP_LINES
+    rules |= {"lines": some & over(F.col("n_dup_lines"), LINES, F.col("n_lines")), "line_chars": some & over(F.col("dup_line_chars"), LINE_CHARS, F.col("word_chars"))}
     reasons = F.array_compact(F.array(F.when(failed, F.lit("base")), *(F.when(rule, F.lit(name)) for name, rule in rules.items())))
     return out.withColumn("base_failed", failed).withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
 

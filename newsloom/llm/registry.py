@@ -4,19 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import lines, packing, simhash, substring
+from newsloom.llm import cotraining, language, lines, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", *(of_kind(k) for k in ("assign", "access", "hex", "crf")), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("secrets")).alias("spans"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tiff.tiff_pages(tiff.text_media(table(spark, sf_dir, "documents")))
+    tail = F.expr("substring(pixels, -16, 16)")
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -27,12 +54,35 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(language.training_sample(docs)))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_line_dedup, op5_substring_dedup, op10_best_fit_packing)}
+    found = (
+        op1_secret_scan, op2_simhash_near_dedup, op3_tiff_media, op4_line_dedup, op5_substring_dedup,
+        op6_quality_cotraining, op7_repetition_rules, op8_language_id, op9_sentencepiece, op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
