@@ -2,12 +2,15 @@
 
 The whole corpus is the reference, in blocks that start at content-defined anchors: the least hash of the WINDOW - GRAM + 1
 word n-grams (n = GRAM) in a window is its anchor, so equal windows, wherever they stand, have equal anchors. A block is
-the set of windows under one anchor. Anchors that occur once are dropped before anything else is shuffled; for the rest,
-the windows of each block are indexed by hash and matched with their earliest place in the corpus.
+the run of windows under one anchor; it is indexed by its anchor and by a hash of its words.
 
-A document is then factored from left to right: a factor goes on while the next window continues the same earlier
-passage, and ends where it doesn't. Windows over a factor's end are looked up like any other, so a passage that is
-covered by two sources is found too. The words under factors of at least WINDOW words are the duplicate spans.
+Index entries are range-partitioned by anchor, block, document and place, so one pass over each range meets equal blocks
+together, earliest first, and no anchor is too common for one task. A block that stood before is a factor as a whole. The
+first places of blocks whose anchor has other blocks too are the edges of passages: there, window by window, the earliest
+equal window is looked up.
+
+A document is then factored from left to right: a factor goes on while what follows continues the same earlier passage,
+and ends where it doesn't. The words under factors, each at least WINDOW words, are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -17,122 +20,155 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.kernels import Words, blocks, grams, signed, sliding_min
+from newsloom.llm.kernels import Words, blocks, grams, mix, signed, sliding_min
+from newsloom.session import stash
 
 WINDOW = 20
 GRAM = 8
-#: Anchors with more places than this have their earliest windows aggregated before they meet any row.
-HOT = 4096
 _U = np.uint64
 _LOW = 20
 
 
 class Anchored(Words):
-    """Windows of a block of texts with their anchors; ``window``, ``text``, ``anchor`` (hash) and ``ordinal`` (of the anchor in its text)."""
+    """The blocks of some texts: ``text``, ``anchor``, ``block`` (hashes), ``start`` (word in its text) and ``size`` (windows)."""
 
     def __init__(self, texts: list[bytes]):
         super().__init__(texts)
-        self.words = self.hashes()
-        n = max(0, len(self.words) - WINDOW + 1)
+        words = self.hashes()
+        n = max(0, len(words) - WINDOW + 1)
         of = self.text_of()
         inside = of[:n] == of[WINDOW - 1 :][:n] if n else np.zeros(0, bool)
-        self.window = np.flatnonzero(inside)
-        self.text = of[:n][inside]
-        if not len(self.window):
-            self.anchor, self.ordinal = np.zeros(0, _U), np.zeros(0, np.int64)
+        window = np.flatnonzero(inside)
+        if not len(window):
+            self.text = self.start = self.size = np.zeros(0, np.int64)
+            self.anchor = self.block = np.zeros(0, _U)
             return
-        g = grams(self.words, GRAM)
+        of = of[window]
+        g = grams(words, GRAM)
         # the place in the low bits: ties go to the leftmost
         low = _U((1 << _LOW) - 1)
-        least = sliding_min((g & ~low) | (np.arange(len(g), dtype=_U) & low), WINDOW - GRAM + 1)[self.window]
-        at = self.window + (((least & low).astype(np.int64) - self.window) & ((1 << _LOW) - 1))
-        self.anchor = g[at]
+        least = sliding_min((g & ~low) | (np.arange(len(g), dtype=_U) & low), WINDOW - GRAM + 1)[window]
+        at = window + (((least & low).astype(np.int64) - window) & ((1 << _LOW) - 1))
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (self.text[1:] != self.text[:-1])
-        self.is_new = new
-        count = np.cumsum(new)
-        begin = np.searchsorted(self.text, np.arange(len(texts)))
-        base = count[np.minimum(begin, len(count) - 1)]
-        self.ordinal = count - base[self.text]
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+        head = np.flatnonzero(new)
+        self.size = np.diff(np.append(head, len(at)))
+        self.text = of[head]
+        self.anchor = g[at[head]]
+        self.start = window[head] - self.first[self.text]
+        # a block is no longer than its first and last windows together
+        whole = grams(words, WINDOW)
+        self.block = mix(whole[window[head]] * _U(3) + whole[window[head] + self.size - 1] * _U(5) + self.size.astype(_U))
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in blocks(batch):
             b = Anchored(texts)
-            if len(b.window):
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+            if len(b.text):
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(b.anchor[b.is_new])), pa.array(doc[b.text[b.is_new]].astype(np.int64)), pa.array(b.ordinal[b.is_new].astype(np.int32))],
-                    ["anchor", "doc_id", "ordinal"],
+                    [pa.array(signed(b.anchor)), pa.array(signed(b.block)), pa.array(doc[b.text]), pa.array(b.start.astype(np.int32)), pa.array(b.size.astype(np.int32))],
+                    ["anchor", "block", "doc_id", "start", "size"],
                 )
 
 
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of index entries in order: places of blocks that stand before in the range, with the first place, and
+    (with null) first places of blocks whose anchor has other blocks too or touches an end of the range."""
+    began = None  # the range's first anchor
+    anchor = block = np.zeros(1, np.int64)
+    head = np.zeros(2, np.int64)
+    held: tuple[int, int, int, bool] | None = None  # the last first place: doc, start, size, whether it is known to be needed
+
+    def batch_of(doc, start, size, from_doc=None, from_start=None):
+        empty = lambda x, t: pa.nulls(len(doc), t) if x is None else pa.array(x, t)
+        arrays = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), empty(from_doc, pa.int64()), empty(from_start, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "size", "from_doc", "from_start"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, doc, start, size = (batch.column(c).to_numpy() for c in ("anchor", "block", "doc_id", "start", "size"))
+        new_anchor = np.concatenate([[began is None or a[0] != anchor[0]], a[1:] != a[:-1]])
+        new = new_anchor | np.concatenate([[began is None or b[0] != block[0]], b[1:] != b[:-1]])
+        began = a[0] if began is None else began
+        firsts = np.flatnonzero(new)
+        at = np.cumsum(new)
+        from_doc = np.concatenate([head[:1], doc[firsts]])[at]
+        from_start = np.concatenate([head[1:], start[firsts]])[at]
+        copy = ~new & ((from_doc != doc) | (from_start != start))
+        if copy.any():
+            yield batch_of(doc[copy], start[copy], size[copy], from_doc[copy], from_start[copy])
+        if len(firsts):
+            beside = ~new_anchor[firsts]  # another block of the anchor comes before
+            need = beside | (a[firsts] == began)
+            need[:-1] |= beside[1:]
+            if held is not None and (held[3] or beside[0]):
+                yield batch_of(*([x] for x in held[:3]))
+            pick = firsts[:-1][need[:-1]]
+            if len(pick):
+                yield batch_of(doc[pick], start[pick], size[pick])
+            last = firsts[-1]
+            held = int(doc[last]), int(start[last]), int(size[last]), bool(need[-1])
+        anchor, block = a[-1:], b[-1:]
+        head = np.array([from_doc[-1], from_start[-1]])
+    if held is not None:
+        yield batch_of(*([x] for x in held[:3]))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows under the anchors in ``shared`` (ordinals): hash, 32 bits of the anchor, doc_id, start."""
+    """The windows of the blocks listed in ``edges`` (start, size): 96 bits of hash, doc_id, start."""
     for batch in batches:
         for part, texts in blocks(batch):
-            b = Anchored(texts)
-            shared = part.column("shared")
-            of = np.repeat(np.arange(len(texts)), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            total = np.bincount(b.text, weights=None, minlength=len(texts)) if len(b.window) else np.zeros(len(texts), np.int64)
-            begin = np.concatenate([[0], np.cumsum(total)])
-            marked = np.zeros(begin[-1] + 1, bool)
-            ordinal = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            good = ordinal < total[of]
-            marked[(begin[of] + ordinal)[good]] = True
-            pick = marked[begin[b.text] + b.ordinal] if len(b.window) else np.zeros(0, bool)
-            if not pick.any():
+            words = Words(texts)
+            h = words.hashes()
+            edges = part.column("edges")
+            count = edges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = edges.flatten()
+            start, size = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            text = np.repeat(np.repeat(np.arange(len(texts)), count), size)
+            start = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            good = start + WINDOW <= words.n[text]
+            text, start = text[good], start[good]
+            if not len(start):
                 continue
-            window, text = b.window[pick], b.text[pick]
+            at = start + words.first[text]
             doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(grams(b.words, WINDOW)[window])),
-                    pa.array((b.anchor[pick] >> _U(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(doc[text]),
-                    pa.array((window - b.first[text]).astype(np.int32)),
-                ],
-                ["w", "a", "doc_id", "start"],
-            )
+            more = (grams(h, WINDOW - 1)[at] >> _U(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams(h, WINDOW)[at])), pa.array(more), pa.array(doc[text]), pa.array(start.astype(np.int32))], ["w", "x", "doc_id", "start"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, from_doc, from_start) of every window that also starts earlier, with the earliest such place."""
+    """(doc_id, start, size, from_doc, from_start): runs of windows that also start earlier, and where."""
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    anchors = known.mapInArrow(_anchors, "anchor long, doc_id long, ordinal int")
-    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = anchors.join(shared, "anchor").groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("n") <= HOT, F.col("ordinal"))).alias("cold"),
-        F.collect_list(F.when(F.col("n") > HOT, F.col("ordinal"))).alias("hot"),
-    )
-
-    def windows(kind: str) -> DataFrame:
-        some = marked.filter(F.size(kind) > 0).select("doc_id", F.col(kind).alias("shared"))
-        return known.join(some, "doc_id").mapInArrow(_windows, "w long, a int, doc_id long, start int")
-
+    order = ["anchor", "block", "doc_id", "start"]
+    index = known.mapInArrow(_index, "anchor long, block long, doc_id long, start int, size int").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stash(index.mapInArrow(_match, "doc_id long, start int, size int, from_doc long, from_start int"))
+    edges = found.filter("from_doc is null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("edges"))
+    windows = known.join(edges, "doc_id").mapInArrow(_windows, "w long, x int, doc_id long, start int")
     place = F.struct("doc_id", "start")
-    order = Window.partitionBy("w", "a").orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, 0)
-    cold = windows("cold").withColumn("first", F.first(place).over(order))
-    least = windows("hot").groupBy("w", "a").agg(F.min(place).alias("first"))
-    hot = windows("hot").join(least, ["w", "a"])
-    out = [x.filter(F.col("first") < place).select("doc_id", "start", F.col("first.doc_id").alias("from_doc"), F.col("first.start").alias("from_start")) for x in (cold, hot)]
-    return out[0].unionByName(out[1])
+    # minima before the join: a window in very many blocks is one row of it
+    least = windows.groupBy("w", "x").agg(F.min(place).alias("first"))
+    again = windows.join(least, ["w", "x"]).filter(F.col("first") < place)
+    return found.filter("from_doc is not null").unionByName(
+        again.select("doc_id", "start", F.lit(1).alias("size"), F.col("first.doc_id").alias("from_doc"), F.col("first.start").alias("from_start"))
+    )
 
 
-def factor(start: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray) -> list[tuple[int, int, int, int]]:
+def factor(start: np.ndarray, size: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Factors (start, words, from_doc, from_start) of one document, greedily from the left, from its repeated windows."""
     if not len(start):
         return []
     order = np.argsort(start, kind="stable")
-    start, from_doc, from_start = start[order], from_doc[order], from_start[order]
-    go = (np.diff(start) == 1) & (np.diff(from_doc) == 0) & (np.diff(from_start) == 1)
+    start, size, from_doc, from_start = start[order], size[order], from_doc[order], from_start[order]
+    go = (np.diff(start) == size[:-1]) & (np.diff(from_doc) == 0) & (np.diff(from_start) == size[:-1])
     begin = np.concatenate([[0], np.flatnonzero(~go) + 1])
     end = np.concatenate([begin[1:], [len(start)]]) - 1
-    return [(int(start[b]), int(start[e] - start[b] + WINDOW), int(from_doc[b]), int(from_start[b])) for b, e in zip(begin, end, strict=True)]
+    return [(int(start[b]), int(start[e] + size[e] - start[b] + WINDOW - 1), int(from_doc[b]), int(from_start[b])) for b, e in zip(begin, end, strict=True)]
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +177,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = batch.column("hits")
         flat = hits.flatten()
         lengths = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        parts = [flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        parts = [flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
         at = 0
         for text, n in zip(batch.column("text").to_pylist(), lengths, strict=True):
             words = (text or b"").split()
@@ -170,7 +206,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     as often; if their texts differ, each loses the spans found for that doc_id. Other columns are ignored; an empty table
     gives no rows.
     """
-    hit = F.struct("start", "from_doc", "from_start")
+    hit = F.struct("start", "size", "from_doc", "from_start")
     per_doc = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     shape = "doc_id long, text binary, n_words long, n_removed long, factors array<struct<start:int,words:int,from_doc:long,from_start:int>>"

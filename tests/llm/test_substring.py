@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from newsloom.llm import substring
 
@@ -36,9 +37,9 @@ def make(n, seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 4096), (2, 4096), (3, 2)])
-def test_against_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize(("seed", "parts"), [(1, 1), (2, 4), (3, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, parts):
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *c, f=DataFrame.repartitionByRange: f(self, parts, *c))
     rows = [*make(60, seed), (60, None), (61, ""), (62, "a b")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, factors int").repartition(3)
     got = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
@@ -63,5 +64,5 @@ def test_repeats_null_ids_and_empty(spark):
 
 
 def test_factor_splits_where_the_source_changes():
-    start, doc, at = np.array([0, 1, 2, 3, 9]), np.array([7, 7, 8, 8, 8]), np.array([5, 6, 0, 1, 7])
-    assert substring.factor(start, doc, at) == [(0, 21, 7, 5), (2, 21, 8, 0), (9, 20, 8, 7)]
+    start, size, doc, at = np.array([0, 5, 6, 7, 20]), np.array([5, 1, 1, 3, 1]), np.array([7, 7, 8, 8, 8]), np.array([5, 10, 0, 1, 7])
+    assert substring.factor(start, size, doc, at) == [(0, 25, 7, 5), (6, 23, 8, 0), (20, 20, 8, 7)]
