@@ -5,19 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from newsloom.session import table
+from newsloom.plans import documents, events, pages, relational
 
-
-def exact_duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+_ALL = documents.QUERIES | events.QUERIES | pages.QUERIES | relational.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"exact_duplicate_summary": exact_duplicate_summary}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"exact_duplicate_summary": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
