@@ -80,7 +80,7 @@ def clean_authors(values: Column | str) -> Column:
 
 def paragraphs(text: Column | str) -> Column:
     """Lines with something on them, trimmed."""
-    return F.filter(F.transform(F.split(_col(text), "\n+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(_col(text), "\n+"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
 
 def strip_site_name(title: Column | str, site: Column | str) -> Column:

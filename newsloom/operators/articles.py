@@ -124,3 +124,17 @@ def build_articles(extracted: DataFrame, min_words: int = MIN_WORDS, threshold:
         reasons.alias("reasons"),
         needs_fallback(confidence(b, min_words), score, prior, F.col("signals")["page_words"], noindex, min_words).alias("needs_fallback"),
     )
+
+
+def trace(extracted: DataFrame, clip: int = 500) -> DataFrame:
+    """(page_id, trace) with every strategy's candidates as JSON, for people who look into one page; long values are clipped."""
+    shown = F.transform(
+        "candidates",
+        lambda c: F.struct(c["source"].alias("strategy"), c["field"].alias("field"), F.substring(c["value"], 1, clip).alias("value"), c["values"].alias("values"), c["confidence"].alias("confidence")),
+    )
+    return extracted.select("page_id", F.to_json(F.struct(shown.alias("candidates"), "signals", "directives", F.slice("links", 1, 100).alias("links"), "feeds", "errors")).alias("trace"))
+
+
+def first_of(meta: Column, keys: list[str]) -> Column:
+    """The first value of the first of the keys that a map of lists has."""
+    return F.coalesce(*(F.try_element_at(F.try_element_at(meta, F.lit(k)), F.lit(1)) for k in keys))

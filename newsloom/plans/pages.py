@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import dates, urls
+from newsloom.functions import dates, display, http, urls
 from newsloom.operators import articles, crawl
 from newsloom.session import table
 from newsloom.sources import feeds, robots
@@ -225,6 +225,27 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd").alias("day"))
 
 
+def stored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored twice, compressed; the newer source is read back."""
+    p = pages(spark, sf_dir)
+    raw = p.select(F.col("page_id").alias("id"), (F.col("page_id") % 50).alias("article_id"), http.gzip_text("html").alias("content"))
+    return http.newest_source(raw).select("article_id", F.sha2("html", 256).alias("html_sha256"))
+
+
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML or not, by declared types and by content."""
+    n = F.col("page_id") % 3
+    declared = F.when(n == 0, "text/html; charset=utf-8").when(n == 1, "application/pdf")
+    return pages(spark, sf_dir).select("page_id", http.is_html(declared, "html").alias("is_html"))
+
+
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pause before each of a page's retries, and in words."""
+    p = pages(spark, sf_dir).select("page_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("attempt"))
+    pause = http.backoff_seconds("attempt", (F.col("page_id") % 5) / 4)
+    return p.select("page_id", "attempt", F.round(pause, 4).alias("seconds"), display.duration(pause * 100).alias("shown"))
+
+
 _HOST = "lower(regexp_replace(regexp_extract(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '^(?:.*@)?([^:]*)', 1), '\\.+$', ''))"
 _LAST = "array_to_string(list_slice(string_split({h}, '.'), greatest(len(string_split({h}, '.')) - {n} + 1, 1), len(string_split({h}, '.'))), '.')"
 _DOMAIN = "CASE WHEN {two} IN ({names}) THEN {three} ELSE {two} END".format(two=_LAST.format(h=_HOST, n=2), three=_LAST.format(h=_HOST, n=3), names=", ".join(f"'{x}'" for x in urls.TWO_LEVEL))
@@ -282,4 +303,11 @@ SELECT page_id, CASE WHEN o LIKE '%org' THEN true WHEN contains(o, '//m.') THEN
     "sitemap_rows": (sitemap_rows, f"SELECT page_id, 'sitemap' AS via, normal, strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') AS lastmod FROM {_PLAIN_URL}"),
     "feed_rows": (feed_rows, f"SELECT 'T' || page_id AS title, 'feed' AS via, normal, strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') || ' 08:30' AS published FROM {_PLAIN_URL}"),
     "date_forms": (date_forms, "SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-01-03' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"),
+    "stored_sources": (stored_sources, "SELECT page_id % 50 AS article_id, sha256(arg_max(html, page_id)) AS html_sha256 FROM pages GROUP BY 1"),
+    "content_kinds": (content_kinds, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html)') END AS is_html FROM pages"),
+    "retry_schedule": (
+        retry_schedule,
+        """SELECT page_id, attempt, round(s, 4) AS seconds, CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE (t // 3600) || 'h ' || (t // 60 % 60) || 'm' END AS shown
+FROM (SELECT *, CAST(floor(s * 100) AS BIGINT) AS t FROM (SELECT page_id, attempt, least(30.0, 0.5 * pow(2.0, attempt - 1)) * (0.5 + (page_id % 5) / 4 / 2) AS s FROM pages, (SELECT unnest(range(1, 9))::INTEGER AS attempt)))""",
+    ),
 }
