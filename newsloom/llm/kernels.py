@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled in one go. Only a single longer document makes a larger block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,20 +44,16 @@ def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[kind]
 
 
-def text_list(column: pa.Array) -> list[bytes]:
-    """Binary column to bytes; null counts as empty."""
-    return [t or b"" for t in column.to_pylist()]
-
-
 def blocks(batch: pa.RecordBatch, name: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batch whose texts have about ``most`` bytes."""
-    texts = text_list(batch.column(name))
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= most or i + 1 == len(texts):
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-            begin, size = i + 1, 0
+    """Slices of the batch whose texts have about ``most`` bytes, with these texts; a null one counts as empty."""
+    size = np.cumsum(pc.add(pc.fill_null(pc.binary_length(batch.column(name)), 0), 1).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(size):
+        done = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, done + most, "right")))
+        part = batch.slice(begin, end - begin)
+        yield part, [t or b"" for t in part.column(name).to_pylist()]
+        begin = end
 
 
 class Words:

@@ -154,31 +154,38 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
+def _picked(text: bytes) -> bytes:
+    """WINDOWS_PER_TEXT evenly spaced windows of a text (fewer if it has fewer), one after the other, filled up with spaces."""
+    n = -(-len(text) // WINDOW)
+    at = sorted({round(i * (n - 1) / max(1, WINDOWS_PER_TEXT - 1)) for i in range(WINDOWS_PER_TEXT)}) if n and has_letter(text) else []
+    return b"".join(text[i * WINDOW : (i + 1) * WINDOW].ljust(WINDOW) for i in at)
+
+
 def training_sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(lang, text) of about per_language texts of each language, by hash of doc_id; held-out documents and nulls are left out."""
+    """(lang, windows) of about per_language texts of each language, by hash of doc_id; held-out documents and nulls are left
+    out. Texts stay where they are: the driver gets a few windows of each."""
     known = docs.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in blocks(batch):
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([_picked(t) for t in texts], pa.binary())], ["lang", "h", "windows"])
+
     share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_language / n))))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = picked.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h")).collect()
-    return [(r["lang"], bytes(r["text"])) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["text"])))]
+    rows = picked.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, h long, windows binary").collect()
+    return [(r["lang"], bytes(r["windows"])) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["windows"])))]
 
 
 def learn(sample: list[tuple[str, bytes]]) -> Network | None:
-    """A network trained on up to WINDOWS_PER_TEXT evenly spaced windows of each text; None without texts."""
+    """A network trained on windows; None without any."""
     langs = sorted({lang for lang, _ in sample})
-    xs, ys = [], []
-    for lang, text in sample:
-        x, n = windows([text])
-        if n[0] and has_letter(text):
-            pick = np.unique(np.linspace(0, n[0] - 1, WINDOWS_PER_TEXT).astype(int))
-            xs.append(x[pick])
-            ys += [langs.index(lang)] * len(pick)
-    if not xs:
-        return None
-    return Network(langs).train(np.concatenate(xs), np.array(ys))
+    x = CLASS_OF[np.frombuffer(b"".join(w for _, w in sample), np.uint8)].reshape(-1, WINDOW)
+    y = np.repeat([langs.index(lang) for lang, _ in sample], [len(w) // WINDOW for _, w in sample])
+    return Network(langs).train(x, y) if len(x) else None
 
 
 def identify(docs: DataFrame, model: Network | None = None) -> DataFrame:
@@ -195,7 +202,7 @@ def identify(docs: DataFrame, model: Network | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in batches:
-            for part, texts in blocks(batch, "_bytes"):
+            for part, texts in blocks(batch):
                 label: list[str] = [UNKNOWN] * len(texts)
                 score = np.zeros(len(texts))
                 x, n = windows(texts)
@@ -210,5 +217,7 @@ def identify(docs: DataFrame, model: Network | None = None) -> DataFrame:
                             score[i] = min(1.0, round(float(m.max()), 5))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(label), pa.array(score)], [*names, "lang_pred", "score"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, f"{shape}, lang_pred string, score double")
+    # text travels once, as bytes
+    shape = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"{shape}, lang_pred string, score double")
+    return out.withColumn("text", F.col("text").cast("string"))

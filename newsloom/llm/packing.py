@@ -30,22 +30,27 @@ SWEEPS = 30
 #: Documents of equal length are ranked in so many parts.
 SALTS = 64
 
-#: Text in which both tokenizer libraries below cut words alike for certain; anything else takes the slower one.
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]|<\|endoftext\|>")
+#: Where the two tokenizer libraries below might cut words differently; such texts take the slower one.
+_UNSURE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]|<\|endoftext\|>")
 
 
 @cache
-def _encoders(path: str, ranks_path: str):
+def _full(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _quick(ranks_path: str):
     import base64
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    quick = tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), quick
+    return tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -57,8 +62,7 @@ def tokenizer_paths() -> tuple[str, str]:
 
 def encode(text: str, paths: tuple[str, str]) -> list[int]:
     """Token ids of a text. Both libraries hold one vocabulary and give equal ids; the quick one is used where that is certain."""
-    full, quick = _encoders(*paths)
-    return full.encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else quick.encode_ordinary(text)
+    return _full(paths[0]).encode(text, add_special_tokens=False).ids if _UNSURE.search(text) else _quick(paths[1]).encode_ordinary(text)
 
 
 def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -365,7 +365,7 @@ def scan(docs: DataFrame, field: Field | None = None, redact: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch, "_bytes"):
+            for part, texts in blocks(batch):
                 found, changed = [], []
                 for text, spans in zip(texts, scan_block(texts, field), strict=True):
                     found.append(_points(text, spans))
@@ -374,13 +374,13 @@ def scan(docs: DataFrame, field: Field | None = None, redact: str | None = None)
                 columns = {c: part.column(c) for c in names}
                 if redact is not None:
                     # texts with no span keep their value, null too
-                    columns["text"] = pa.array([c if f else t for c, f, t in zip(changed, found, part.column("_bytes").to_pylist(), strict=True)], pa.binary())
+                    columns["text"] = pa.array([c if f else t for c, f, t in zip(changed, found, part.column("text").to_pylist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(found, pa.list_(SPAN))], [*names, "secrets"])
 
-    kind = lambda f: "binary" if redact is not None and f.name == "text" else f.dataType.simpleString()
-    shape = ", ".join(f"`{f.name}` {kind(f)}" for f in docs.schema.fields)
-    out = docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, f"{shape}, secrets array<struct<kind:string,start:long,end:long>>")
-    return out.withColumn("text", F.col("text").cast("string")) if redact is not None else out
+    # text travels once, as bytes
+    shape = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"{shape}, secrets array<struct<kind:string,start:long,end:long>>")
+    return out.withColumn("text", F.col("text").cast("string"))
 
 
 def _points(text: bytes, spans: list[tuple[int, int, str]]) -> list[dict]:
