@@ -59,7 +59,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     hashes = cut(line_hashes(docs, min_chars))
     if keep_first and min_docs <= 1:
         raise ValueError("keep_first needs min_docs of 2 or more")
-    common = line_frequencies(hashes).filter(F.col("n_docs") >= min_docs)
+    # cut, so that the join below has plain exchanges on both sides and a very common line can be split
+    common = cut(line_frequencies(hashes).filter(F.col("n_docs") >= min_docs))
     if keep_first:
         dropped = hashes.join(common, ["h", "g"]).filter("doc_id != first_doc or pos != first_pos")
     else:

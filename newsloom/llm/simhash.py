@@ -259,7 +259,7 @@ def links(fps: DataFrame) -> DataFrame:
     # each fingerprint makes some two hundred rows, so they are spread before, not after
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(
-        fps.repartition(parts, "fp").mapInArrow(_keyed, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
+        fps.repartition(parts, F.xxhash64("fp")).mapInArrow(_keyed, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
     )
     direct = found.filter("v is not null")
     crowded = found.filter("v is null").select(F.col("u").alias("fp"))
