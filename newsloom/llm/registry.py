@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import cotraining, language, lines, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
+from newsloom.llm import cotraining, language, lines, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

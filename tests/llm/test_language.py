@@ -78,4 +78,11 @@ def test_held_out_documents_teach_nothing(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "aa") for i in range(200)], "doc_id long, text string, lang string")
     sample = language.training_sample(docs)
     held = {f"text {i}".encode() for i in range(200) if crc32(str(i).encode()) % 4 == 2}
-    assert sample and held and not held & {t for _, t in sample}
+    assert sample and held and not held & {w.rstrip() for _, w in sample}
+
+
+def test_picked_windows():
+    text = b"".join(bytes([97 + i]) * 192 for i in range(9)) + b"z"
+    got = language._picked(text)
+    assert [got[i : i + 1] for i in range(0, len(got), 192)] == [b"a", b"d", b"g", b"z"] and len(got) == 4 * 192
+    assert language._picked(b"") == language._picked(b"123") == b"" and language._picked(b"ab") == b"ab".ljust(192)
