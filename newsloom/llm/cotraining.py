@@ -24,7 +24,7 @@ MAX_LABELLED, MAX_POOL = 3000, 3000
 ROUNDS = 4
 #: Share of the pool that a view labels in a round, for each class at most, and how sure it must be.
 PER_ROUND, SURE = 0.05, 0.9
-BUCKETS = 1 << 12
+BUCKETS = 1 << 11
 HELD_OUT = 5
 L2 = 1e-3
 
@@ -71,17 +71,25 @@ def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
+def vectors(texts: list[bytes]) -> np.ndarray:
+    """(texts, BUCKETS + DENSE): counts of word buckets over the root of the number of words, and dense features."""
+    bucket, n, dense = text_view(texts)
+    of = np.repeat(np.arange(len(texts)), n)
+    counts = np.bincount(of * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+    return np.hstack([counts / np.sqrt(np.maximum(n, 1))[:, None], dense]).astype(np.float32)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 150, l2: float = L2) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression, by Adam on the whole set."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.ones(len(y)) if weight is None else weight
-    w = m = s = np.zeros(x.shape[1])
+    w = m = s = np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
-        g = x.T @ ((_sigmoid(x @ w) - y) * weight) / weight.sum() + l2 * np.append(w[:-1], 0)
+        e = (_sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y) * weight / weight.sum()
+        g = np.append(x.T @ e.astype(x.dtype) + l2 * w[:-1], e.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
     return w
@@ -116,25 +124,18 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(c[4] + c[5] * a + c[6] * b)
 
 
-def _matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words as (texts, BUCKETS) counts over the root of their number, and dense features."""
-    bucket, n, dense = text_view(texts)
-    of = np.repeat(np.arange(len(texts)), n)
-    counts = np.bincount(of * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.float32)
-    return counts / np.sqrt(np.maximum(n, 1))[:, None], dense
-
-
 def learn(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Model | None:
-    """A model from rows (text, source, lang, n_chars, label) and pool rows without label; None without labels of both kinds."""
+    """A model from rows (vector, source, lang, n_chars, label) and pool rows without label; None without labels of both kinds."""
     y = np.array([r[4] for r in labelled], float)
     if len(set(y.tolist())) < 2:
         return None
     rows = [*labelled, *pool]
-    counts, dense = _matrix([r[0] for r in rows])
+    text = np.stack([r[0] for r in rows])
+    dense = text[:, BUCKETS:]
     scale = dense.mean(0), dense.std(0) + 1e-6
-    text = np.hstack([counts, (dense - scale[0]) / scale[1]])
+    dense[:] = (dense - scale[0]) / scale[1]
     places = meta_view(*zip(*(r[1:4] for r in rows), strict=True))
-    meta = np.zeros((len(rows), META))
+    meta = np.zeros((len(rows), META), np.float32)
     np.put_along_axis(meta, places, 1.0, 1)
     views = (text, meta)
     fold = np.arange(len(labelled)) % HELD_OUT == 0
@@ -172,23 +173,33 @@ def learn(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Mod
     return Model(w[0][:BUCKETS].astype(float), w[0][BUCKETS:-1], scale, float(w[0][-1]), w[1][:-1], float(w[1][-1]), np.array(calibration))
 
 
+def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text replaced by its vector, which has one size however long the text is."""
+    for batch in batches:
+        for part, texts in blocks(batch):
+            arrays = [part.column(n) for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([v.tobytes() for v in vectors(texts)], pa.binary())], [*(n for n in part.schema.names if n != "text"), "vector"])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[list[tuple], list[tuple]]:
-    """Up to about MAX_LABELLED rows with labels, and up to about MAX_POOL without, by hash of doc_id."""
-    docs = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    """(vector, source, lang, n_chars, label) of up to about MAX_LABELLED rows with labels, and up to about MAX_POOL without, by
+    hash of doc_id. Texts stay where they are: the driver gets vectors of a fixed size."""
+    docs = docs.filter("doc_id is not null").select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), F.col("text").cast("binary").alias("text"))
+    labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     n_docs, n_labels = docs.count(), labels.count()
     if not n_labels or not n_docs:
         return [], []
+    shape = "doc_id long, source string, lang string, n_chars long, {}vector binary"
     # the sample of labels has a fixed bound, which makes it fit for a broadcast
     some = labels.filter(ticket < min(1.0, MAX_LABELLED / n_labels) * (1 << 20)).limit(2 * MAX_LABELLED)
-    names = ["text", "source", "lang", "n_chars"]
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", *names, "label").collect()
-    # every other ticket of a range as wide as the bound; those with a label are known already
-    loose = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < min(1.0, MAX_POOL / n_docs) * (1 << 20)).select("doc_id", *names).collect()
-    order = lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["text"] or b""))
+    marked = docs.join(F.broadcast(some), "doc_id").select("doc_id", "source", "lang", "n_chars", "label", "text")
+    rows = marked.mapInArrow(_vector_rows, shape.format("label int, ")).collect()
+    # tickets of their own; those with a label are known already
+    loose = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < min(1.0, MAX_POOL / n_docs) * (1 << 20)).mapInArrow(_vector_rows, shape.format("")).collect()
+    order = lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["vector"]))
     seen = {r["doc_id"] for r in rows}
-    row = lambda r: (bytes(r["text"] or b""), r["source"], r["lang"], r["n_chars"])
+    row = lambda r: (np.frombuffer(r["vector"], np.float32), r["source"], r["lang"], r["n_chars"])
     return [(*row(r), r["label"]) for r in sorted(rows, key=order)], [row(r) for r in sorted(loose, key=order) if r["doc_id"] not in seen]
 
 
