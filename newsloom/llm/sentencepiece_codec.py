@@ -24,7 +24,7 @@ from newsloom.llm.kernels import blocks
 MARK = "▁"
 #: Score of a character written in bytes, below any sum of piece scores that covers it.
 BYTE_SCORE = -1e6
-#: Distinct words whose ids are remembered.
+#: Distinct words whose ids are remembered at least, and twice as many at most.
 CACHE = 1 << 18
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -43,6 +43,8 @@ class Codec:
         # words can be cut before a run of marks if marks stand only at the head of pieces
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
+        self.bytes_of = {i: p.encode() for i, p in self.text_of.items()} | {i: bytes((b,)) for i, b in self.byte_of.items()}
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -64,21 +66,15 @@ class Codec:
         best = [0.0] + [-np.inf] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         done = 0  # positions up to here are final
-
-        def settle(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                done += 1
-                # a character can always be written in bytes
-                if best[done - 1] + BYTE_SCORE > best[done]:
-                    best[done], back[done] = best[done - 1] + BYTE_SCORE, (1, -1)
-
         for end, (size, score, i) in self.automaton.iter(marked):
-            settle(end)
+            if done < end:
+                self._settle(best, back, done, end)
+                done = end
             total = best[end + 1 - size] + score
-            if total > best[end + 1] or total == best[end + 1] and size > back[end + 1][0]:
+            held = best[end + 1]
+            if total > held or total == held and size > back[end + 1][0]:
                 best[end + 1], back[end + 1] = total, (size, i)
-        settle(n)
+        self._settle(best, back, done, n)
         out: list[int] = []
         at = n
         while at:
@@ -87,6 +83,13 @@ class Codec:
             at -= size
         return out[::-1]
 
+    @staticmethod
+    def _settle(best: list[float], back: list[tuple[int, int]], done: int, upto: int) -> None:
+        """Make positions final: a character can always be written in bytes."""
+        for at in range(done + 1, upto + 1):
+            if best[at - 1] + BYTE_SCORE > best[at]:
+                best[at], back[at] = best[at - 1] + BYTE_SCORE, (1, -1)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text: a mark is put before it, and spaces become marks; an empty text has none."""
         if not text:
@@ -98,22 +101,17 @@ class Codec:
         for word in _WORD.findall(marked):
             ids = self.seen.get(word)
             if ids is None:
-                ids = tuple(self.viterbi(word))
+                ids = self.before.get(word) or tuple(self.viterbi(word))
+                # two generations: words that are met again move to the younger one
                 if len(self.seen) >= CACHE:
-                    self.seen.clear()
+                    self.before, self.seen = self.seen, {}
                 self.seen[word] = ids
             out.extend(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters. Unknown ids are an error."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            else:
-                out += self.text_of[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
