@@ -17,8 +17,11 @@ SHINGLE, BANDS, MAX_DISTANCE = 3, 4, 3
 
 def content_hash(text: Column | str, compose: bool = False) -> Column:
     """SHA-256 of the normal form in hex; NULL if that is empty. ``compose`` applies NFKC first (an Arrow UDF)."""
-    normal = normalize_for_hash(nfkc(_col(text)) if compose else text)
-    return F.when(normal != "", F.sha2(normal, 256))
+    return hash_of_normal(normalize_for_hash(nfkc(_col(text)) if compose else text))
+
+
+def hash_of_normal(normal: Column | str) -> Column:
+    return F.when(_col(normal) != "", F.sha2(_col(normal), 256))
 
 
 def simhash_words(words: list[str]) -> int | None:
@@ -41,6 +44,10 @@ def simhash64(text: Column | str) -> Column:
     return _simhash(normalize_for_hash(text))
 
 
+def simhash_of_normal(normal: Column | str) -> Column:
+    return _simhash(_col(normal))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(_col(a).bitwiseXOR(_col(b)))
 

@@ -10,9 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Letters, digits and underscore of all scripts; space characters of all scripts.
-NOT_WORD = r"[^\p{L}\p{N}_\s]"
-SPACES = r"(?U)\s+"
+#: Runs of what is no letter, digit or underscore of any script.
+NOT_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -21,8 +20,7 @@ def _col(c: Column | str) -> Column:
 
 def normalize_for_hash(text: Column | str) -> Column:
     """Lower case, punctuation to spaces, runs of spaces to one, none at the ends. Text is taken as NFKC already; see nfkc()."""
-    spaced = F.regexp_replace(F.lower(_col(text)), NOT_WORD, " ")
-    return F.trim(F.regexp_replace(spaced, SPACES, " "))
+    return F.trim(F.regexp_replace(F.lower(_col(text)), NOT_WORDS, " "))
 
 
 @F.pandas_udf(StringType())
@@ -33,7 +31,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def word_count(text: Column | str) -> Column:
     """Words between spaces of any kind; NULL counts 0."""
-    return F.coalesce(F.size(F.filter(F.split(_col(text), SPACES), lambda w: w != "")), F.lit(0))
+    return F.coalesce(F.regexp_count(_col(text), F.lit(r"(?U)\S+")), F.lit(0))
 
 
 @F.pandas_udf(StringType())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import hashing
-from newsloom.functions.text import word_count
+from newsloom.functions.text import normalize_for_hash, word_count
 from newsloom.session import cut
 
 MIN_WORDS_NEAR = 50
@@ -17,13 +17,14 @@ WORSE_BY = 0.1
 
 def fingerprinted(articles: DataFrame, text: str = "body") -> DataFrame:
     """articles with content_hash and, from MIN_WORDS_NEAR words on, simhash."""
-    long_enough = word_count(text) >= MIN_WORDS_NEAR
-    return articles.withColumn("content_hash", hashing.content_hash(text)).withColumn("simhash", F.when(long_enough, hashing.simhash64(F.when(long_enough, F.col(text)))))
+    normal = articles.withColumn("_normal", normalize_for_hash(text)).withColumn("_long", F.when(word_count(text) >= MIN_WORDS_NEAR, F.col("_normal")))
+    return normal.withColumn("content_hash", hashing.hash_of_normal("_normal")).withColumn("simhash", hashing.simhash_of_normal("_long")).drop("_normal", "_long")
 
 
-def near_pairs(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> DataFrame:
+def near_pairs(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE, earlier: DataFrame | None = None) -> DataFrame:
     """(workspace_id, id, earlier, distance) of articles (workspace_id, id, simhash) within max_distance, by an equi-join on pairs of
-    blocks. Equal fingerprints are joined once, as one."""
+    blocks. Equal fingerprints are joined once, as one; ``earlier`` (workspace_id, id, simhash) limits what may stand on the
+    earlier side."""
     if not 0 <= max_distance <= hashing.MAX_DISTANCE:
         raise ValueError(f"keys find distances up to {hashing.MAX_DISTANCE} only")
     known = articles.filter("simhash is not null").select("workspace_id", "id", "simhash")
@@ -42,7 +43,7 @@ def near_pairs(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) ->
         distinct.select("workspace_id", "simhash", F.col("simhash").alias("other"), F.lit(0).alias("distance"))
     )
     left = known.join(both, ["workspace_id", "simhash"])
-    right = known.select("workspace_id", F.col("id").alias("earlier"), F.col("simhash").alias("other"))
+    right = (known if earlier is None else earlier).select("workspace_id", F.col("id").alias("earlier"), F.col("simhash").alias("other"))
     return left.join(right, ["workspace_id", "other"]).filter("earlier < id").select("workspace_id", "id", "earlier", "distance")
 
 
@@ -52,18 +53,24 @@ def resolve(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> Da
     An article is a duplicate of the first *original* with its content hash, else a near duplicate of the closest earlier
     original, else new. Whether an earlier one is an original is decided first, so each round decides all articles whose
     earlier neighbours are decided; the number of rounds is the longest chain of decisions, not the number of articles.
+
+    Links grow with the articles, not with the square of a group: of articles with one hash, with or without a fingerprint,
+    only the first can be an original; of those with one fingerprint, only the first and the few that share their hash with
+    an article without one.
     """
-    base = articles.select("workspace_id", "id", "content_hash", "simhash")
-    # copies with one hash (and all with a fingerprint, or none) have the same neighbours; each after the first follows the first
-    heads = base.filter("content_hash is not null").groupBy("workspace_id", "content_hash").agg(F.min("id").alias("leader"), F.count("simhash").alias("k"), F.count(F.lit(1)).alias("n"))
-    heads = heads.filter("k = 0 or k = n").select("workspace_id", "content_hash", "leader")
-    marked = cut(base.join(heads, ["workspace_id", "content_hash"], "left").withColumn("leader", F.coalesce("leader", "id")))
+    key = ["workspace_id", "content_hash"]
+    base = articles.select("workspace_id", "id", "content_hash", "simhash", F.col("simhash").isNull().alias("bare"))
+    heads = base.filter("content_hash is not null").groupBy(*key, "bare").agg(F.min("id").alias("leader"))
+    marked = cut(base.join(heads, [*key, "bare"], "left").withColumn("leader", F.coalesce("leader", "id")))
     leaders = marked.filter("id = leader")
-    exact = leaders.filter("content_hash is not null").select("workspace_id", "content_hash", "id")
-    same = exact.join(exact.select("workspace_id", "content_hash", F.col("id").alias("earlier")), ["workspace_id", "content_hash"]).filter("earlier < id")
+    # at most two leaders have one hash
+    pairs = leaders.filter("content_hash is not null").groupBy(*key).agg(F.min("id").alias("earlier"), F.max("id").alias("id")).filter("earlier < id")
+    same = cut(pairs.select("workspace_id", "id", "earlier"))
+    shared = leaders.join(same.select("workspace_id", "id"), ["workspace_id", "id"], "left_semi").filter("simhash is not null").select("workspace_id", "id", "simhash")
+    alone = leaders.join(same.select("workspace_id", "id"), ["workspace_id", "id"], "left_anti").filter("simhash is not null").groupBy("workspace_id", "simhash").agg(F.min("id").alias("id"))
     edges = cut(
         same.select("workspace_id", "id", "earlier", F.lit(-1).alias("rank")).unionByName(
-            near_pairs(leaders, max_distance).select("workspace_id", "id", "earlier", F.col("distance").alias("rank"))
+            near_pairs(leaders, max_distance, shared.unionByName(alone)).select("workspace_id", "id", "earlier", F.col("distance").alias("rank"))
         )
     )
     # an article without earlier neighbours is an original
@@ -72,17 +79,21 @@ def resolve(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> Da
     while not left.isEmpty():
         known = decided.select("workspace_id", F.col("id").alias("earlier"), F.lit(True).alias("known"), F.col("best").isNull().alias("original"))
         seen = left.join(known, ["workspace_id", "earlier"], "left")
-        ready = seen.groupBy("workspace_id", "id").agg(
-            F.count_if(F.col("known").isNull()).alias("open"), F.min(F.when(F.col("original"), F.struct("rank", "earlier"))).alias("best")
-        ).filter("open = 0").select("workspace_id", "id", "best")
+        ready = (
+            seen.groupBy("workspace_id", "id")
+            .agg(F.count_if(F.col("known").isNull()).alias("open"), F.min(F.when(F.col("original"), F.struct("rank", "earlier"))).alias("best"))
+            .filter("open = 0")
+            .select("workspace_id", "id", "best")
+        )
         fresh = cut(ready)
-        decided = cut(decided.unionByName(fresh))
+        decided = decided.unionByName(fresh)  # of tables that are cut, so nothing grows but their list
         left = cut(left.join(fresh.select("workspace_id", "id"), ["workspace_id", "id"], "left_anti"))
     of_leader = decided.select("workspace_id", F.col("id").alias("leader"), "best")
-    joined = marked.join(of_leader, ["workspace_id", "leader"])
-    follows = F.col("id") != F.col("leader")
-    # a copy of an original is its duplicate; a copy of a duplicate has the same original, as an exact or a near one
-    own = F.when(follows & F.col("best").isNull(), F.struct(F.lit(-1).alias("rank"), F.col("leader").alias("earlier"))).otherwise(F.col("best"))
+    first = marked.filter("id = leader").join(of_leader.filter("best is null"), ["workspace_id", "leader"]).groupBy(*key).agg(F.min("id").alias("first"))
+    joined = marked.join(of_leader, ["workspace_id", "leader"]).join(first, key, "left")
+    # a copy is a duplicate of the first original with its hash; if there is none before it, it has its leader's original
+    exact = (F.col("id") != F.col("leader")) & F.coalesce(F.col("first") < F.col("id"), F.lit(False))
+    own = F.when(exact, F.struct(F.lit(-1).alias("rank"), F.col("first").alias("earlier"))).otherwise(F.col("best"))
     outcome = F.when(own.isNull(), "new").when(own["rank"] < 0, "duplicate").otherwise("near_duplicate")
     return joined.select("workspace_id", "id", outcome.alias("outcome"), own["earlier"].alias("duplicate_of"), F.when(own["rank"] >= 0, own["rank"]).alias("distance"))
 

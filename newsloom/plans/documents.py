@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import hashing, languages, text
 from newsloom.operators import dedup, search, stats
-from newsloom.session import table
+from newsloom.session import cut, table, texts
 
 #: The documents table as articles: three workspaces, a date for six of seven, the first line as title.
 AS_OF = datetime(2024, 2, 15)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     day = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 60) * 86400)
     return d.select(
         F.col("doc_id").alias("id"),
@@ -39,12 +39,13 @@ _ORIGINALS = f"SELECT *, CASE WHEN content_hash IS NOT NULL AND min(doc_id) OVER
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select("doc_id", "lang", "source", hashing.content_hash("text").alias("content_hash"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_originals(_hashed(spark, sf_dir).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+    # two branches need the hashes, and they are small beside the texts
+    return dedup.exact_originals(cut(_hashed(spark, sf_dir)).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
 
 
 def content_hash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def duplicate_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with their labelled documents, 0 where there are none."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, labels = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     sources = d.select(F.col("source").alias("id")).distinct()
     good = d.join(labels.filter("quality = 1"), "doc_id").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("articles"))
     return sources.join(good, "id", "left").select("id", F.coalesce("articles", F.lit(0)).alias("articles"))
@@ -128,22 +129,22 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
 
 
 def reader_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs("text")).alias("pos", "paragraph")).select("doc_id", "pos", F.sha2("paragraph", 256).alias("paragraph_sha256"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs("text")).alias("pos", "paragraph")).select("doc_id", "pos", F.sha2("paragraph", 256).alias("paragraph_sha256"))
 
 
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language codes from written forms of a language."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     forms = F.create_map(*(F.lit(x) for x in ("en", " English ", "de", "de_AT", "fr", "FR-ca", "es", "x")))
     return d.select("doc_id", forms[F.col("lang")].alias("written")).select("doc_id", languages.normalize_language("written").alias("code"))
 
 
 def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(F.array_sort(text.split_keywords(F.array(F.substring_index("text", "\n", 1)))), ";").alias("keywords"))
 
 
@@ -159,12 +160,12 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of texts that declare none, by frequent words."""
-    return table(spark, sf_dir, "documents").select("doc_id", languages.detect_language("text").alias("language"))
+    return texts(spark, sf_dir, "documents").select("doc_id", languages.detect_language("text").alias("language"))
 
 
 def usage_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages left today of each source as a workspace: each document counts one page of usage."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     deltas = d.select(F.substring("source", 4, 9).cast("long").alias("workspace_id"), F.lit(datetime(2024, 2, 15)).cast("date").alias("day"), F.lit(1).alias("pages"), F.lit(0).alias("llm_calls"), F.lit(0).alias("crawls"))
     usage = stats.add_usage(deltas.limit(0), deltas)
     spaces = usage.select(F.col("workspace_id").alias("id"), F.when(F.col("workspace_id") % 2 == 0, F.lit(40)).alias("max_pages_per_day"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, display, http, urls
 from newsloom.operators import articles, crawl
-from newsloom.session import table
+from newsloom.session import table, texts
 from newsloom.sources import feeds, robots
 from newsloom.sources.extraction import extract_candidates
 
@@ -17,7 +17,7 @@ AS_OF = datetime(2024, 6, 1)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return texts(spark, sf_dir, "pages")
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
