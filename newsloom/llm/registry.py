@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import cotraining, language, lines, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
-from newsloom.session import table
+from newsloom.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,18 +19,18 @@ def _listed(spans: Column) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(texts(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "crf")
     return found.select("doc_id", *(of_kind(k) for k in ("assign", "access", "hex", "crf")), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("secrets")).alias("spans"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir, "documents"))
 
 
 def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tiff.tiff_pages(tiff.text_media(table(spark, sf_dir, "documents")))
+    pages = tiff.tiff_pages(tiff.text_media(texts(spark, sf_dir, "documents")))
     tail = F.expr("substring(pixels, -16, 16)")
     return pages.select(
         "doc_id",
@@ -45,36 +45,36 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_lines(table(spark, sf_dir, "documents"))
+    out = lines.drop_lines(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    out = substring.remove_repeats(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotraining.score_documents(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules.apply_rules(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.learn(language.training_sample(docs)))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return sentencepiece_codec.encode_documents(texts(spark, sf_dir, "documents")).drop("ids")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(texts(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:

@@ -31,8 +31,8 @@ KEY_WORDS = (
     "password passwd passphrase pwd secret client_secret token access_token auth_token auth authorization bearer apikey api_key api-key "
     "key access_key secret_key private_key credential credentials"
 ).split()
-#: Bounds of the training sample: documents, and lines of at most LINE_BYTES from each.
-SAMPLE_DOCS, LINES_PER_DOC, LINE_BYTES = 2000, 40, 300
+#: Bounds of the training sample: documents, and parts of lines of at most LINE_CHARS from each.
+SAMPLE_DOCS, LINES_PER_DOC, LINE_CHARS = 2000, 40, 160
 MADE_UP = 600
 EPOCHS = 70
 O, B, I = 0, 1, 2
@@ -297,7 +297,7 @@ def learn(texts: list[bytes], made_up: int = MADE_UP) -> Field:
     plain = 0
     for text in texts:
         for line in text.split(b"\n")[:LINES_PER_DOC]:
-            if 0 < len(line) <= LINE_BYTES:
+            if 0 < len(line) <= 4 * LINE_CHARS:
                 spans = value_spans(line)
                 plain += not spans
                 if spans or plain % 16 == 1:
@@ -315,12 +315,12 @@ def learn(texts: list[bytes], made_up: int = MADE_UP) -> Field:
 
 
 def training_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[bytes]:
-    """About ``most`` texts by hash of doc_id, and of each only lines of up to LINE_BYTES, LINES_PER_DOC at most."""
+    """About ``most`` texts by hash of doc_id, and of each LINES_PER_DOC parts of lines at most, of LINE_CHARS at most."""
     known = docs.filter("doc_id is not null and text is not null")
     n = known.count()
     if not n:
         return []
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, LINE_BYTES)), 1, LINES_PER_DOC)
+    lines = F.slice(F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{LINE_CHARS}}}"), 0), 1, LINES_PER_DOC)
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, most / n) * (1 << 20))
     rows = picked.select(F.xxhash64("doc_id").alias("h"), F.array_join(lines, "\n").cast("binary").alias("text")).collect()
     return [bytes(r["text"]) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["text"])))]
