@@ -14,6 +14,13 @@ from pyspark.sql.types import StringType
 NOT_WORDS = r"[^\p{L}\p{N}_]+"
 
 
+# The words before a byline, what joins names, what separates keywords.
+BYLINE_LEAD = r"(?i)^(by|von|par|por|di)\s+"
+NAME_JOIN = r"\s+(?:and|&|und|et|y)\s+|,\s*(?=[A-Z])"
+KEYWORD_SEPARATOR = "[,;|]"
+MAX_KEYWORDS, MAX_NAMES, MAX_ITEM_CHARS = 50, 20, 100
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -61,19 +68,19 @@ def clean_body(text: Column | str) -> Column:
 
 def split_keywords(values: Column | str) -> Column:
     """Keywords of an array of strings, each cut at comma, semicolon or bar: trimmed, 1 to 100 characters, first places kept, 50 at most."""
-    parts = F.flatten(F.transform(_col(values), lambda v: F.split(v, "[,;|]")))
+    parts = F.flatten(F.transform(_col(values), lambda v: F.split(v, KEYWORD_SEPARATOR)))
     trimmed = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
-    return F.slice(F.array_distinct(F.filter(trimmed, lambda p: (p != "") & (F.length(p) <= 100))), 1, 50)
+    return F.slice(F.array_distinct(F.filter(trimmed, lambda p: (p != "") & (F.length(p) <= MAX_ITEM_CHARS))), 1, MAX_KEYWORDS)
 
 
 def clean_authors(values: Column | str) -> Column:
     """Names of an array of bylines (plain text): the lead word goes, joined names come apart, 2 to 100 characters, no links,
     first places kept, 20 at most."""
-    bare = F.transform(_col(values), lambda v: F.regexp_replace(F.trim(v), r"(?i)^(by|von|par|por|di)\s+", ""))
-    parts = F.flatten(F.transform(bare, lambda v: F.split(v, r"\s+(?:and|&|und|et|y)\s+|,\s*(?=[A-Z])")))
+    bare = F.transform(_col(values), lambda v: F.regexp_replace(F.trim(v), BYLINE_LEAD, ""))
+    parts = F.flatten(F.transform(bare, lambda v: F.split(v, NAME_JOIN)))
     trimmed = F.transform(parts, lambda p: F.btrim(p, F.lit(" ,;|")))
     link = lambda p: F.lower(p).startswith("http") | F.lower(p).startswith("www.")
-    return F.slice(F.array_distinct(F.filter(trimmed, lambda p: F.length(p).between(2, 100) & ~link(p))), 1, 20)
+    return F.slice(F.array_distinct(F.filter(trimmed, lambda p: F.length(p).between(2, MAX_ITEM_CHARS) & ~link(p))), 1, MAX_NAMES)
 
 
 def paragraphs(text: Column | str) -> Column:

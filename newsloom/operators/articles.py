@@ -10,7 +10,13 @@ from newsloom.functions.languages import detect_language, normalize_language
 from newsloom.functions.text import strip_site_name
 
 MIN_WORDS, THRESHOLD = 120, 0.5
-#: Share of each field in the confidence of a page.
+# What each sign adds to the score of an article.
+AMOUNTS = {
+    "type": 0.4, "listing": -0.25, "og": 0.2, "date": 0.15, "author": 0.05, "body": 0.25, "short": 0.05, "little": -0.2, "long": 0.1,
+    "paragraphs": 0.1, "element": 0.05, "links": -0.2, "good url": 0.1, "bad url": -0.25,
+}
+LONG_WORDS, MANY_PARAGRAPHS, MANY_LINKS, GOOD_URL, BAD_URL = 300, 3, 0.5, 0.5, 0.1
+# The share of each field in the confidence of a page.
 WEIGHTS = {"title": 0.20, "body": 0.35, "published_at": 0.15, "authors": 0.10, "description": 0.05, "image_url": 0.05, "language": 0.05, "canonical_url": 0.05}
 
 
@@ -44,23 +50,23 @@ def confidence(best: dict[str, Column], min_words: int = MIN_WORDS) -> Column:
 
 def score_terms(words: Column, signals: Column, has_date: Column, has_author: Column, url_score: Column, min_words: int = MIN_WORDS) -> list[tuple[Column, Column]]:
     """(amount or NULL, reason) of each sign that a page is an article, in order."""
-    s = signals
+    s, a = signals, AMOUNTS
     when = lambda test, amount, why: (F.when(F.coalesce(test, F.lit(False)), F.lit(amount)), why)
     short = words < min_words // 2
-    body = F.when(words >= min_words, F.lit(0.25)).when(~short, F.lit(0.05)).otherwise(F.lit(-0.2))
+    body = F.when(words >= min_words, F.lit(a["body"])).when(~short, F.lit(a["short"])).otherwise(F.lit(a["little"]))
     body_why = F.when(words >= min_words, F.format_string("body %d words", words)).when(~short, F.format_string("short body %d words", words)).otherwise(F.format_string("little text (%d words)", words))
     return [
-        when(s["article_type"].isNotNull(), 0.4, F.concat(F.lit("json-ld type "), s["article_type"])),
-        when(s["is_listing"], -0.25, F.lit("json-ld listing type")),
-        when(F.lower(s["og_type"]) == "article", 0.2, F.lit("og:type=article")),
-        when(has_date, 0.15, F.lit("has publish date")),
-        when(has_author, 0.05, F.lit("has author")),
+        when(s["article_type"].isNotNull(), a["type"], F.concat(F.lit("json-ld type "), s["article_type"])),
+        when(s["is_listing"], a["listing"], F.lit("json-ld listing type")),
+        when(F.lower(s["og_type"]) == "article", a["og"], F.lit("og:type=article")),
+        when(has_date, a["date"], F.lit("has publish date")),
+        when(has_author, a["author"], F.lit("has author")),
         (body, body_why),
-        when((words >= min_words) & (words >= 300), 0.1, F.lit("long body")),
-        when(s["paragraphs"] >= 3, 0.1, F.concat(s["paragraphs"].cast("string"), F.lit(" substantial paragraphs"))),
-        when(s["has_article_tag"], 0.05, F.lit("<article> element")),
-        when(s["link_density"] > 0.5, -0.2, F.concat(F.lit("high link density "), s["link_density"].cast("string"))),
-        (F.when(url_score >= 0.5, F.lit(0.1)).when(url_score <= 0.1, F.lit(-0.25)), F.when(url_score >= 0.5, F.lit("article-like url")).otherwise(F.lit("listing/home url"))),
+        when((words >= min_words) & (words >= LONG_WORDS), a["long"], F.lit("long body")),
+        when(s["paragraphs"] >= MANY_PARAGRAPHS, a["paragraphs"], F.concat(s["paragraphs"].cast("string"), F.lit(" substantial paragraphs"))),
+        when(s["has_article_tag"], a["element"], F.lit("<article> element")),
+        when(s["link_density"] > MANY_LINKS, a["links"], F.concat(F.lit("high link density "), s["link_density"].cast("string"))),
+        (F.when(url_score >= GOOD_URL, F.lit(a["good url"])).when(url_score <= BAD_URL, F.lit(a["bad url"])), F.when(url_score >= GOOD_URL, F.lit("article-like url")).otherwise(F.lit("listing/home url"))),
     ]
 
 
