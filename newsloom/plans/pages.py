@@ -140,7 +140,7 @@ w AS (SELECT *, CASE body_source WHEN 'teaser' THEN tw WHEN 'density' THEN bw EL
 t AS (SELECT *, [CASE WHEN page_id % 11 = 0 THEN -0.25 END, CASE WHEN page_id % 2 = 0 THEN 0.2 END, CASE WHEN page_id % 3 = 0 THEN 0.15 END, CASE WHEN words >= 120 THEN 0.25 WHEN words >= 60 THEN 0.05 ELSE -0.2 END,
  CASE WHEN words >= 300 THEN 0.1 END, CASE WHEN paras >= 3 THEN 0.1 END, CASE WHEN contains(html, '<article>') THEN 0.05 END, CASE WHEN prior >= 0.5 THEN 0.1 WHEN prior <= 0.1 THEN -0.25 END] AS terms FROM w),
 c AS (SELECT *, round(greatest(0.0, least(1.0, list_sum(terms))), 3) AS score FROM t)
-SELECT page_id, score >= 0.5 AND words >= 30 AND page_id % 13 <> 0 AS is_article, score, CAST(len(list_filter(terms, lambda x: x IS NOT NULL)) + CASE WHEN words < 30 OR page_id % 13 = 0 THEN 1 ELSE 0 END AS INTEGER) AS reasons FROM c"""
+SELECT page_id, score >= 0.5 AND words >= 30 AND page_id % 13 <> 0 AS is_article, CAST(score AS DOUBLE) AS score, CAST(len(list_filter(terms, lambda x: x IS NOT NULL)) + CASE WHEN words < 30 OR page_id % 13 = 0 THEN 1 ELSE 0 END AS INTEGER) AS reasons FROM c"""
 
 
 def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +258,7 @@ QUERIES = {
     ),
     "url_normalized": (url_normalized, f"SELECT page_id, normal, sha256(normal) AS url_hash FROM {_PLAIN_URL}"),
     "url_normalized_full": (url_normalized_full, f"SELECT page_id, normal FROM {_PLAIN_URL}"),
-    "url_scores": (url_scores, f"SELECT page_id, round({_SCORE_OF}, 4) AS score FROM {_SCORED.format(u='u', t=_VARIED)}"),
+    "url_scores": (url_scores, f"SELECT page_id, CAST(round({_SCORE_OF}, 4) AS DOUBLE) AS score FROM {_SCORED.format(u='u', t=_VARIED)}"),
     "url_traps": (url_traps, f"SELECT page_id, {_IS_TRAP} AS trap, {_NOT_HTML} AS not_html FROM {_TRAP}"),
     "url_scope": (
         url_scope,
