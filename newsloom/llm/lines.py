@@ -52,15 +52,17 @@ def line_frequencies(hashes: DataFrame) -> DataFrame:
     )
 
 
-def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_runs array<int>) of each document that loses lines: how many lines in turn stay, go, stay, ...; lines
-    after the last run stay. With keep_first the first place of a line stays (in the smallest doc_id, at the first position)."""
+    after the last run stay. With keep_first the first place of a line stays (in the smallest doc_id, at the first position).
+    ``counted`` (doc_id) limits the documents in which a line is counted, not those that lose it."""
     # read once, for the ranges' bounds, the frequencies and the places
     hashes = cut(line_hashes(docs, min_chars))
     if keep_first and min_docs <= 1:
         raise ValueError("keep_first needs min_docs of 2 or more")
     # cut, so that the join below has plain exchanges on both sides and a very common line can be split
-    common = cut(line_frequencies(hashes).filter(F.col("n_docs") >= min_docs))
+    voters = hashes if counted is None else hashes.join(counted.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    common = cut(line_frequencies(voters).filter(F.col("n_docs") >= min_docs))
     if keep_first:
         dropped = hashes.join(common, ["h", "g"]).filter("doc_id != first_doc or pos != first_pos")
     else:
@@ -81,7 +83,7 @@ def keep_lines(lines: Column, keep_runs: Column) -> Column:
     return F.transform(F.filter(zipped, lambda z: z["line"].isNotNull() & ~F.coalesce(z["gone"], F.lit(False))), lambda z: z["line"])
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """docs with text replaced by the lines that stay, joined by \\n, and with n_lines (before) and n_dropped.
 
     A line's key is line_key(); lines whose key has min_chars code points and stands in min_docs documents or more lose all
@@ -90,7 +92,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     whole and don't count. Other columns are kept; columns named n_lines or n_dropped are replaced. An empty table gives
     no rows.
     """
-    bitmaps = line_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("_bitmap_doc"), F.col("keep_runs").alias("_keep_runs"))
+    bitmaps = line_bitmaps(docs, min_docs, min_chars, keep_first, counted).select(F.col("doc_id").alias("_bitmap_doc"), F.col("keep_runs").alias("_keep_runs"))
     joined = docs.join(bitmaps, docs["doc_id"].cast("long") == bitmaps["_bitmap_doc"], "left")
     lines = line_array(F.col("text"))
     kept = F.when(F.col("_keep_runs").isNull(), lines).otherwise(keep_lines(lines, F.col("_keep_runs")))

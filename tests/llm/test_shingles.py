@@ -53,3 +53,18 @@ def test_stage_links_at_similarity(spark):
     fp = [simhash.fingerprint(t.encode()) for t in texts]
     # some of the links are out of reach of fingerprints within four bits
     assert any(jaccard(texts[i], texts[j]) >= 0.8 and (fp[i] ^ fp[j]).bit_count() > 4 for i in range(len(texts)) for j in range(i))
+
+
+def test_text_with_many_copies_stays_once(spark):
+    rng = random.Random(5)
+    body = lambda: [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(12)) for _ in range(8)]
+    copied = body()
+    texts = ["\n".join(copied)] * 12 + ["\n".join([*copied, f"by reader number {i}"]) for i in range(12)]
+    texts += ["\n".join(["All rights reserved", *body()]) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], SHAPE)
+    cut = cp.line_dedup(spark, docs, "")
+    out = {r.doc_id: r.text for r in cut.collect()}
+    assert set(out) == set(range(len(texts)))
+    assert all(out[i] == texts[i] for i in range(24))
+    assert all(out[i] == texts[i].split("\n", 1)[1] for i in range(24, 34))
+    assert {r.doc_id for r in cp.near_dedup(spark, cut, "").collect()} == {0, *range(24, 34)}
