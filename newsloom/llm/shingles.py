@@ -125,3 +125,9 @@ def heads(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
     label = components_of_texts(docs, shingle, similarity)
     of_component = per_text.join(label, "id", "left").groupBy(F.coalesce("label", "id")).agg(F.min("first").alias("first"))
     return cut(of_component.select("first.row", "first.doc_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each component of near-duplicates, by heads(). Rows alike in all columns are one."""
+    kept = docs.withColumn("row", _row_id(docs)).join(heads(docs, shingle, similarity), "row", "left_semi")
+    return kept.groupBy("row").agg(*(F.first(c).alias(c) for c in docs.columns)).drop("row")

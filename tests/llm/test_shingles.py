@@ -68,3 +68,17 @@ def test_text_with_many_copies_stays_once(spark):
     assert all(out[i] == texts[i] for i in range(24))
     assert all(out[i] == texts[i].split("\n", 1)[1] for i in range(24, 34))
     assert {r.doc_id for r in cp.near_dedup(spark, cut, "").collect()} == {0, *range(24, 34)}
+
+
+def test_one_row_for_each_component(spark):
+    a, b, c, d = ("\n".join(f"{x}{i} {x}{i + 1}" for i in range(20)) for x in "abcd")
+    rows = [
+        (None, a, "aa", "s", 1), (None, b, "aa", "s", 1), (7, b, "aa", "s", 1),  # null ids: alone, and after another id
+        (None, c, "aa", "s", 1), (None, c, "aa", "s", 1), (None, c, None, "s", 1),
+        (5, d, "aa", "s", 1), (5, d, "aa", "s", 1), (5, d + " more", "bb", None, 1),  # one id, repeated and with two texts
+        (9, "x y z", "aa", "s", 1), (8, "x y z", "aa", "s", 1), (8, "p q r", "aa", "s", 1), (3, "p q r", "aa", "s", 1),  # 8 heads one group only
+    ]
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, spark.createDataFrame(rows, SHAPE), "").collect()]
+    five = [t for i, t in got if i == 5]
+    assert len(five) == 1 and five[0] in (d, d + " more")
+    assert sorted((x for x in got if x[0] != 5), key=str) == sorted([(None, a), (7, b), (None, c), (8, "x y z"), (3, "p q r")], key=str)
