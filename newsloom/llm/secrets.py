@@ -327,7 +327,7 @@ def training_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[bytes]:
 
 
 def scan_block(texts: list[bytes], field: Field) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) in bytes of all spans of each text: the fixed patterns' and, where they have none, the field's."""
+    """(start, end, kind) in bytes of all spans of each text: the fixed patterns', and the field's that aren't wholly within these."""
     tokens = Tokens(texts)
     y = field.labels(field.unary(tokens.features()), tokens.line)
     out = [base_spans(t) for t in texts]
@@ -343,11 +343,20 @@ def scan_block(texts: list[bytes], field: Field) -> list[list[tuple[int, int, st
     final = []
     for spans in out:
         base = [s for s in spans if s[2] != "crf"]
-        own = [s for s in spans if s[2] == "crf" and not any(s[0] < b and a < s[1] for a, b, _ in base)]
+        own = [s for s in spans if s[2] == "crf" and not _within(s, base)]
         final.append(sorted(base + own, key=lambda s: (s[0], KINDS.index(s[2]))))
     return final
 
 
+def _within(span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> bool:
+    """Do the base spans (by start), overlapping and adjacent ones as one, leave nothing of the span?"""
+    at = span[0]
+    for a, b, _ in base:
+        if a <= at < b:
+            at = b
+    return at >= span[1]
+
+
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
