@@ -70,7 +70,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(texts(spark, sf_dir, "documents")).drop("ids")
+    return sentencepiece_codec.encode_documents(texts(spark, sf_dir, "documents"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,16 @@
-"""SentencePiece-style encoding and decoding with the pieces and scores of a given model.
+"""SentencePiece encoding and decoding with the pieces and scores of a given model.
 
 An Aho-Corasick automaton over the pieces reads the text once; at each position its output links give every piece that
-ends there, and each relaxes the best score of that position (Viterbi). Characters that no piece covers become byte pieces.
-No piece of the model has a space mark after another character, so words with the spaces before them are coded one by one
-and repeated words only once per block.
+ends there, and each relaxes the best score of that position (Viterbi). What a path's score is depends on the model:
+
+* In a unigram model scores are log-probabilities of pieces, and a path has their sum.
+* In a merge model (BPE) they only rank merges, so their sum means nothing. There a step from one piece to the next scores
+  0 if the model's merges, applied to both together, leave them apart, and minus infinity if a merge would cross between
+  them. A segmentation without a crossed boundary is what the merges of the whole give, so one path to each position has a
+  finite score, and its ids are the model's own.
+
+Characters that no piece covers, and only these, become byte pieces. If no piece has a space mark after another character,
+words with the spaces before them are coded one by one, and repeated words only once.
 """
 
 from __future__ import annotations
@@ -22,35 +29,44 @@ from pyspark.sql import functions as F
 from newsloom.llm.kernels import blocks
 
 MARK = "▁"
-#: Score of a character written in bytes, below any sum of piece scores that covers it.
-BYTE_SCORE = -1e6
-#: Distinct words whose ids are remembered at least, and twice as many at most.
-CACHE = 1 << 18
+#: What a character without a piece scores below the least piece of a unigram model.
+UNCOVERED = 10.0
+#: Distinct words whose ids are remembered at least, and twice as many at most; pairs of pieces that are remembered at most.
+CACHE, PAIRS = 1 << 18, 1 << 19
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+_NEVER = float("-inf")
 
 
 class Codec:
-    """Pieces of one model: ids, scores, byte pieces and the automaton."""
+    """Pieces of one model: ids, scores, byte pieces and the automaton. ``merges`` says that scores rank merges."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int]):
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int], merges: bool = False):
         self.text_of = {i: p for p, _, i in pieces}
+        self.score_of = {p: s for p, s, _ in pieces}
         self.byte_ids = byte_ids
         self.byte_of = {i: b for b, i in byte_ids.items()}
+        self.merges = merges
+        self.uncovered = min(self.score_of.values(), default=0.0) - UNCOVERED
         self.automaton = ahocorasick.Automaton()
         for piece, score, i in pieces:
-            self.automaton.add_word(piece, (len(piece), score, i))
+            # a piece that no merges lead to is never part of their result
+            if not merges or self.merged(piece) == [piece]:
+                self.automaton.add_word(piece, (len(piece), score, i))
         self.automaton.make_automaton()
         # words can be cut before a run of marks if marks stand only at the head of pieces
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         self.seen: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], float] = {}
         self.bytes_of = {i: p.encode() for i, p in self.text_of.items()} | {i: bytes((b,)) for i, b in self.byte_of.items()}
 
     @classmethod
     def load(cls, path: str) -> Codec:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
         pieces, byte_ids = [], {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -58,23 +74,58 @@ class Codec:
                 byte_ids[int(_BYTE_PIECE.fullmatch(piece)[1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces.append((piece, model.get_score(i), i))
-        return cls(pieces, byte_ids)
+        return cls(pieces, byte_ids, spec.model_type == spec.BPE)
+
+    def merged(self, text: str, boundary: int = 0) -> list[str]:
+        """The characters of a short text after all merges: the best ranked pair first, of equal ones the leftmost. If a merge
+        would cross the boundary, nothing."""
+        parts = list(text)
+        while True:
+            ranks = [self.score_of.get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(ranks, default=_NEVER)
+            if best == _NEVER:
+                return parts
+            k = ranks.index(best)
+            if boundary and sum(map(len, parts[: k + 1])) == boundary:
+                return []
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def step(self, before: int, i: int) -> float:
+        """0 if the merges leave piece i apart from the piece before it, else minus infinity."""
+        known = self.pairs.get((before, i))
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            a = self.text_of[before]
+            known = self.pairs[before, i] = 0.0 if self.merged(a + self.text_of[i], len(a)) else _NEVER
+        return known
 
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best segmentation; of equally good ones, the one whose last pieces are longest."""
         n = len(marked)
-        best = [0.0] + [-np.inf] * n
+        best = [0.0] + [_NEVER] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         done = 0  # positions up to here are final
+        merges, pairs = self.merges, self.pairs
         for end, (size, score, i) in self.automaton.iter(marked):
             if done < end:
-                self._settle(best, back, done, end)
+                self._settle(marked, best, back, done, end)
                 done = end
-            total = best[end + 1 - size] + score
             held = best[end + 1]
+            if merges:
+                if held == 0:
+                    continue  # one path only
+                before = back[end + 1 - size][1]
+                if before >= 0:
+                    score = pairs.get((before, i))
+                    if score is None:
+                        score = self.step(before, i)
+                else:
+                    score = 0.0
+            total = best[end + 1 - size] + score
             if total > held or total == held and size > back[end + 1][0]:
                 best[end + 1], back[end + 1] = total, (size, i)
-        self._settle(best, back, done, n)
+        self._settle(marked, best, back, done, n)
         out: list[int] = []
         at = n
         while at:
@@ -83,12 +134,13 @@ class Codec:
             at -= size
         return out[::-1]
 
-    @staticmethod
-    def _settle(best: list[float], back: list[tuple[int, int]], done: int, upto: int) -> None:
-        """Make positions final: a character can always be written in bytes."""
+    def _settle(self, marked: str, best: list[float], back: list[tuple[int, int]], done: int, upto: int) -> None:
+        """Make positions final: a character without a piece is written in bytes, which no piece crosses."""
         for at in range(done + 1, upto + 1):
-            if best[at - 1] + BYTE_SCORE > best[at]:
-                best[at], back[at] = best[at - 1] + BYTE_SCORE, (1, -1)
+            if marked[at - 1] not in self.score_of:
+                total = best[at - 1] + (0.0 if self.merges else self.uncovered)
+                if total > best[at]:
+                    best[at], back[at] = total, (1, -1)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text: a mark is put before it, and spaces become marks; an empty text has none."""
@@ -135,8 +187,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens, ids_crc32, round_trip) of each row of docs (doc_id, text).
 
     ids_crc32 is of the ids as little-endian unsigned 32-bit numbers; round_trip says whether decode() gives the text back
-    (it does unless the text has the space mark itself). A null text is empty and has no ids. Each row stands alone:
-    repeated rows and null ids give rows like any other, other columns are ignored, an empty table gives no rows.
+    (it does unless the text has the space mark itself, which decode() gives as a space). A null text is empty and has no
+    ids. Texts are read whole, however long. Each row stands alone: repeated rows and null ids give rows like any other,
+    other columns are ignored, also such with names of the result, and an empty table gives no rows.
     """
     path = path or model_path()
 
@@ -160,7 +213,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of each row of encoded (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) of each row of encoded (doc_id, ids).
+
+    Null or no ids give an empty text, bytes that are no UTF-8 replacement characters; an id that the model lacks, or a null
+    one among others, is an error. Each row stands alone; other columns are ignored; an empty table gives no rows.
+    """
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
