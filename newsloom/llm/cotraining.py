@@ -1,16 +1,19 @@
 """Quality classification by co-training.
 
 Two logistic classifiers look at a document from different sides: one at its text (hashed words and proportions of
-characters), one at the page's metadata (source, language, recorded length, layout of lines). In each round either one
-labels the documents of an unlabelled pool that it is surest of, and these join the training set of the other. Held-out
-labels calibrate each view and the weights of their sum, which scores all documents.
+characters), one at the page's metadata (source, language, recorded length, layout of lines). Both start from labelled
+documents. In each round either one goes over all documents without a label and hands those that it is sure of, with the
+label it gives them, to the other, which is fitted anew and keeps what it learned if held-out labels agree. These also
+calibrate each view and the weights of their sum, which scores all documents.
+
+Features are taken from the texts once and written to the shared folder; rounds and scores read these small rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,52 +21,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.kernels import Words, blocks, grams
-
-#: Bounds of what is learned from: labelled documents, and the pool without labels.
-MAX_LABELLED, MAX_POOL = 3000, 3000
-ROUNDS = 4
-#: Share of the pool that a view labels in a round, for each class at most, and how sure it must be.
-PER_ROUND, SURE = 0.05, 0.9
-BUCKETS = 1 << 11
-HELD_OUT = 5
-L2 = 1e-3
+from newsloom.session import stash
+
+#: Bound of the labelled documents that are learned from.
+MAX_LABELLED = 4000
+ROUNDS = 3
+#: A view hands over about so many documents in a round, split like the labels, of which it must be so sure. Such a label
+#: counts less than a given one.
+PER_ROUND, SURE, TRUST = 400, 0.95, 0.5
+BUCKETS = 1 << 12
+#: One labelled document in so many is held out: it calibrates the views and accepts rounds.
+HELD_OUT = 3
+#: Penalties of the views' weights and of the calibration's.
+L2, L2_CALIBRATION = 1e-3, 1e-2
 
 _CLASSES = {
     "symbol": b"#*$%&|<>{}[]~^\\=@_+", "digit": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "stop": b".!?", "comma": b",;:", "line": b"\n",
 }
 _TABLES = [np.isin(np.arange(256), list(v)) for v in _CLASSES.values()]
-DENSE = len(_TABLES) + 5
+_STOP = _TABLES[3]
+DENSE, LAYOUT = len(_TABLES) + 5, 5
 SOURCES, LANGS, SIZES = 64, 16, 16
 META = SOURCES + LANGS + SIZES
+TEXT, PAGE = 0, 1
 
 
-def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, number of words of each text, dense features (texts, DENSE))."""
-    words = Words(texts)
-    h = words.hashes()
-    n = words.n
+def text_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of texts: text, bucket and count of each bucket of words that a text has, and dense features (texts, DENSE)."""
+    h, n, of = words.hashes(), words.n, words.text_of()
     size = np.maximum(np.diff(words.at) - 1, 1)
-    dense = np.zeros((len(texts), DENSE))
+    dense = np.zeros((len(n), DENSE))
     for k, table in enumerate(_TABLES):
         acc = np.concatenate([[0], np.cumsum(table[words.buf])])
-        dense[:, k] = np.diff(acc[words.at]) / size
+        dense[:, k] = (acc[words.at[1:] - 1] - acc[words.at[:-1]]) / size
     some = np.maximum(n, 1)
     inside = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
     dense[:, -5] = np.diff(inside[words.first]) / some / 10
     dense[:, -4] = np.log1p(n) / 10
     # words, and pairs of words, that stand in their text before
-    of = words.text_of()
     for k, column in ((1, -3), (2, -2)):
         g = grams(h, k)
-        inside = of[: len(g)] == of[k - 1 :][: len(g)]
-        g, home = g[inside], of[: len(g)][inside]
+        within = of[: len(g)] == of[k - 1 :][: len(g)]
+        g, home = g[within], of[: len(g)][within]
         _, first = np.unique(g ^ (home.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-        dense[:, column] = (np.bincount(home, minlength=len(texts)) - np.bincount(home[first], minlength=len(texts))) / some
+        dense[:, column] = (np.bincount(home, minlength=len(n)) - np.bincount(home[first], minlength=len(n))) / some
     dense[:, -1] = n == 0
-    return (h % np.uint64(BUCKETS)).astype(np.int64), n, dense
+    key, count = np.unique(of * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+    return key // BUCKETS, key % BUCKETS, count, dense
+
+
+def layout_features(words: Words) -> np.ndarray:
+    """(texts, LAYOUT): how many lines, how long they and the longest are, how many are empty or end a sentence."""
+    ends = np.flatnonzero(words.buf == 10)
+    length = np.diff(np.concatenate([[-1], ends])) - 1
+    of = np.searchsorted(words.at, ends, "right") - 1
+    n = np.bincount(of, minlength=len(words.n))
+    share = lambda flag: np.bincount(of, flag, minlength=len(n)) / n
+    longest = np.maximum.reduceat(length, np.searchsorted(of, np.arange(len(n))))
+    return np.stack([np.log1p(n), np.log1p(share(length)), np.log1p(longest), share(length == 0), share((length > 0) & _STOP[words.buf[ends - 1]])], 1)
 
 
-def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
+def page_places(source: list, lang: list, n_chars: list) -> np.ndarray:
     """(documents, 3) columns of the metadata view that are one; a null has a place of its own."""
     place = lambda x, n: n - 1 if x is None else zlib.crc32(str(x).encode()) % (n - 1)
     length = [SIZES - 1 if x is None or x < 0 else min(int(x).bit_length(), SIZES - 2) for x in n_chars]
@@ -71,160 +89,286 @@ def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
-def vectors(texts: list[bytes]) -> np.ndarray:
-    """(texts, BUCKETS + DENSE): counts of word buckets over the root of the number of words, and dense features."""
-    bucket, n, dense = text_view(texts)
-    of = np.repeat(np.arange(len(texts)), n)
-    counts = np.bincount(of * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-    return np.hstack([counts / np.sqrt(np.maximum(n, 1))[:, None], dense]).astype(np.float32)
+FEATURES = "bucket array<int>, count array<int>, place array<int>, dense array<float>"
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _feature_arrays(texts: list[bytes], source: list, lang: list, n_chars: list) -> list[pa.Array]:
+    words = Words(texts)
+    of, bucket, count, dense = text_features(words)
+    per, n = np.bincount(of, minlength=len(texts)), len(texts)
+    both = np.hstack([dense, layout_features(words)]) if n else np.zeros((0, DENSE + LAYOUT))
+    return [
+        _lists(bucket, per, pa.int32()), _lists(count, per, pa.int32()), _lists(page_places(source, lang, n_chars).ravel(), np.full(n, 3), pa.int32()),
+        _lists(both.ravel().astype(np.float32), np.full(n, DENSE + LAYOUT), pa.float32()),
+    ]
+
+
+@dataclass
+class Sparse:
+    """Rows of one view: the columns and values of its sparse part with their rows, and dense columns after these."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    width: int
+    dense: np.ndarray
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Weighted sum of each row, the last weight being the bias; it doesn't depend on the other rows."""
+        return np.bincount(self.row, w[self.column] * self.value, minlength=len(self.dense)) + (self.dense * w[self.width : -1]).sum(1) + w[-1]
+
+    def gradient(self, e: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, e[self.row] * self.value, minlength=self.width), e @ self.dense, [e.sum()]])
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        at = np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=len(self.dense)))])
+        size = at[rows + 1] - at[rows]
+        pick = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rows) else np.zeros(0, np.int64)
+        return Sparse(np.repeat(np.arange(len(rows)), size), self.column[pick], self.value[pick], self.width, self.dense[rows])
+
+
+def views(rows: pa.RecordBatch | pa.Table) -> tuple[Sparse, Sparse]:
+    """Both views of rows with FEATURES."""
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+
+    n = rows.num_rows
+    (bucket, size), (count, _), (place, _), (dense, _) = (flat(c) for c in ("bucket", "count", "place", "dense"))
+    row = np.repeat(np.arange(n), size)
+    words = np.bincount(row, count, minlength=n)
+    dense = dense.reshape(n, DENSE + LAYOUT).astype(float)
+    text = Sparse(row, bucket.astype(np.int64), count / np.sqrt(words)[row], BUCKETS, dense[:, :DENSE])
+    return text, Sparse(np.repeat(np.arange(n), 3), place.astype(np.int64), np.ones(len(place)), META, dense[:, DENSE:])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 150, l2: float = L2) -> np.ndarray:
+def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 150, l2: float = L2) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression, by Adam on the whole set."""
     weight = np.ones(len(y)) if weight is None else weight
-    w = m = s = np.zeros(x.shape[1] + 1)
+    w = m = s = np.zeros(x.width + x.dense.shape[1] + 1)
+    decay = np.append(np.full(len(w) - 1, l2), 0.0)
     for t in range(1, steps + 1):
-        e = (_sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y) * weight / weight.sum()
-        g = np.append(x.T @ e.astype(x.dtype) + l2 * w[:-1], e.sum())
+        g = x.gradient((_sigmoid(x.dot(w)) - y) * weight / weight.sum()) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
     return w
 
 
+def _dense(*columns: np.ndarray) -> Sparse:
+    none = np.zeros(0, np.int64)
+    return Sparse(none, none, np.zeros(0), 0, np.stack(columns, 1))
+
+
 @dataclass
 class Model:
-    """Weights of both views, and the calibration: intercept and slope of each view, and of their sum."""
+    """Weights and scale of the dense columns of both views, and the calibration: bias and slope of each view, and of their sum."""
 
-    words: np.ndarray
-    dense: np.ndarray
-    scale: tuple[np.ndarray, np.ndarray]
-    text_bias: float
-    meta: np.ndarray
-    meta_bias: float
+    weights: list[np.ndarray]
+    scales: list[tuple[np.ndarray, np.ndarray]]
     calibration: np.ndarray
+    #: Held-out loss of the text view, the metadata view and both after each round, that before the first one foremost.
+    losses: list[tuple[float, float, float]] = field(default_factory=list)
 
-    def text_logit(self, texts: list[bytes]) -> np.ndarray:
-        bucket, n, dense = text_view(texts)
-        acc = np.concatenate([[0.0], np.cumsum(self.words[bucket])])
-        first = np.concatenate([[0], np.cumsum(n)])
-        out = np.diff(acc[first]) / np.sqrt(np.maximum(n, 1))
-        return out + ((dense - self.scale[0]) / self.scale[1]) @ self.dense + self.text_bias
-
-    def meta_logit(self, source: list, lang: list, n_chars: list) -> np.ndarray:
-        return self.meta[meta_view(source, lang, n_chars)].sum(1) + self.meta_bias
+    def scaled(self, both: tuple[Sparse, Sparse]) -> tuple[Sparse, ...]:
+        return tuple(Sparse(x.row, x.column, x.value, x.width, (x.dense - mean) / spread) for x, (mean, spread) in zip(both, self.scales, strict=True))
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, both: tuple[Sparse, Sparse]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, of the metadata view and of both."""
         c = self.calibration
-        a, b = c[0] + c[1] * text, c[2] + c[3] * meta
+        z = [x.dot(w) for x, w in zip(self.scaled(both), self.weights, strict=True)]
+        a, b = c[0] + c[1] * z[TEXT], c[2] + c[3] * z[PAGE]
         return _sigmoid(a), _sigmoid(b), _sigmoid(c[4] + c[5] * a + c[6] * b)
 
 
-def learn(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Model | None:
-    """A model from rows (vector, source, lang, n_chars, label) and pool rows without label; None without labels of both kinds."""
-    y = np.array([r[4] for r in labelled], float)
+def _loss(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))
+
+
+def _better(before: np.ndarray, after: np.ndarray) -> bool:
+    """Whether losses fell on the mean, by more than the standard error of the fall."""
+    fall = before - after
+    return fall.mean() > fall.std() / np.sqrt(len(fall))
+
+
+#: What a round's search gets: the model, the share of labels 1 and the round; what it gives: rows with FEATURES, the view that is
+#: sure of each, and its label.
+Search = Callable[[Model, float, int], tuple[pa.Table, np.ndarray, np.ndarray]]
+
+
+def learn(labelled: pa.Table, y: np.ndarray, search: Search | None = None, rounds: int = ROUNDS) -> Model | None:
+    """A model from rows with FEATURES and their labels; None without labels of both kinds. ``search`` finds what the views
+    hand to each other."""
     if len(set(y.tolist())) < 2:
         return None
-    rows = [*labelled, *pool]
-    text = np.stack([r[0] for r in rows])
-    dense = text[:, BUCKETS:]
-    scale = dense.mean(0), dense.std(0) + 1e-6
-    dense[:] = (dense - scale[0]) / scale[1]
-    places = meta_view(*zip(*(r[1:4] for r in rows), strict=True))
-    meta = np.zeros((len(rows), META), np.float32)
-    np.put_along_axis(meta, places, 1.0, 1)
-    views = (text, meta)
-    fold = np.arange(len(labelled)) % HELD_OUT == 0
+    fold = np.arange(len(y)) % HELD_OUT == 0
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
-        fold = np.zeros(len(labelled), bool)
+        fold = np.zeros(len(y), bool)
     train = np.flatnonzero(~fold)
     test = np.flatnonzero(fold) if fold.any() else train
-    # labels that each view learns from: the given ones and those from the other view
-    known = [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in views]
-    free = np.arange(len(labelled), len(rows))
-
-    def fitted(v: int) -> np.ndarray:
-        at = np.array(list(known[v]))
-        label = np.array(list(known[v].values()))
-        balance = np.where(label == 1, 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3))
-        return logistic(views[v][at], label, balance)
-
-    w = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(free) else 0):
-        most = max(1, int(PER_ROUND * len(free)))
-        for v in (0, 1):
-            p = _sigmoid(views[v][free] @ w[v][:-1] + w[v][-1])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                open_ = np.array([i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= SURE and int(free[i]) not in known[1 - v]][:most], int)
-                known[1 - v].update((int(free[i]), label) for i in open_)
-        w = [fitted(0), fitted(1)]
-    logits = [views[v][test] @ w[v][:-1] + w[v][-1] for v in (0, 1)]
-    calibration = []
-    for z in logits:
-        slope, bias = logistic(z[:, None], y[test])
-        calibration += [bias, slope]
-    a, b = (calibration[2 * v] + calibration[2 * v + 1] * logits[v] for v in (0, 1))
-    both = logistic(np.stack([a, b], 1), y[test])
-    calibration += [both[-1], both[0], both[1]]
-    return Model(w[0][:BUCKETS].astype(float), w[0][BUCKETS:-1], scale, float(w[0][-1]), w[1][:-1], float(w[1][-1]), np.array(calibration))
-
-
-def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text replaced by its vector, which has one size however long the text is."""
-    for batch in batches:
-        for part, texts in blocks(batch):
-            arrays = [part.column(n) for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([v.tobytes() for v in vectors(texts)], pa.binary())], [*(n for n in part.schema.names if n != "text"), "vector"])
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[list[tuple], list[tuple]]:
-    """(vector, source, lang, n_chars, label) of up to about MAX_LABELLED rows with labels, and up to about MAX_POOL without, by
-    hash of doc_id. Texts stay where they are: the driver gets vectors of a fixed size."""
-    docs = docs.filter("doc_id is not null").select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), F.col("text").cast("binary").alias("text"))
-    labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    n_docs, n_labels = docs.count(), labels.count()
-    if not n_labels or not n_docs:
-        return [], []
-    shape = "doc_id long, source string, lang string, n_chars long, {}vector binary"
-    # the sample of labels has a fixed bound, which makes it fit for a broadcast
-    some = labels.filter(ticket < min(1.0, MAX_LABELLED / n_labels) * (1 << 20)).limit(2 * MAX_LABELLED)
-    marked = docs.join(F.broadcast(some), "doc_id").select("doc_id", "source", "lang", "n_chars", "label", "text")
-    rows = marked.mapInArrow(_vector_rows, shape.format("label int, ")).collect()
-    # tickets of their own; those with a label are known already
-    loose = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < min(1.0, MAX_POOL / n_docs) * (1 << 20)).mapInArrow(_vector_rows, shape.format("")).collect()
-    order = lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["vector"]))
-    seen = {r["doc_id"] for r in rows}
-    row = lambda r: (np.frombuffer(r["vector"], np.float32), r["source"], r["lang"], r["n_chars"])
-    return [(*row(r), r["label"]) for r in sorted(rows, key=order)], [row(r) for r in sorted(loose, key=order) if r["doc_id"] not in seen]
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    raw = views(labelled)
+    scales = [(x.dense[train].mean(0), x.dense[train].std(0) + 1e-6) for x in raw]
+    model = Model([], scales, np.zeros(7))
+    given = model.scaled(raw)
+    held = [x.take(test) for x in given]
+    # what each view has learned from the other: rows, labels
+    gained: list[tuple[list[Sparse], list[np.ndarray]]] = [([], []), ([], [])]
+
+    def fitted(v: int, rows: list[Sparse], labels: list[np.ndarray]) -> np.ndarray:
+        parts = [given[v].take(train), *rows]
+        begin = np.concatenate([[0], np.cumsum([len(p.dense) for p in parts])])
+        x = Sparse(
+            np.concatenate([p.row + b for p, b in zip(parts, begin, strict=False)]), np.concatenate([p.column for p in parts]), np.concatenate([p.value for p in parts]),
+            parts[0].width, np.concatenate([p.dense for p in parts]),
+        )
+        label = np.concatenate([y[train], *labels])
+        trust = np.concatenate([np.ones(len(train)), *(np.full(len(a), TRUST) for a in labels)])
+        ones = (trust * label).sum() / trust.sum()
+        return logistic(x, label, trust * np.where(label == 1, 0.5 / ones, 0.5 / (1 - ones)))
+
+    def calibrated(w: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        c: list[float] = []
+        logits = []
+        for x, weights in zip(held, w, strict=True):
+            z = x.dot(weights)
+            slope, bias = logistic(_dense(z), y[test], l2=L2_CALIBRATION)
+            c += [bias, slope]
+            logits.append(bias + slope * z)
+        both = logistic(_dense(*logits), y[test], l2=L2_CALIBRATION)
+        c += [both[2], both[0], both[1]]
+        total = both[2] + both[0] * logits[0] + both[1] * logits[1]
+        return np.array(c), [_loss(_sigmoid(z), y[test]) for z in (*logits, total)]
+
+    model.weights = [fitted(v, *gained[v]) for v in (TEXT, PAGE)]
+    model.calibration, losses = calibrated(model.weights)
+    model.losses.append(tuple(float(x.mean()) for x in losses))
+    for turn in range(rounds if search else 0):
+        rows, view, label = search(model, float(y.mean()), turn)
+        if not rows.num_rows:
+            break
+        kept = False
+        for v, x in enumerate(model.scaled(views(rows))):
+            # what the other view is sure of
+            pick = np.flatnonzero(view == 1 - v)
+            if not len(pick):
+                continue
+            more = [*gained[v][0], x.take(pick)], [*gained[v][1], label[pick].astype(float)]
+            tried = list(model.weights)
+            tried[v] = fitted(v, *more)
+            calibration, after = calibrated(tried)
+            # given labels have the last word on what the guessed ones taught
+            if _better(losses[v], after[v]) and after[2].mean() <= losses[2].mean():
+                gained[v], model.weights, model.calibration, losses, kept = more, tried, calibration, after, True
+        model.losses.append(tuple(float(x.mean()) for x in losses))
+        if not kept:
+            break
+    return model
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, bucket, count, place, dense) of each row of docs: its features, and a hash of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in blocks(batch):
+                arrays = _feature_arrays(texts, *(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *arrays], ["doc_id", "key", "bucket", "count", "place", "dense"])
+
+    columns = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.col("text").cast("binary").alias("text")]
+    metadata = [F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
+    return docs.select(*columns, *metadata).mapInArrow(run, f"doc_id long, key long, {FEATURES}")
+
+
+def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> tuple[pa.Table, np.ndarray]:
+    """Features and labels of the first ``most`` labelled documents in order of a hash of doc_id. A label counts if it is 0 or
+    1; of several the greatest, of several texts under one doc_id that with the least hash."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    ticket = F.xxhash64("doc_id")
+    # labels can be of documents that aren't there, so the bound is set after the join
+    met = rows.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("key", "bucket", "count", "place", "dense")).alias("f"))
+    found = met.select(ticket.alias("ticket"), "doc_id", "label", "f.*").orderBy("ticket", "doc_id").limit(most).toArrow()
+    return found, found.column("label").to_numpy().astype(float)
+
+
+def pool_search(rows: DataFrame, known: np.ndarray, per_round: int = PER_ROUND, sure: float = SURE) -> Search:
+    """A search over all rows but the known doc_ids (sorted): counts what each view is sure of, then takes about as many as
+    wanted of each kind, by a hash that is drawn anew each round, copies of a text once."""
+
+    def verdicts(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        doc = batch.column("doc_id").fill_null(-1).to_numpy()
+        at = np.minimum(np.searchsorted(known, doc), max(len(known) - 1, 0))
+        free = known[at] != doc if len(known) else np.ones(len(doc), bool)
+        scores = model.score(views(batch))
+        for v in (TEXT, PAGE):
+            for label in (0, 1):
+                p = scores[v] if label else 1 - scores[v]
+                yield v, label, free & (p >= sure)
+
+    def search(model: Model, ones: float, turn: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        want = {(v, label): max(1, round(per_round * (ones if label else 1 - ones))) for v in (TEXT, PAGE) for label in (0, 1)}
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = dict.fromkeys(want, 0)
+            for batch in batches:
+                for v, label, good in verdicts(model, batch):
+                    seen[v, label] += int(good.sum())
+            columns = zip(*((v, label, n) for (v, label), n in seen.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["view", "label", "n"])
+
+        counts = rows.mapInArrow(count, "view long, label long, n long").groupBy("view", "label").agg(F.sum("n").alias("n")).collect()
+        share = {(r["view"], r["label"]): min(1.0, 2 * want[r["view"], r["label"]] / max(r["n"], 1)) for r in counts}
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ticket = batch.column("ticket").to_numpy()
+                for v, label, good in verdicts(model, batch):
+                    at = pa.array(np.flatnonzero(good & (ticket < share.get((v, label), 0.0) * (1 << 53))))
+                    part = batch.take(at)
+                    kind = [pa.array(np.full(len(at), x), pa.int64()) for x in (v, label)]
+                    yield pa.RecordBatch.from_arrays([*kind, *(part.column(c) for c in ("ticket", "key", "bucket", "count", "place", "dense"))], ["view", "label", "ticket", "key", "bucket", "count", "place", "dense"])
+
+        drawn = rows.withColumn("ticket", F.shiftrightunsigned(F.xxhash64("doc_id", "key", F.lit(turn)), 11))
+        found = drawn.mapInArrow(pick, f"view long, label long, ticket long, key long, {FEATURES}").toArrow()
+        found = found.sort_by([(c, "ascending") for c in ("view", "label", "ticket", "key")])
+        v, label, key = (found.column(c).to_numpy() for c in ("view", "label", "key"))
+        taken, left, used = [], dict(want), set()
+        for i, kind in enumerate(zip(v.tolist(), label.tolist(), key.tolist(), strict=True)):
+            if kind not in used and left[kind[:2]]:
+                used.add(kind)
+                left[kind[:2]] -= 1
+                taken.append(i)
+        return found.take(pa.array(taken, pa.int64())), v[taken], label[taken]
+
+    return search
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) of each row of docs (doc_id, text, source, lang, n_chars).
 
     Scores are calibrated probabilities that the label is 1; keep is score >= 0.5. Labels other than 0 and 1 and null
     doc_ids teach nothing; of several labels of a document the greatest counts. If the labels are all alike, or there are
-    none, all scores are 0.5 and everything is kept. Null text is empty, null metadata have a place of their own. Repeated
-    rows give equal rows; other columns are ignored; an empty table gives no rows.
+    none, all scores are 0.5 and everything is kept. At most MAX_LABELLED labelled documents are learned from; what the
+    views teach each other comes from all others. Null text is empty, null metadata have a place of their own. Texts are
+    read whole. Equal rows get equal scores, however often they come; other columns are ignored, also such with names of
+    the result; an empty table gives no rows.
     """
-    model = learn(*training_rows(docs, labels, label))
+    rows = stash(features(docs))
+    known, y = labelled_rows(rows, labels, label)
+    model = learn(known, y, pool_search(rows, np.sort(known.column("doc_id").to_numpy())), rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch):
-                if model:
-                    a = model.text_logit(texts)
-                    b = model.meta_logit(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-                    # sums depend a little on a text's neighbours in the block
-                    scores = tuple(np.round(p, 9) for p in model.score(a, b))
-                else:
-                    scores = (np.full(len(texts), 0.5),) * 3
-                arrays = [part.column("doc_id"), *(pa.array(s) for s in scores), pa.array(scores[2] >= 0.5)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_score", "meta_score", "score", "keep"])
-
-    columns = [F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+            scores = [np.round(p, 9) for p in model.score(views(batch))] if model else [np.full(batch.num_rows, 0.5)] * 3
+            arrays = [batch.column("doc_id"), *(pa.array(s) for s in scores), pa.array(scores[2] >= 0.5)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_score", "meta_score", "score", "keep"])
+
+    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
