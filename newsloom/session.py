@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "newsloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -42,12 +43,16 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs and tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder set by setCheckpointDir, or,
+    for a local master only, a temporary one; on a cluster that is an error, as its machines have no folder in common then."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -62,3 +67,17 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plain_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:
+    """left.join(right, keys, how) with an exchange right below the join on both sides, also where right was just aggregated by
+    the keys and would come without one: adaptive execution splits a hot key only then. For left joins ``spread`` names a
+    column of left that deals out its rows with a null key, which match nothing, instead of leaving them to one task."""
+    mark = F.xxhash64(*keys)
+    of_left = mark
+    if spread:
+        missing = F.lit(False)
+        for k in keys:
+            missing = missing | F.col(k).isNull()
+        of_left = F.when(missing, F.xxhash64(spread)).otherwise(mark)
+    return left.withColumn("_mark", of_left).join(right.withColumn("_mark", mark), [*keys, "_mark"], how).drop("_mark")
