@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import cut
+from newsloom.session import cut, plain_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node to the least node among them and itself. Minima are aggregated before they meet the
-    edges again, so a node with very many edges is never gathered in one place."""
+    edges again, and they meet in a join with plain exchanges on both sides, so that adaptive execution can split a node with
+    very many edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    met = plain_join(both, least, ["u"])
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
 from newsloom.llm.kernels import blocks
-from newsloom.session import cut
+from newsloom.session import cut, plain_join
 
 BITS = 64
 MAX_BITS = 4
@@ -253,7 +253,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within MAX_BITS of the distinct fingerprints fps (fp).
 
     A key with over BUCKET fingerprints is not compared pair by pair: its fingerprints are linked through the words halfway,
-    exactly and in proportion to their number.
+    exactly and in proportion to their number, at 2,081 rows each. One task reads the fingerprints of a key, as a stream, of
+    which it holds BUCKET and a batch.
     """
     shape = "key long, fp long"
     # each fingerprint makes some two hundred rows, so they are spread before, not after
@@ -277,7 +278,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     marked = cut(fingerprints(docs, shingle))
     per_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     label = components(links(per_fp.select("fp"))).select(F.col("node").alias("fp"), "label")
-    grouped = per_fp.join(label, "fp", "left").select("fp", "first_doc", F.coalesce("label", "fp").alias("label"))
-    heads = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of_fp = grouped.join(heads, "label").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # only fingerprints with links have to find their component's head
+    grouped = per_fp.join(label, "fp")
+    heads = grouped.groupBy("label").agg(F.min("first_doc").alias("head"))
+    of_linked = plain_join(grouped, heads, ["label"]).select("fp", "head")
+    of_fp = per_fp.join(of_linked, "fp", "left").select("fp", F.coalesce("head", "first_doc").alias("component_id"))
+    return plain_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
