@@ -24,6 +24,11 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END, FIRST_FREE, MAX_CODES = 256, 257, 258, 4096
 
+#: Bytes that a byte of a strip can stand for at most.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: MAX_CODES, ADOBE_DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Larger pages are errors, whatever the file says.
+MAX_PAGE_BYTES = 1 << 30
+
 #: A payload row: 64 pixels of 3 samples.
 PIXELS, CHANNELS = 64, 3
 ROW = PIXELS * CHANNELS
@@ -49,9 +54,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
+    """At least the first ``most`` bytes; not many more."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -115,13 +121,15 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
+    """At least the first ``most`` bytes; not many more."""
     start = [bytes((b,)) for b in range(256)] + [b"", b""]
     table = list(start)
     out: list[bytes] = []
     acc = bits = at = 0
     width, word = 9, None
-    while True:
+    made = 0
+    while made < most:
         while bits < width:
             if at >= len(data):
                 return b"".join(out)
@@ -136,7 +144,7 @@ def lzw_decode(data: bytes) -> bytes:
             table, width, word = list(start), 9, None
             continue
         if word is None:
-            entry = table[code]
+            entry = table[code]  # IndexError: no such code yet
         else:
             if code < len(table):
                 entry = table[code]
@@ -148,7 +156,9 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) + 1 >= 1 << width and width < 12:
                 width += 1
         out.append(entry)
+        made += len(entry)
         word = entry
+    return b"".join(out)
 
 
 def inflate(data: bytes, most: int) -> bytes:
@@ -271,6 +281,13 @@ def read_page(data: bytes, order: str, tags: dict[int, list]) -> dict:
         kind, line = None, -(-tw * inner * depth // 8)
         if tiled or planes > 1:
             raise ValueError(f"tiles or planes of {depth} bits")
+    # what the file claims is checked against what its strips can hold, before any of it is allocated
+    size = height * -(-width * samples * depth // 8)
+    stored = sum(min(n, len(data)) for n in sizes[: across * down * planes])
+    if packing not in EXPANSION:
+        raise ValueError(f"compression {packing}")
+    if max(size, th * line) > min(MAX_PAGE_BYTES, stored * EXPANSION[packing]):
+        raise ValueError("page larger than its strips can be")
     out = np.zeros((height, width, samples), kind.newbyteorder("<")) if kind is not None else None
     loose: list[bytes] = []
     for i in range(across * down * planes):
@@ -280,13 +297,11 @@ def read_page(data: bytes, order: str, tags: dict[int, list]) -> dict:
         if one(FILL_ORDER, 1) == 2:
             raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")).tobytes()
         if packing == PACKBITS:
-            raw = packbits_decode(raw)
+            raw = packbits_decode(raw, rows * line)
         elif packing == LZW:
-            raw = lzw_decode(raw)
-        elif packing in (ADOBE_DEFLATE, OLD_DEFLATE):
-            raw = inflate(raw, rows * line)
+            raw = lzw_decode(raw, rows * line)
         elif packing != NONE:
-            raise ValueError(f"compression {packing}")
+            raw = inflate(raw, rows * line)
         if len(raw) < rows * line:
             raise ValueError("a strip or tile is short")
         raw = raw[: rows * line]
@@ -331,32 +346,39 @@ PAGE_FIELDS = {
 PAGE_SHAPE = "page int, width long, height long, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, feature string, error string"
 
 
-def pages_of(data: bytes | None) -> list[dict]:
+def walk_pages(data: bytes | None) -> Iterator[dict]:
     """The pages of a TIFF in order. What can't be read is a page with only ``error`` set, and pages before it stay."""
-    if data is None:
-        return [{"page": 0, "error": "null"}]
-    out: list[dict] = []
+    n = 0
     try:
-        for order, tags in directories(data):
+        for order, tags in directories(data) if data is not None else ():
             try:
                 page = read_page(data, order, tags)
                 line = len(page["pixels"]) // page["height"]
                 mean = np.frombuffer(page["pixels"], np.uint8).mean()
                 page["feature"] = f"{page['width']}x{page['height']}:{mean:.3f}:{average_hash(page['pixels'], line):016x}"
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                 page = {"error": str(e)[:200] or type(e).__name__}
-            out.append({"page": len(out), **page})
-    except (ValueError, struct.error) as e:
-        out.append({"page": len(out), "error": str(e)[:200]})
-    return out or [{"page": 0, "error": "no page"}]
+            yield {"page": n, **page}
+            n += 1
+    except (ValueError, OverflowError, struct.error) as e:
+        yield {"page": n, "error": str(e)[:200]}
+        return
+    if not n:
+        yield {"page": 0, "error": "null" if data is None else "no page"}
+
+
+def pages_of(data: bytes | None) -> list[dict]:
+    """All pages of walk_pages()."""
+    return list(walk_pages(data))
 
 
 def tiff_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of each TIFF in ``column``: the row's other columns (but those named like a page's fields) and
     page, width, height, samples, bits, compression, predictor, tiled, pixels, feature, error.
 
-    Null, empty or damaged media give one row with ``error``; a damaged page doesn't hide the others. Rows are independent
-    of each other: repeats give repeated rows, an empty table none.
+    Null, empty or damaged media give one row with ``error``; a damaged page doesn't hide the others. A page that claims more
+    bytes than its strips can hold, or more than MAX_PAGE_BYTES, is damaged. Rows are independent of each other: repeats give
+    repeated rows, an empty table none.
     """
     kept = [f for f in media.schema.fields if f.name == column or f.name not in PAGE_FIELDS]
     names = [f.name for f in kept]
@@ -365,32 +387,43 @@ def tiff_pages(media: DataFrame, column: str = "media") -> DataFrame:
         for batch in batches:
             rows: list[dict] = []
             at: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                arrays = [batch.column(n).take(pa.array(at, pa.int64())) for n in names]  # noqa: B023
+                arrays += [pa.array([r.get(k) for r in rows], t) for k, t in PAGE_FIELDS.items()]  # noqa: B023
+                return pa.RecordBatch.from_arrays(arrays, [*names, *PAGE_FIELDS])
+
             size = 0
             for i, data in enumerate(batch.column(column).to_pylist()):
-                found = pages_of(data)
-                rows += found
-                at += [i] * len(found)
-                size += sum(len(p.get("pixels") or b"") for p in found)
-                if size > 4 << 20 or i + 1 == batch.num_rows:
-                    arrays = [batch.column(n).take(pa.array(at, pa.int64())) for n in names]
-                    arrays += [pa.array([r.get(k) for r in rows], t) for k, t in PAGE_FIELDS.items()]
-                    yield pa.RecordBatch.from_arrays(arrays, [*names, *PAGE_FIELDS])
-                    rows, at, size = [], [], 0
+                for page in walk_pages(data):
+                    rows.append(page)
+                    at.append(i)
+                    size += len(page.get("pixels") or b"") + len(data or b"")
+                    if size > 4 << 20:
+                        yield made()
+                        rows, at, size = [], [], 0
+            if rows:
+                yield made()
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return media.select(*names).mapInArrow(run, f"{shape}, {PAGE_SHAPE}")
 
 
 def payload_tiff(text: bytes) -> bytes:
-    """The TIFF of a text: bytes padded with spaces to whole rows of 64 RGB pixels; small ones in PackBits strips, tall ones
-    in deflate tiles, others in deflate strips, all with horizontal differences."""
+    """The TIFF of a text: bytes padded with spaces to whole rows of 64 RGB pixels with horizontal differences; a checksum of
+    the text deals out PackBits, LZW and deflate; tall pages are in tiles, others in strips."""
     rows = max(1, -(-len(text) // ROW))
     page = np.frombuffer(text.ljust(rows * ROW, PAD), np.uint8).reshape(rows, PIXELS, CHANNELS)
-    return encode_tiff([page], PACKBITS if rows <= 2 else ADOBE_DEFLATE, 2, tile=(64, PIXELS) if rows >= 256 else None)
+    packing = (PACKBITS, LZW, ADOBE_DEFLATE)[zlib.crc32(text) % 3]
+    return encode_tiff([page], packing, 2, tile=(64, PIXELS) if rows >= 256 else None)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) of each row of docs (doc_id, text): the text's bytes (null: none) as a TIFF."""
+    """(doc_id, n_bytes, media) of each row of docs (doc_id, text): the text's bytes (null: none) as a TIFF.
+
+    Whole texts, however long, are one page each. The media depend on the text alone, so repeated rows and null ids are like
+    any other; other columns, also such with names of the result, are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

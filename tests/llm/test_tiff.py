@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -82,6 +83,8 @@ def test_text_media(spark):
         assert bytes(row.pixels) == raw.ljust(max(1, -(-len(raw) // 192)) * 192)
     assert got[2].feature == got[6].feature and got[2].media == got[6].media
     assert [r.tiled for r in got] == [False] * 5 + [True, False]
+    many = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    assert {r.compression for r in tiff.tiff_pages(tiff.text_media(many)).collect()} == {tiff.PACKBITS, tiff.LZW, tiff.ADOBE_DEFLATE}
     assert tiff.tiff_pages(tiff.text_media(docs.filter("false"))).count() == 0
 
 
@@ -89,3 +92,33 @@ def test_column_names_that_clash(spark):
     media = spark.createDataFrame([(1, bytearray(tiff.payload_tiff(b"hi")), "mine", 5)], "doc_id long, media binary, error string, page int")
     row = tiff.tiff_pages(media).first()
     assert row.error is None and row.page == 0
+
+
+@pytest.mark.parametrize("compression", COMPRESSIONS)
+@pytest.mark.parametrize("sizes", [{tiff.WIDTH: 4_000_000, tiff.HEIGHT: 4_000_000_000}, {tiff.HEIGHT: 4_000_000_000}, {tiff.WIDTH: 4_000_000_000}, {tiff.SAMPLES: 60_000}])
+def test_claims_of_huge_pages_are_errors(compression, sizes):
+    data = tiff.encode_tiff([np.zeros((4, 64, 3), np.uint8)], compression)
+    order, tags = next(tiff.directories(data))
+    with pytest.raises(ValueError):
+        tiff.read_page(data, order, tags | {k: [v] for k, v in sizes.items()} | ({tiff.BITS: [8] * 3}))
+    tiles = tiff.encode_tiff([np.zeros((4, 64, 3), np.uint8)], compression, tile=(16, 64))
+    order, tags = next(tiff.directories(tiles))
+    with pytest.raises(ValueError):
+        tiff.read_page(tiles, order, tags | {tiff.TILE_HEIGHT: [4_000_000_000]})
+
+
+def test_decoders_stop():
+    assert len(tiff.packbits_decode(bytes((129, 7)) * 10_000, 1000)) < 1200
+    assert len(tiff.lzw_decode(tiff.lzw_encode(b"a" * 2_000_000), 1000)) < 6000
+    assert len(tiff.inflate(zlib.compress(b"a" * 2_000_000), 1000)) == 1000
+
+
+def test_damage_anywhere_is_an_error_or_a_page():
+    rng = np.random.default_rng(8)
+    for compression in COMPRESSIONS:
+        data = tiff.encode_tiff([rng.integers(0, 9, (20, 64, 3)).astype(np.uint8)] * 2, compression)
+        for _ in range(150):
+            bad = bytearray(data)
+            for at in rng.integers(0, len(bad), 4):
+                bad[at] = rng.integers(0, 256)
+            assert tiff.pages_of(bytes(bad))
