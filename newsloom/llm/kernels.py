@@ -56,6 +56,16 @@ def blocks(batch: pa.RecordBatch, name: str = "text", most: int = BLOCK_BYTES) -
         begin = end
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of bytes."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    up, down = _power("byte", len(buf))
+    acc = np.zeros(len(buf) + 1, _U)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=acc[1:])
+    return mix((acc[ends] - acc[starts]) * down[starts])
+
+
 class Words:
     """Words of a block of texts: byte ranges in ``buf``, and for each text the range ``first[i]:first[i + 1]`` of its words."""
 
@@ -72,12 +82,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        up, down = _power("byte", len(self.buf))
-        acc = np.zeros(len(self.buf) + 1, _U)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=acc[1:])
-        return mix((acc[self.ends] - acc[self.starts]) * down[self.starts])
+        return span_hashes(self.buf, self.starts, self.ends)
 
     def text_of(self) -> np.ndarray:
         """The index of the text that each word is in."""

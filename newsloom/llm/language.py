@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.kernels import blocks
+from newsloom.llm.kernels import blocks, mix
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Bound of the training sample: labelled texts of each language, and windows of each of them.
-TEXTS_PER_LANGUAGE = 400
-WINDOWS_PER_TEXT = 4
+#: Bound of the training sample: about so many windows of labelled texts of each language.
+WINDOWS_PER_LANGUAGE = 1600
 EPOCHS = 6
 BATCH = 64
 UNKNOWN = "und"
@@ -150,33 +149,40 @@ def has_letter(text: bytes) -> bool:
 
 
 def held_out() -> F.Column:
-    """Documents that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Documents that nothing is learned from; one without a doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _picked(text: bytes) -> bytes:
-    """WINDOWS_PER_TEXT evenly spaced windows of a text (fewer if it has fewer), one after the other, filled up with spaces."""
+def _drawn(text: bytes, ticket: int, share: float) -> bytes:
+    """The windows of a text that a hash of their place draws, one after the other, the last filled up with spaces."""
     n = -(-len(text) // WINDOW)
-    at = sorted({round(i * (n - 1) / max(1, WINDOWS_PER_TEXT - 1)) for i in range(WINDOWS_PER_TEXT)}) if n and has_letter(text) else []
-    return b"".join(text[i * WINDOW : (i + 1) * WINDOW].ljust(WINDOW) for i in at)
+    if not n or not has_letter(text):
+        return b""
+    draws = mix(np.arange(n, dtype=np.uint64) + np.uint64(ticket & (1 << 64) - 1)) >> np.uint64(11)
+    at = np.flatnonzero(draws < np.uint64(share * (1 << 53)))
+    return b"".join(text[i * WINDOW : (i + 1) * WINDOW].ljust(WINDOW) for i in at.tolist())
 
 
-def training_sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(lang, windows) of about per_language texts of each language, by hash of doc_id; held-out documents and nulls are left
-    out. Texts stay where they are: the driver gets a few windows of each."""
+def training_sample(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
+    """(lang, windows) of about per_language windows of each language; every window of every labelled text can be drawn. Held-out
+    documents and nulls are left out. Texts stay where they are: the driver gets the windows."""
     known = docs.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    n = F.sum(F.ceil(F.octet_length("text") / WINDOW))
+    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).agg(n.alias("n")).collect()}
+    shares = {lang: min(1.0, per_language / n) for lang, n in counts.items() if n}
+    if not shares:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in blocks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([_picked(t) for t in texts], pa.binary())], ["lang", "h", "windows"])
+                lang, h = part.column("lang").to_pylist(), part.column("h").to_pylist()
+                drawn = [_drawn(t, k, shares.get(g, 0.0)) for t, g, k in zip(texts, lang, h, strict=True)]
+                some = [i for i, w in enumerate(drawn) if w]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], t) for x, t in ((lang, pa.string()), (h, pa.int64()), (drawn, pa.binary()))], ["lang", "h", "windows"])
 
-    share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_language / n))))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = picked.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, h long, windows binary").collect()
+    picked = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"))
+    rows = picked.mapInArrow(run, "lang string, h long, windows binary").collect()
     return [(r["lang"], bytes(r["windows"])) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["windows"])))]
 
 
@@ -191,8 +197,9 @@ def learn(sample: list[tuple[str, bytes]]) -> Network | None:
 def identify(docs: DataFrame, model: Network | None = None) -> DataFrame:
     """docs with lang_pred and score (0 to 1), by a network learned from docs itself unless one is given.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Only
-    ``text`` is an input of a prediction, so equal texts get equal results and null ids don't matter. Other columns are
+    A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Of equally
+    probable languages the first in order of name is taken. Whole texts are classified, window by window. Only ``text`` is
+    an input of a prediction, so equal texts get equal results and null ids don't matter. Other columns are
     kept; ones named lang_pred or score are replaced. An empty table gives no rows.
     """
     model = model or learn(training_sample(docs))

@@ -22,7 +22,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(texts(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "crf")
-    return found.select("doc_id", *(of_kind(k) for k in ("assign", "access", "hex", "crf")), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("secrets")).alias("spans"))
+    digest = F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *(of_kind(k) for k in ("assign", "access", "hex")), digest, _listed(F.col("secrets")).alias("spans"), of_kind("crf"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

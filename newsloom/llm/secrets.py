@@ -1,8 +1,8 @@
 """Secret scanning: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field labels the tokens of a line O, B or I (outside, begin, inside of a secret). Features of a token are its shape
-(length, kinds of characters, changes between them), the kinds of its neighbours (key words, separators, quotes) and of its
-file (how much punctuation and how many digits it has). Weights are learned in numpy from lines of the corpus, labelled by
+(length, kinds of characters, changes between them), its neighbours (the words before it, hashed, and kinds: key words,
+separators, quotes) and its file (how much punctuation and how many digits it has). Weights are learned in numpy from lines of the corpus, labelled by
 the fixed patterns, and from made-up lines with secrets and look-alikes; the best labels of a line come from Viterbi.
 """
 
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.kernels import blocks
+from newsloom.llm.kernels import blocks, span_hashes
 
 # The fixed patterns and the least lengths of their matches (of the value, for an assignment).
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
+#: A necessary condition of a match, for the training sample.
+LOOKS_LIKE = r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}"
 KINDS = ("assign", "access", "hex", "crf")
 
 #: Words that announce a secret, as whole tokens in lower case.
@@ -31,8 +33,9 @@ KEY_WORDS = (
     "password passwd passphrase pwd secret client_secret token access_token auth_token auth authorization bearer apikey api_key api-key "
     "key access_key secret_key private_key credential credentials"
 ).split()
-#: Bounds of the training sample: documents, and parts of lines of at most LINE_CHARS from each.
-SAMPLE_DOCS, LINES_PER_DOC, LINE_CHARS = 2000, 40, 160
+#: Bounds of the training sample: lines of the corpus with a match of the fixed patterns, and without, in parts of at most
+#: LINE_CHARS; and made-up lines.
+MATCHED, PLAIN_LINES, LINE_CHARS = 400, 400, 160
 MADE_UP = 600
 EPOCHS = 70
 O, B, I = 0, 1, 2
@@ -47,6 +50,8 @@ _UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _LOWER[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = True
 _MARK[list(b"+/_.-")] = True
 _HEX[list(b"0123456789abcdef")] = True
+_FOLD = np.arange(256, dtype=np.uint8)  # A-Z as a-z
+_FOLD[_UPPER] += 32
 _KIND = np.zeros(256, np.uint8)  # what a character is for the count of changes
 _KIND[_DIGIT], _KIND[_UPPER], _KIND[_LOWER] = 1, 2, 3
 _LENGTHS = np.array([2, 4, 8, 12, 16, 24, 40])
@@ -54,8 +59,11 @@ _LENGTHS = np.array([2, 4, 8, 12, 16, 24, 40])
 PLAIN, KEY, EQUALS, COLON, QUOTE, PUNCTUATION, RANDOM, EDGE = range(8)
 _PUNCT_KIND = np.full(256, PUNCTUATION, np.uint8)
 _PUNCT_KIND[ord("=")], _PUNCT_KIND[ord(":")], _PUNCT_KIND[[ord('"'), ord("'")]] = EQUALS, COLON, QUOTE
-#: Values of each feature: shape, characters, hex, own kind, three kinds before, one after, own shape with the nearest kinds, file, bias.
-SIZES = (8 * 16, 3 * 4 * 4, 2 * 4, 8, 8, 8, 8, 8, 8 * 64, 9 * 8, 1)
+#: Places of hashed words.
+WORD_PLACES = 256
+#: Values of each feature: shape, characters, hex, own kind, three kinds before, one after, own shape with the nearest kinds, file,
+#: the nearest and the second nearest word before, bias.
+SIZES = (8 * 16, 3 * 4 * 4, 2 * 4, 8, 8, 8, 8, 8, 8 * 64, 9 * 8, WORD_PLACES, WORD_PLACES, 1)
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 
 
@@ -130,6 +138,15 @@ class Tokens:
         part = lambda table, cuts: np.searchsorted(cuts, np.diff(np.concatenate([[0], np.cumsum(table[buf])])[self.at]) / total, "right")
         file = part(_CLASS == 3, [0.03, 0.12]) * 3 + part(_DIGIT, [0.01, 0.1])
         out[:, 9] = file[self.text] * 8 + np.minimum(length, 7)
+        # words of the line before a token, wherever separators stand between; place 0: none
+        at = np.flatnonzero(word)
+        place = (span_hashes(_FOLD[buf], s[at], e[at]) >> np.uint64(32)).astype(np.int64) % (WORD_PLACES - 1) + 1
+        before = np.concatenate([[0], np.cumsum(word)[:-1]]) - 1
+        for column, back in ((10, 0), (11, 1)):
+            k = np.maximum(before - back, 0)
+            if len(at):
+                near = (before >= back) & (self.line[at[k]] == self.line)
+                out[:, column] = np.where(near, place[k], 0)
         return out + OFFSETS[:-1].astype(np.int32)
 
     def _maybe_keys(self, word: np.ndarray, size: np.ndarray, digits: np.ndarray) -> np.ndarray:
@@ -291,21 +308,12 @@ def value_spans(text: bytes) -> list[tuple[int, int]]:
     return out + [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
 
 
-def learn(texts: list[bytes], made_up: int = MADE_UP) -> Field:
-    """A field from sampled texts (lines without a match are thinned) and from made-up lines."""
-    lines: list[tuple[bytes, list[tuple[int, int]]]] = []
-    plain = 0
-    for text in texts:
-        for line in text.split(b"\n")[:LINES_PER_DOC]:
-            if 0 < len(line) <= 4 * LINE_CHARS:
-                spans = value_spans(line)
-                plain += not spans
-                if spans or plain % 16 == 1:
-                    lines.append((line, spans))
-    lines = sorted(lines, key=lambda x: not x[1])[:made_up] + made_up_lines(made_up)
-    tokens = Tokens([x for x, _ in lines])
+def learn(lines: list[bytes], made_up: int = MADE_UP) -> Field:
+    """A field from lines of the corpus, labelled by the fixed patterns, and from made-up lines."""
+    known = [(line, value_spans(line)) for line in lines] + made_up_lines(made_up)
+    tokens = Tokens([x for x, _ in known])
     y = np.zeros(len(tokens.starts), np.int64)
-    for i, (_, spans) in enumerate(lines):
+    for i, (_, spans) in enumerate(known):
         for a, b in spans:
             lo = np.searchsorted(tokens.ends, tokens.at[i] + a, "right")
             hi = np.searchsorted(tokens.starts, tokens.at[i] + b)
@@ -314,16 +322,16 @@ def learn(texts: list[bytes], made_up: int = MADE_UP) -> Field:
     return train(tokens.features(), tokens.line, y)
 
 
-def training_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[bytes]:
-    """About ``most`` texts by hash of doc_id, and of each LINES_PER_DOC parts of lines at most, of LINE_CHARS at most."""
-    known = docs.filter("doc_id is not null and text is not null")
-    n = known.count()
-    if not n:
-        return []
-    lines = F.slice(F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{LINE_CHARS}}}"), 0), 1, LINES_PER_DOC)
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, most / n) * (1 << 20))
-    rows = picked.select(F.xxhash64("doc_id").alias("h"), F.array_join(lines, "\n").cast("binary").alias("text")).collect()
-    return [bytes(r["text"]) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["text"])))]
+def training_lines(docs: DataFrame, matched: int = MATCHED, plain: int = PLAIN_LINES) -> list[bytes]:
+    """So many lines (in parts of LINE_CHARS at most) with and without what looks like a match of the fixed patterns, by a hash
+    of place and text; every line of every text can be drawn."""
+    parts = F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{LINE_CHARS}}}"), 0)
+    lines = docs.filter("text is not null").select("doc_id", F.posexplode(parts).alias("pos", "line"))
+    drawn = lines.select(F.xxhash64("doc_id", "pos", "line").alias("ticket"), "line", F.col("line").rlike(LOOKS_LIKE).alias("hit"))
+    out: list[bytes] = []
+    for hit, most in ((True, matched), (False, plain)):
+        out += [r["line"].encode() for r in drawn.filter(F.col("hit") == hit).orderBy("ticket", "line").limit(most).collect()]
+    return out
 
 
 def scan_block(texts: list[bytes], field: Field) -> list[list[tuple[int, int, str]]]:
@@ -364,11 +372,11 @@ def scan(docs: DataFrame, field: Field | None = None, redact: str | None = None)
     """docs with secrets: array of (kind, start, end) in code points, end exclusive, by start and then kind; with ``redact``,
     text has each span (overlapping ones as one) replaced by that string.
 
-    The field is learned from a bounded sample of docs unless one is given. Whole texts are scanned; a null text is empty
+    The field is learned from a bounded sample of the lines of docs unless one is given. Whole texts are scanned; a null text is empty
     (and stays null). Results depend on the text alone, so repeated rows and null ids are like any other. Other columns
     are kept, one named secrets is replaced. An empty table gives no rows.
     """
-    field = field or learn(training_texts(docs))
+    field = field or learn(training_lines(docs))
     docs = docs.drop("secrets")
     names = docs.columns
 

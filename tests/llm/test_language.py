@@ -81,8 +81,32 @@ def test_held_out_documents_teach_nothing(spark):
     assert sample and held and not held & {w.rstrip() for _, w in sample}
 
 
-def test_picked_windows():
-    text = b"".join(bytes([97 + i]) * 192 for i in range(9)) + b"z"
-    got = language._picked(text)
-    assert [got[i : i + 1] for i in range(0, len(got), 192)] == [b"a", b"d", b"g", b"z"] and len(got) == 4 * 192
-    assert language._picked(b"") == language._picked(b"123") == b"" and language._picked(b"ab") == b"ab".ljust(192)
+def test_windows_are_drawn_from_whole_texts():
+    text = b"".join(bytes([97 + i % 26]) * 192 for i in range(2000)) + b"z"
+    every = language._drawn(text, 5, 1.0)
+    assert every == text.ljust(2001 * 192)
+    some = language._drawn(text, 5, 0.1)
+    assert 120 < len(some) // 192 < 300 and some != language._drawn(text, 6, 0.1)
+    at = [i for i in range(2000) if language._drawn(text[: 192 * (i + 1)], 5, 0.1) != language._drawn(text[: 192 * i], 5, 0.1)]
+    assert min(at) < 100 and max(at) > 1900
+    assert language._drawn(b"", 1, 1.0) == language._drawn(b"123", 1, 1.0) == b"" and language._drawn(b"ab", 1, 1.0) == b"ab".ljust(192)
+
+
+def test_the_sample_is_bounded_by_language(spark):
+    rows = [(i, "abc " * (200 if i % 7 else 20_000), "aa" if i % 5 else "bb") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1000, "text", None), (None, "text", "cc")], "doc_id long, text string, lang string")
+    sample = language.training_sample(docs, 300)
+    n = {g: sum(len(w) // 192 for x, w in sample if x == g) for g in ("aa", "bb")}
+    assert all(200 < k < 400 for k in n.values()) and {g for g, _ in sample} == {"aa", "bb"}
+
+
+def test_ties_and_long_texts(spark):
+    net = language.Network(["aa", "bb"])
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
+    docs = spark.createDataFrame([(1, "word " * 100_000), (2, "x"), (2, "x")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in language.identify(docs, net).collect()] == [("aa", 0.5)] * 3
+
+
+def test_held_out_is_never_null(spark):
+    docs = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert {r.h for r in docs.select(language.held_out().alias("h")).collect()} <= {True, False}
