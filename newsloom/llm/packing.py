@@ -27,8 +27,8 @@ END_ID = 0
 #: Lengths that are tried as the second and third of a pattern, for each first length.
 PARTNERS = 16
 SWEEPS = 30
-#: Documents of equal length are ranked in so many parts.
-SALTS = 64
+#: About so many documents of equal length are ranked in one group; more of them are ranked in more groups.
+RANKED = 1 << 18
 
 #: Where the two tokenizer libraries below might cut words differently; such texts take the slower one.
 _UNSURE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]|<\|endoftext\|>")
@@ -72,7 +72,11 @@ def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each row's pieces; a null text has just the end id."""
+    """(doc_id, piece, start, length, ids_crc32) of each row's pieces; a null text has just the end id.
+
+    Whole texts are tokenised. Rows stand alone: repeated rows and null ids give pieces like any other, other columns are
+    ignored, an empty table gives none.
+    """
     paths = paths or tokenizer_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,37 +189,57 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
 
     A row's ids are those of its text (null: none) and END_ID; only rows of more than ``capacity`` ids are cut, the first
     piece taking what is over. Each row counts, also when it repeats a doc_id or has none. Other columns are ignored; an
-    empty table gives no rows. The driver sees the histogram of lengths by salt only: capacity x SALTS numbers at most.
+    empty table gives no rows. Pieces of equal length are ranked in groups of about RANKED, so the driver sees one number for
+    each length and one more for each RANKED pieces. Full pieces need no rank and take sequences of their own.
     """
-    pieces = cut(token_pieces(docs, paths, capacity)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    by_salt = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in pieces.groupBy("length", "salt").count().collect():
-        by_salt[row["length"], row["salt"]] = row["count"]
-    base = np.cumsum(by_salt, axis=1) - by_salt
+    pieces = cut(token_pieces(docs, paths, capacity))
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    groups = np.maximum(1, -(-counts // RANKED))
+    first_group = np.cumsum(groups) - groups
+    # groups are looked up in an array of one small number for each length
+    of_length = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.col("length").cast("int"))
+    crowded = np.flatnonzero(groups > 1)
+    if len(crowded):
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of_length(groups)).cast("int")
+        by_group = np.zeros(int(groups.sum()), np.int64)
+        salted = pieces.filter(F.col("length") < capacity).withColumn("salt", salt)
+        for row in salted.groupBy("length", "salt").count().collect():
+            by_group[first_group[row["length"]] + row["salt"]] = row["count"]
+        base = np.cumsum(by_group) - by_group
+        base -= base[np.repeat(first_group, groups)]
+    else:
+        salted = pieces.filter(F.col("length") < capacity).withColumn("salt", F.lit(0))
+        base = np.zeros(len(counts), np.int64)
     # each place of a pattern takes a range of ranks of its length; rank r goes to sequence first + r - low
     used = np.zeros(capacity + 1, np.int64)
     slots: list[tuple[int, int, int, int]] = []
     sequence = 0
-    for times, lengths in plan(by_salt.sum(1), capacity):
+    full, counts[capacity] = counts[capacity], 0
+    for times, lengths in plan(counts, capacity):
         offset = 0
         for length in lengths:
             slots.append((length, int(used[length]), sequence, offset))
             used[length] += times
             offset += length
         sequence += times
-    of_length, low, first, offset = np.array(sorted(slots), np.int64).reshape(-1, 4).T
-    key = of_length << 48 | low
+    slot_length, low, first, offset = np.array(sorted(slots), np.int64).reshape(-1, 4).T
+    key = slot_length << 48 | low
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = rank - 1 + base[length, salt]
+            rank = rank - 1 + base[first_group[length] + salt]
             at = np.searchsorted(key, length << 48 | rank, "right") - 1
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             arrays = [*kept, pa.array(first[at] + rank - low[at]), pa.array(offset[at])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order))
+    ranked = salted.withColumn("rank", F.row_number().over(order))
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, shape)
+    placed = ranked.mapInArrow(place, shape)
+    # of a table that is cut, so a task that runs again gives the same numbers
+    alone = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(sequence)).withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(alone) if full else placed

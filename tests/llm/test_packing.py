@@ -53,7 +53,9 @@ def test_fit_is_a_least_squares_solution():
     assert (x >= 0).all() and (gradient < 1e-2).all() and abs(gradient @ x) < 0.5
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("ranked", [1 << 18, 4])
+def test_pack(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["news", "loom", "Wörter", "x1"], k=rng.choice([0, 3, 40, 200, 900]))), 1) for i in range(120)]
     rows += [(120, None, 1), (121, "", 1), (5, rows[5][1], 2), (None, "a b c", 1)]
