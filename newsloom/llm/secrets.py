@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.kernels import blocks, span_hashes
@@ -33,7 +33,7 @@ KEY_WORDS = (
     "password passwd passphrase pwd secret client_secret token access_token auth_token auth authorization bearer apikey api_key api-key "
     "key access_key secret_key private_key credential credentials"
 ).split()
-#: Bounds of the training sample: lines of the corpus with a match of the fixed patterns, and without, in parts of at most
+#: Bounds of the training sample: lines of the corpus with a match of the fixed patterns, and any lines, in parts of at most
 #: LINE_CHARS; and made-up lines.
 MATCHED, PLAIN_LINES, LINE_CHARS = 400, 400, 160
 MADE_UP = 600
@@ -323,15 +323,18 @@ def learn(lines: list[bytes], made_up: int = MADE_UP) -> Field:
 
 
 def training_lines(docs: DataFrame, matched: int = MATCHED, plain: int = PLAIN_LINES) -> list[bytes]:
-    """So many lines (in parts of LINE_CHARS at most) with and without what looks like a match of the fixed patterns, by a hash
-    of place and text; every line of every text can be drawn."""
+    """So many lines (in parts of LINE_CHARS at most) with what looks like a match of the fixed patterns, and so many of all
+    lines, by a hash of place and text; every line of every text can be drawn."""
     parts = F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{LINE_CHARS}}}"), 0)
-    lines = docs.filter("text is not null").select("doc_id", F.posexplode(parts).alias("pos", "line"))
-    drawn = lines.select(F.xxhash64("doc_id", "pos", "line").alias("ticket"), "line", F.col("line").rlike(LOOKS_LIKE).alias("hit"))
-    out: list[bytes] = []
-    for hit, most in ((True, matched), (False, plain)):
-        out += [r["line"].encode() for r in drawn.filter(F.col("hit") == hit).orderBy("ticket", "line").limit(most).collect()]
-    return out
+
+    def drawn(some: DataFrame, test: Column, most: int) -> list[bytes]:
+        lines = some.select("doc_id", F.posexplode(parts).alias("pos", "line")).filter(test)
+        first = lines.select(F.xxhash64("doc_id", "pos", "line").alias("ticket"), "line").orderBy("ticket", "line").limit(most)
+        return [r["line"].encode() for r in first.collect()]
+
+    known = docs.filter("text is not null")
+    looks = lambda c: F.col(c).rlike(LOOKS_LIKE)
+    return drawn(known.filter(looks("text")), looks("line"), matched) + drawn(known, F.lit(True), plain)
 
 
 def scan_block(texts: list[bytes], field: Field) -> list[list[tuple[int, int, str]]]:
