@@ -15,9 +15,9 @@ from newsloom.functions.text import _col, nfkc, normalize_for_hash
 SHINGLE, BANDS, MAX_DISTANCE = 3, 4, 3
 
 
-def content_hash(text: Column | str, compose: bool = False) -> Column:
-    """SHA-256 of the normal form in hex; NULL if that is empty. ``compose`` applies NFKC first (an Arrow UDF)."""
-    return hash_of_normal(normalize_for_hash(nfkc(_col(text)) if compose else text))
+def content_hash(text: Column | str) -> Column:
+    """SHA-256 of the normal form, in compatibility composition, in hex; NULL if that is empty."""
+    return hash_of_normal(normalize_for_hash(nfkc(text)))
 
 
 def hash_of_normal(normal: Column | str) -> Column:
@@ -40,8 +40,8 @@ def _simhash(normal: pd.Series) -> pd.Series:
 
 
 def simhash64(text: Column | str) -> Column:
-    """Fingerprint of a text's normal form as a signed 64-bit number."""
-    return _simhash(normalize_for_hash(text))
+    """Fingerprint of a text's normal form, in compatibility composition, as a signed 64-bit number."""
+    return _simhash(normalize_for_hash(nfkc(text)))
 
 
 def simhash_of_normal(normal: Column | str) -> Column:

@@ -31,11 +31,16 @@ def normalize_for_hash(text: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark SQL lacks."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def nfkc(text: Column | str) -> Column:
+    """Unicode compatibility composition, which Spark SQL lacks, so an Arrow UDF sees the texts that aren't ASCII."""
+    c = _col(text)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_nfkc(F.when(F.octet_length(c) != F.length(c), c)))
+
+
 def word_count(text: Column | str) -> Column:
     """Words between spaces of any kind; NULL counts 0."""
     return F.coalesce(F.regexp_count(_col(text), F.lit(r"(?U)\S+")), F.lit(0))
@@ -51,21 +56,31 @@ def unescape_html(text: pd.Series) -> pd.Series:
 _BLANKS = "[ \\t\\r\\f\\x0b\\u00a0]+"
 
 
-def clean_text(text: Column | str) -> Column:
-    """Unescaped, tags to spaces if there are both angle brackets, horizontal white space collapsed; empty is NULL."""
-    plain = unescape_html(_col(text))
+def tidy(text: Column | str) -> Column:
+    """Tags to spaces if there are both angle brackets, horizontal white space collapsed; empty is NULL."""
+    plain = _col(text)
     untagged = F.when(F.contains(plain, F.lit("<")) & F.contains(plain, F.lit(">")), F.regexp_replace(plain, "<[^>]+>", " ")).otherwise(plain)
     return F.nullif(F.regexp_replace(F.regexp_replace(untagged, _BLANKS, " "), r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
-def clean_body(text: Column | str) -> Column:
-    """Unescaped, lines trimmed and collapsed, at most one blank line between paragraphs; empty is NULL."""
-    lines = F.split(unescape_html(_col(text)), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]")
+def clean_text(text: Column | str) -> Column:
+    """tidy() of a text with its character references resolved."""
+    return tidy(unescape_html(_col(text)))
+
+
+def tidy_body(text: Column | str) -> Column:
+    """Lines trimmed and collapsed, at most one blank line between paragraphs; empty is NULL."""
+    lines = F.split(_col(text), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]")
     trimmed = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, _BLANKS, " "), r"(?U)^\s+|\s+$", ""))
     joined = F.regexp_replace(F.array_join(trimmed, "\n"), "\n{3,}", "\n\n")
     return F.nullif(F.regexp_replace(joined, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+def clean_body(text: Column | str) -> Column:
+    """tidy_body() of a text with its character references resolved."""
+    return tidy_body(unescape_html(_col(text)))
+
+
 def split_keywords(values: Column | str) -> Column:
     """Keywords of an array of strings, each cut at comma, semicolon or bar: trimmed, 1 to 100 characters, first places kept, 50 at most."""
     parts = F.flatten(F.transform(_col(values), lambda v: F.split(v, KEYWORD_SEPARATOR)))

@@ -1,107 +1,143 @@
-"""Duplicate resolution of the article store: only originals have duplicates, the first to arrive wins."""
+"""Duplicate resolution of the article store: only originals have duplicates, the first to arrive wins, and what is stored stays decided."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import hashing
-from newsloom.functions.text import normalize_for_hash, word_count
-from newsloom.session import cut
+from newsloom.functions.text import nfkc, normalize_for_hash, word_count
+from newsloom.session import cut, plain_join
 
 MIN_WORDS_NEAR = 50
 #: A new extraction this much less confident than the stored one doesn't replace it.
 WORSE_BY = 0.1
+#: Before all arrivals, and after.
+EVER, NEVER = -1, (1 << 63) - 1
+WHO = ["workspace_id", "id"]
 
 
 def fingerprinted(articles: DataFrame, text: str = "body") -> DataFrame:
     """articles with content_hash and, from MIN_WORDS_NEAR words on, simhash."""
-    normal = articles.withColumn("_normal", normalize_for_hash(text)).withColumn("_long", F.when(word_count(text) >= MIN_WORDS_NEAR, F.col("_normal")))
+    normal = articles.withColumn("_normal", normalize_for_hash(nfkc(text))).withColumn("_long", F.when(word_count(text) >= MIN_WORDS_NEAR, F.col("_normal")))
     return normal.withColumn("content_hash", hashing.hash_of_normal("_normal")).withColumn("simhash", hashing.simhash_of_normal("_long")).drop("_normal", "_long")
 
 
-def near_pairs(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE, earlier: DataFrame | None = None) -> DataFrame:
-    """(workspace_id, id, earlier, distance) of articles (workspace_id, id, simhash) within max_distance, by an equi-join on pairs of
-    blocks. Equal fingerprints are joined once, as one; ``earlier`` (workspace_id, id, simhash) limits what may stand on the
-    earlier side."""
+def close_fingerprints(left: DataFrame, right: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> DataFrame:
+    """(workspace_id, simhash, other, distance) of the distinct fingerprints of left and right (workspace_id, simhash) within
+    max_distance, equal ones too, by an equi-join on pairs of blocks."""
     if not 0 <= max_distance <= hashing.MAX_DISTANCE:
         raise ValueError(f"keys find distances up to {hashing.MAX_DISTANCE} only")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        distinct = rows.filter("simhash is not null").select("workspace_id", F.col("simhash").alias(name)).distinct()
+        return distinct.select("workspace_id", name, F.explode(hashing.block_keys(name)).alias("b")).select("workspace_id", name, "b.band", "b.value")
+
+    met = keyed(left, "simhash").join(keyed(right, "other"), ["workspace_id", "band", "value"]).withColumn("distance", hashing.hamming("simhash", "other"))
+    return met.filter(F.col("distance") <= max_distance).select("workspace_id", "simhash", "other", "distance").distinct()
+
+
+def near_pairs(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> DataFrame:
+    """(workspace_id, id, earlier, distance) of articles (workspace_id, id, simhash) within max_distance. Of those that share a
+    fingerprint, the first stands for all on the earlier side, so copies of a text make as many rows as there are, not pairs."""
     known = articles.filter("simhash is not null").select("workspace_id", "id", "simhash")
-    distinct = known.select("workspace_id", "simhash").distinct()
-    keyed = distinct.select("workspace_id", "simhash", F.explode(hashing.block_keys("simhash")).alias("b")).select("workspace_id", "simhash", "b.band", "b.value")
-    other = keyed.select("workspace_id", "band", "value", F.col("simhash").alias("other"))
-    close = (
-        keyed.join(other, ["workspace_id", "band", "value"])
-        .filter(F.col("simhash") < F.col("other"))
-        .withColumn("distance", hashing.hamming("simhash", "other"))
-        .filter(F.col("distance") <= max_distance)
-        .select("workspace_id", "simhash", "other", "distance")
-        .distinct()
-    )
-    both = close.unionByName(close.select("workspace_id", F.col("other").alias("simhash"), F.col("simhash").alias("other"), "distance")).unionByName(
-        distinct.select("workspace_id", "simhash", F.col("simhash").alias("other"), F.lit(0).alias("distance"))
-    )
-    left = known.join(both, ["workspace_id", "simhash"])
-    right = (known if earlier is None else earlier).select("workspace_id", F.col("id").alias("earlier"), F.col("simhash").alias("other"))
-    return left.join(right, ["workspace_id", "other"]).filter("earlier < id").select("workspace_id", "id", "earlier", "distance")
+    heads = known.groupBy("workspace_id", "simhash").agg(F.min("id").alias("earlier"))
+    close = close_fingerprints(known, known, max_distance)
+    found = plain_join(known, close, ["workspace_id", "simhash"]).join(heads.withColumnRenamed("simhash", "other"), ["workspace_id", "other"])
+    return found.filter("earlier < id").select("workspace_id", "id", "earlier", "distance")
+
+
+def _decided(nodes: DataFrame, sources: DataFrame, max_distance: int) -> DataFrame:
+    """(workspace_id, id, best) of nodes (workspace_id, id, at, content_hash, simhash): the closest original at the time ``at``, NULL
+    for an original.
+
+    sources (workspace_id, id, content_hash, simhash, since, until, settled) are texts that articles had from ``since`` to
+    ``until``; a settled one's article is an original, another is a node itself. Whether an earlier article is an original is
+    decided first: each round decides the nodes whose neighbours are, and only what it decided meets the links still open.
+    """
+    then = (F.col("since") < F.col("at")) & (F.col("at") < F.col("until"))
+    right = sources.select("workspace_id", F.col("id").alias("earlier"), "content_hash", F.col("simhash").alias("other"), "since", "until", "settled")
+    same = plain_join(nodes.filter("content_hash is not null").drop("simhash"), right.filter("content_hash is not null").drop("other"), ["workspace_id", "content_hash"]).filter(then)
+    close = cut(close_fingerprints(nodes, sources, max_distance))
+    of_node = plain_join(nodes.filter("simhash is not null").drop("content_hash"), close, ["workspace_id", "simhash"])
+    near = plain_join(of_node, right.filter("other is not null").drop("content_hash"), ["workspace_id", "other"]).filter(then & (F.col("earlier") != F.col("id")))
+    link = F.struct("rank", "earlier")
+    ranked = same.select(*WHO, "earlier", "settled", F.lit(-1).alias("rank")).unionByName(near.select(*WHO, "earlier", "settled", F.col("distance").alias("rank")))
+    links = cut(ranked.groupBy(*WHO, "earlier", "settled").agg(F.min("rank").alias("rank")))
+    # the closest known original of each node, and links whose other end is yet to be decided
+    known = links.filter("settled").groupBy(*WHO).agg(F.min(link).alias("best"))
+    waiting = cut(nodes.select(*WHO).join(known, WHO, "left"))
+    open_ = links.filter("not settled").drop("settled")
+    done: list[DataFrame] = []
+    while True:
+        stuck = open_.select(*WHO).distinct()
+        fresh = cut(waiting.join(stuck, WHO, "left_anti"))
+        done.append(fresh)
+        waiting = cut(waiting.join(stuck, WHO, "left_semi"))
+        if waiting.isEmpty():
+            break
+        news = fresh.select("workspace_id", F.col("id").alias("earlier"), F.col("best").isNull().alias("original"))
+        met = plain_join(open_, news, ["workspace_id", "earlier"])
+        better = met.filter("original").groupBy(*WHO).agg(F.min(link).alias("closer"))
+        waiting = cut(waiting.join(better, WHO, "left").select(*WHO, F.least("best", "closer").alias("best")))
+        open_ = cut(plain_join(open_, news, ["workspace_id", "earlier"], "left").filter("original is null").drop("original"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _outcomes(articles: DataFrame, versions: DataFrame, alone: Column, max_distance: int) -> DataFrame:
+    """(workspace_id, id, outcome, duplicate_of, distance) of articles (workspace_id, id, at, content_hash, simhash) by _decided().
+
+    Of articles with one hash (with a fingerprint or without), the first stands for all, so that many copies make no more
+    links than one. Articles that are ``alone`` stand for themselves.
+    """
+    kind = ["workspace_id", "content_hash", "bare"]
+    base = articles.withColumn("bare", F.col("simhash").isNull()).withColumn("alone", alone | F.col("content_hash").isNull())
+    heads = base.filter("not alone").groupBy(*kind).agg(F.min("id").alias("leader"))
+    marked = cut(plain_join(base, heads, kind, "left", spread="id").withColumn("leader", F.when(F.col("alone"), F.col("id")).otherwise(F.col("leader"))))
+    leaders = marked.filter("id = leader").select(*WHO, "at", "content_hash", "simhash")
+    # texts of articles that don't stand for themselves are those of their leaders
+    sources = versions.join(marked.filter("id != leader").select(*WHO), WHO, "left_anti")
+    best = cut(_decided(leaders, sources, max_distance))
+    of_leader = best.select("workspace_id", F.col("id").alias("leader"), "best", F.lit(True).alias("found"))
+    originals = leaders.join(best.filter("best is null").select(*WHO), WHO).filter("content_hash is not null")
+    first = originals.groupBy("workspace_id", "content_hash").agg(F.min("id").alias("first"))
+    joined = plain_join(plain_join(marked, of_leader, ["workspace_id", "leader"]), first, ["workspace_id", "content_hash"], "left", spread="id")
+    # a copy is a duplicate of the first original with its hash; if there is none before it, it is what its leader is, but that
+    # other originals may have come closer since
+    copy = F.col("id") != F.col("leader")
+    exact = copy & F.coalesce(F.col("first") < F.col("id"), F.lit(False))
+    found = F.when(exact, F.struct(F.lit(-1).alias("rank"), F.col("first").alias("earlier"))).otherwise(F.col("best"))
+    told = cut(joined.select(*WHO, "at", "simhash", "leader", found.alias("own")))
+    again = told.filter(copy & (F.col("own.rank") >= 0)).select(*WHO, "at", "simhash")
+    standing = sources.join(best.filter("best is null").select(*WHO, F.lit(True).alias("won")), WHO, "left").filter("settled or won")
+    right = standing.filter("simhash is not null").select("workspace_id", F.col("id").alias("earlier"), F.col("simhash").alias("other"), "since", "until")
+    met = plain_join(plain_join(again, close_fingerprints(again, standing, max_distance), ["workspace_id", "simhash"]), right, ["workspace_id", "other"])
+    closer = met.filter("since < at and at < until").groupBy(*WHO).agg(F.min(F.struct(F.col("distance").alias("rank"), "earlier")).alias("closer"))
+    own = F.coalesce("closer", "own")
+    outcome = F.when(own.isNull(), "new").when(own["rank"] < 0, "duplicate").otherwise("near_duplicate")
+    final = told.join(closer, WHO, "left")
+    return final.select(*WHO, outcome.alias("outcome"), own["earlier"].alias("duplicate_of"), F.when(own["rank"] >= 0, own["rank"]).alias("distance"))
 
 
 def resolve(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> DataFrame:
     """(workspace_id, id, outcome, duplicate_of, distance) of articles (workspace_id, id, content_hash, simhash) in order of id.
 
     An article is a duplicate of the first *original* with its content hash, else a near duplicate of the closest earlier
-    original, else new. Whether an earlier one is an original is decided first, so each round decides all articles whose
-    earlier neighbours are decided; the number of rounds is the longest chain of decisions, not the number of articles.
-
-    Links grow with the articles, not with the square of a group: of articles with one hash, with or without a fingerprint,
-    only the first can be an original; of those with one fingerprint, only the first and the few that share their hash with
-    an article without one.
+    original (of equally close ones the first), else new. The number of rounds is the longest chain of decisions, not the
+    number of articles; links are those between different texts.
     """
-    key = ["workspace_id", "content_hash"]
-    base = articles.select("workspace_id", "id", "content_hash", "simhash", F.col("simhash").isNull().alias("bare"))
-    heads = base.filter("content_hash is not null").groupBy(*key, "bare").agg(F.min("id").alias("leader"))
-    marked = cut(base.join(heads, [*key, "bare"], "left").withColumn("leader", F.coalesce("leader", "id")))
-    leaders = marked.filter("id = leader")
-    # at most two leaders have one hash
-    pairs = leaders.filter("content_hash is not null").groupBy(*key).agg(F.min("id").alias("earlier"), F.max("id").alias("id")).filter("earlier < id")
-    same = cut(pairs.select("workspace_id", "id", "earlier"))
-    shared = leaders.join(same.select("workspace_id", "id"), ["workspace_id", "id"], "left_semi").filter("simhash is not null").select("workspace_id", "id", "simhash")
-    alone = leaders.join(same.select("workspace_id", "id"), ["workspace_id", "id"], "left_anti").filter("simhash is not null").groupBy("workspace_id", "simhash").agg(F.min("id").alias("id"))
-    edges = cut(
-        same.select("workspace_id", "id", "earlier", F.lit(-1).alias("rank")).unionByName(
-            near_pairs(leaders, max_distance, shared.unionByName(alone)).select("workspace_id", "id", "earlier", F.col("distance").alias("rank"))
-        )
-    )
-    # an article without earlier neighbours is an original
-    decided = cut(leaders.join(edges.select("workspace_id", "id").distinct(), ["workspace_id", "id"], "left_anti").select("workspace_id", "id", F.lit(None).cast("struct<rank:int,earlier:bigint>").alias("best")))
-    left = edges
-    while not left.isEmpty():
-        known = decided.select("workspace_id", F.col("id").alias("earlier"), F.lit(True).alias("known"), F.col("best").isNull().alias("original"))
-        seen = left.join(known, ["workspace_id", "earlier"], "left")
-        ready = (
-            seen.groupBy("workspace_id", "id")
-            .agg(F.count_if(F.col("known").isNull()).alias("open"), F.min(F.when(F.col("original"), F.struct("rank", "earlier"))).alias("best"))
-            .filter("open = 0")
-            .select("workspace_id", "id", "best")
-        )
-        fresh = cut(ready)
-        decided = decided.unionByName(fresh)  # of tables that are cut, so nothing grows but their list
-        left = cut(left.join(fresh.select("workspace_id", "id"), ["workspace_id", "id"], "left_anti"))
-    of_leader = decided.select("workspace_id", F.col("id").alias("leader"), "best")
-    first = marked.filter("id = leader").join(of_leader.filter("best is null"), ["workspace_id", "leader"]).groupBy(*key).agg(F.min("id").alias("first"))
-    joined = marked.join(of_leader, ["workspace_id", "leader"]).join(first, key, "left")
-    # a copy is a duplicate of the first original with its hash; if there is none before it, it has its leader's original
-    exact = (F.col("id") != F.col("leader")) & F.coalesce(F.col("first") < F.col("id"), F.lit(False))
-    own = F.when(exact, F.struct(F.lit(-1).alias("rank"), F.col("first").alias("earlier"))).otherwise(F.col("best"))
-    outcome = F.when(own.isNull(), "new").when(own["rank"] < 0, "duplicate").otherwise("near_duplicate")
-    return joined.select("workspace_id", "id", outcome.alias("outcome"), own["earlier"].alias("duplicate_of"), F.when(own["rank"] >= 0, own["rank"]).alias("distance"))
+    base = articles.select(*WHO, F.col("id").alias("at"), "content_hash", "simhash")
+    versions = base.select(*WHO, "content_hash", "simhash", F.col("at").alias("since"), F.lit(NEVER).alias("until"), F.lit(False).alias("settled"))
+    return _outcomes(base, versions, F.lit(False), max_distance)
 
 
 def exact_originals(articles: DataFrame) -> DataFrame:
     """articles (id, content_hash) with duplicate_of: the first id with the same hash, NULL for that one and for no hash."""
     first = articles.filter("content_hash is not null").groupBy("content_hash").agg(F.min("id").alias("_first"))
-    out = articles.join(first, "content_hash", "left")
+    out = plain_join(articles, first, ["content_hash"], "left", spread="id")
     return out.withColumn("duplicate_of", F.when(F.col("_first") < F.col("id"), F.col("_first"))).drop("_first")
 
 
@@ -113,61 +149,76 @@ def duplicates_of(articles: DataFrame, article_id: int, limit: int = 200) -> Dat
 def fold_updates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """What arrivals do to stored articles with the same canonical URL, one after the other.
 
-    Both have (workspace_id, canonical_url, title, content_hash, confidence), incoming also arrival. A row comes back for each
-    arrival: outcome first, unchanged or updated. Unchanged: same hash and title, or clearly less confident.
+    Both have (workspace_id, canonical_url, title, content_hash, confidence), incoming also arrival. A row (workspace_id,
+    canonical_url, arrival, outcome) comes back for each arrival: outcome first, unchanged or updated. Unchanged: same hash and
+    title, or clearly less confident. Arrivals without a URL are all first. One URL's arrivals are one row on the way:
+    revisits of a page, not a share of the table.
     """
-    columns = ["workspace_id", "canonical_url", "title", "content_hash", "confidence"]
-    both = stored.select(*columns, F.lit(-1).cast("long").alias("arrival")).unionByName(incoming.select(*columns, F.col("arrival").cast("long")))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held, out = None, []
-        same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
-        for r in rows.sort_values("arrival").itertuples(index=False):
-            if held is None:
-                held, outcome = r, "first"
-            elif same(r.content_hash, held.content_hash) and same(r.title, held.title) or r.confidence + WORSE_BY < held.confidence:
-                outcome = "unchanged"
-            else:
-                held, outcome = r, "updated"
-            if r.arrival >= 0:
-                out.append((r.workspace_id, r.canonical_url, r.arrival, outcome))
-        return pd.DataFrame(out, columns=["workspace_id", "canonical_url", "arrival", "outcome"])
-
-    # one URL's arrivals are one group: revisits of a page, not a share of the table
-    return both.groupBy("workspace_id", "canonical_url").applyInPandas(fold, "workspace_id long, canonical_url string, arrival long, outcome string")
-
-
-def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, outcome of each arrival) for a store of articles.
+    key = ["workspace_id", "canonical_url"]
+    event = F.struct("arrival", "title", "content_hash", "confidence")
+    events = incoming.filter("canonical_url is not null").groupBy(*key).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    held = stored.filter("canonical_url is not null").select(*key, F.struct(F.lit(EVER).cast("long").alias("arrival"), "title", "content_hash", "confidence").alias("held"))
+    said = "array<struct<arrival:bigint,outcome:string>>"
+
+    def step(state: Column, x: Column) -> Column:
+        was = state["held"]
+        same = x["content_hash"].eqNullSafe(was["content_hash"]) & x["title"].eqNullSafe(was["title"])
+        worse = F.coalesce(x["confidence"] + F.lit(WORSE_BY) < was["confidence"], F.lit(False))
+        outcome = F.when(was.isNull(), "first").when(same | worse, "unchanged").otherwise("updated")
+        now = F.when(outcome == "unchanged", was).otherwise(x)
+        return F.struct(now.alias("held"), F.array_append(state["said"], F.struct(x["arrival"].alias("arrival"), outcome.alias("outcome"))).alias("said"))
+
+    folded = events.join(held, key, "left").withColumn("held", F.col("held").cast(events.schema["events"].dataType.elementType))
+    out = F.aggregate("events", F.struct(F.col("held"), F.array().cast(said).alias("said")), step, lambda state: state["said"])
+    with_url = folded.select(*key, F.inline(out))
+    return with_url.unionByName(incoming.filter("canonical_url is null").select(*key, F.col("arrival").cast("long"), F.lit("first").alias("outcome")))
+
+
+STORED = ["workspace_id", "id", "canonical_url", "title", "body", "confidence", "content_hash", "simhash", "duplicate_of"]
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, originals: DataFrame | None = None, top: int | None = None, max_distance: int = hashing.MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, outcome of each arrival) for a store of articles, as if the arrivals came one after the other.
 
     stored has (workspace_id, id, canonical_url, title, body, confidence, content_hash, simhash, duplicate_of); incoming has
-    (workspace_id, arrival, canonical_url, title, body, confidence), of which each arrival is taken in turn. Ids of new
-    articles follow the greatest stored one in order of arrival. An update replaces title, body, confidence and fingerprints,
-    and leaves duplicate_of as it is.
+    (workspace_id, arrival, canonical_url, title, body, confidence), numbers of arrival being unique. Ids of new articles
+    follow the greatest stored one in order of arrival. An update replaces title, body, confidence and fingerprints, leaves
+    duplicate_of as it is, and counts for what arrives later, also in the same batch: originals stay originals, whatever
+    they come near to. Articles without a canonical URL stand alone. Where stored is only the part of a store that has the
+    URLs of incoming, ``originals`` has (workspace_id, id, canonical_url, content_hash, simhash) of all its originals and ``top``
+    the greatest id.
     """
     key = ["workspace_id", "canonical_url"]
-    marked = cut(fingerprinted(incoming))
+    texts = ["title", "body", "confidence", "content_hash", "simhash"]
+    marked = cut(fingerprinted(incoming).withColumn("arrival", F.col("arrival").cast("long")))
     folded = cut(fold_updates(stored, marked))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    firsts = folded.filter("outcome = 'first'").join(marked, [*key, "arrival"])
-    # ranks within ranges of arrivals and range offsets would do the same for loads too large for one task; a batch's
-    # new canonical URLs are numbered by counting those before, range by range
-    numbered = _number(firsts, "arrival").withColumn("id", F.col("n") + F.lit(top)).drop("n", "outcome")
-    originals = stored.filter("duplicate_of is null").select("workspace_id", "id", "content_hash", "simhash")
-    decisions = resolve(originals.unionByName(numbered.select("workspace_id", "id", "content_hash", "simhash")))
-    fresh = numbered.join(decisions, ["workspace_id", "id"]).withColumnRenamed("duplicate_of", "dup")
-    last = folded.filter("outcome = 'updated'").groupBy(*key).agg(F.max("arrival").alias("arrival"))
-    newest = last.join(marked, [*key, "arrival"]).select(*key, *(F.col(c).alias(f"new_{c}") for c in ("title", "body", "confidence", "content_hash", "simhash")), F.lit(True).alias("hit"))
-    columns = ["workspace_id", "id", "canonical_url", "title", "body", "confidence", "content_hash", "simhash", "duplicate_of"]
-    everything = stored.select(*columns).unionByName(fresh.select(*columns[:-1], F.col("dup").alias("duplicate_of")))
-    joined = everything.join(newest, key, "left")
-    pick = lambda c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    snapshot = joined.select("workspace_id", "id", "canonical_url", *(pick(c) for c in ("title", "body", "confidence", "content_hash", "simhash")), "duplicate_of")
-    of_first = fresh.select("workspace_id", "arrival", F.col("outcome").alias("first_outcome"), "dup", "distance")
-    outcomes = folded.join(of_first, ["workspace_id", "arrival"], "left").select(
-        "workspace_id", "arrival", "canonical_url", F.coalesce("first_outcome", "outcome").alias("outcome"), F.col("dup").alias("duplicate_of"), "distance"
-    )
-    return snapshot, outcomes
+    top = (stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) if top is None else top
+    originals = (stored.filter("duplicate_of is null") if originals is None else originals).select(*WHO, "canonical_url", "content_hash", "simhash")
+    taken = folded.filter("outcome != 'unchanged'").join(marked, [*key, "arrival"]).unionByName(folded.filter("canonical_url is null").join(marked.drop("canonical_url"), ["workspace_id", "arrival"]))
+    # how long each text stood
+    lasting = F.lead("arrival").over(Window.partitionBy(*key, F.when(F.col("canonical_url").isNull(), F.col("arrival"))).orderBy("arrival"))
+    taken = cut(taken.withColumn("until", F.coalesce(lasting, F.lit(NEVER))))
+    firsts = cut(_number(taken.filter("outcome = 'first'"), "arrival").withColumn("id", F.col("n") + F.lit(top)).drop("n"))
+    updates = taken.filter("outcome = 'updated'")
+    changed = updates.groupBy(*key).agg(F.min("arrival").alias("until"))
+    old = originals.join(changed, key, "left").select(*WHO, "content_hash", "simhash", F.lit(EVER).cast("long").alias("since"), F.coalesce("until", F.lit(NEVER)).alias("until"), F.lit(True).alias("settled"))
+    new = firsts.select(*WHO, "content_hash", "simhash", F.col("arrival").alias("since"), "until", F.lit(False).alias("settled"))
+    whose = originals.filter("canonical_url is not null").select(*key, "id", F.lit(True).alias("settled")).unionByName(firsts.filter("canonical_url is not null").select(*key, "id", F.lit(False).alias("settled")))
+    later = updates.join(whose, key).select(*WHO, "content_hash", "simhash", F.col("arrival").alias("since"), "until", "settled")
+    versions = cut(old.unionByName(new).unionByName(later))
+    # copies of a text that an update in this batch brings in, takes away or comes near to are looked at one by one
+    restless = versions.filter(F.col("until") != F.lit(NEVER)).unionByName(later)
+    noisy = cut(close_fingerprints(firsts, restless, max_distance).select("workspace_id", "simhash").distinct().withColumn("noisy", F.lit(True)))
+    stirred = cut(restless.filter("content_hash is not null").select("workspace_id", "content_hash").distinct().withColumn("stirred", F.lit(True)))
+    nodes = firsts.select(*WHO, F.col("arrival").alias("at"), "content_hash", "simhash").join(noisy, ["workspace_id", "simhash"], "left").join(stirred, ["workspace_id", "content_hash"], "left")
+    decisions = cut(_outcomes(nodes, versions, F.coalesce("noisy", "stirred", F.lit(False)), max_distance))
+    fresh = firsts.join(decisions.select(*WHO, F.col("outcome").alias("said"), "duplicate_of", "distance"), WHO)
+    newest = updates.groupBy(*key).agg(F.max_by(F.struct(*texts), "arrival").alias("now"))
+    everything = stored.select(*STORED).unionByName(fresh.select(*STORED))
+    snapshot = everything.join(newest, key, "left").select(*WHO, "canonical_url", *(F.when(F.col("now").isNull(), F.col(c)).otherwise(F.col("now")[c]).alias(c) for c in texts), "duplicate_of")
+    told = fresh.select("workspace_id", "arrival", "said", "duplicate_of", "distance")
+    outcomes = folded.join(told, ["workspace_id", "arrival"], "left").select("workspace_id", "arrival", "canonical_url", F.coalesce("said", "outcome").alias("outcome"), "duplicate_of", "distance")
+    return snapshot.select(*STORED), outcomes
 
 
 def _number(rows: DataFrame, order: str) -> DataFrame:

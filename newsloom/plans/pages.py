@@ -145,7 +145,7 @@ SELECT page_id, score >= 0.5 AND words >= 30 AND page_id % 13 <> 0 AS is_article
 
 def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article rows by all strategies, in one parse of each page."""
-    return articles.build_articles(extract_candidates(pages(spark, sf_dir), AS_OF))
+    return articles.extract_articles(pages(spark, sf_dir), AS_OF)
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import urls
+from newsloom.session import plain_join
 
 MAX_BYTES = 500 << 10
 
@@ -92,7 +93,7 @@ def decide(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     policy = robots.select(F.col("origin").alias("_origin"), status_policy(F.col("status")).alias("_policy"))
     # rules of an origin become one array, so that no URL is multiplied; a robots.txt is at most MAX_BYTES long
     by_origin = chosen.groupBy(F.col("origin").alias("_origin")).agg(F.collect_list(F.struct("specificity", "allow", "pattern")).alias("_rules"))
-    joined = keyed.join(policy, "_origin", "left").join(by_origin, "_origin", "left")
+    joined = plain_join(plain_join(keyed, policy, ["_origin"], "left", spread="url"), by_origin, ["_origin"], "left", spread="url")
     hits = F.filter(F.col("_rules"), lambda r: F.regexp(F.col("_target"), r["pattern"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["specificity"], r["allow"])))
     allowed = F.when(F.col("_policy") == "disallow_all", False).when(F.col("_target") == "/robots.txt", True).otherwise(F.coalesce(best["allow"], F.lit(True)))

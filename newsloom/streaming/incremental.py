@@ -1,40 +1,71 @@
-"""Incremental deduplication: each micro-batch is upserted into a versioned snapshot in the shared folder."""
+"""Incremental deduplication: each micro-batch is upserted into a store in the shared folder, of which it rewrites only the buckets
+that its URLs fall in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.operators.dedup import upsert
+from newsloom.session import cut
 
 STORE = (
     "workspace_id long, id long, canonical_url string, title string, body string, confidence double, content_hash string, simhash long, duplicate_of long"
 )
+#: Buckets of a new store, by hash of workspace and URL.
+BUCKETS = 64
 
 
 class ArticleStore:
-    """Snapshots of the article table under a folder, one for each batch; a batch that is run again gives the same snapshot."""
+    """The article table under a folder. A batch writes the buckets that it changes, its outcomes, and last a list of which version of
+    each bucket holds; that list makes it count, so a batch that is run again gives the same store."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, batch: int) -> str:
-        return f"{self.folder}/v={batch:012d}"
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     def _done(self, path: str) -> bool:
         # Spark's committer leaves this file when all parts are there
-        jvm = self.spark._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
 
-    def snapshot(self, before: int) -> DataFrame:
-        """The newest whole snapshot older than a batch."""
+    def _held(self, before: int) -> tuple[dict[int, int], int]:
+        """The version of each bucket that has rows, and the greatest id, before a batch."""
         for batch in range(before - 1, -1, -1):
-            if self._done(self._path(batch)):
-                return self.spark.read.schema(STORE).parquet(self._path(batch))
-        return self.spark.createDataFrame([], STORE)
+            path = f"{self.folder}/list/v={batch:012d}"
+            if self._done(path):
+                rows = self.spark.read.schema("bucket int, version long, top long").parquet(path).collect()
+                return {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}, max((r["top"] for r in rows), default=0)
+        return {}, 0
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("workspace_id", F.coalesce("canonical_url", F.lit(""))), F.lit(self.buckets)).cast("int")
+
+    def _read(self, held: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/rows/v={version:012d}/bucket={bucket}" for bucket, version in sorted(held.items())]
+        return self.spark.read.schema(STORE).parquet(*paths) if paths else self.spark.createDataFrame([], STORE)
+
+    def snapshot(self, before: int) -> DataFrame:
+        """All articles as they are before a batch."""
+        return self._read(self._held(before)[0])
 
     def apply(self, incoming: DataFrame, batch: int) -> None:
-        """For foreachBatch: upsert incoming (see dedup.upsert) and write the next snapshot and the outcomes."""
-        snapshot, outcomes = upsert(self.snapshot(batch), incoming)
-        snapshot.write.mode("overwrite").parquet(self._path(batch))
-        outcomes.write.mode("overwrite").parquet(f"{self.folder}/outcomes/v={batch:012d}")
+        """For foreachBatch: upsert incoming (see dedup.upsert). Whole rows are read and written of the touched buckets; of the others
+        only the fingerprints of originals are read."""
+        held, top = self._held(batch)
+        incoming = cut(incoming)
+        touched = {r["b"] for r in incoming.select(self._bucket().alias("b")).distinct().collect()}
+        whole = self._read(held)
+        originals = whole.filter("duplicate_of is null").select("workspace_id", "id", "canonical_url", "content_hash", "simhash")
+        snapshot, outcomes = upsert(self._read({b: v for b, v in held.items() if b in touched}), incoming, originals, top)
+        version = f"v={batch:012d}"
+        rows = f"{self.folder}/rows/{version}"
+        snapshot.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(rows)
+        outcomes.write.mode("overwrite").parquet(f"{self.folder}/outcomes/{version}")
+        written = self.spark.read.schema(STORE + ", bucket int").parquet(rows) if touched else None
+        now = dict(held)
+        if written is not None:
+            for r in written.groupBy("bucket").agg(F.max("id").alias("top")).collect():
+                now[r["bucket"]] = batch
+                top = max(top, r["top"])
+        listed = [(b, v, top) for b, v in now.items()] or [(None, None, top)]
+        self.spark.createDataFrame(listed, "bucket int, version long, top long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list/{version}")

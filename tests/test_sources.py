@@ -55,35 +55,47 @@ def test_bytes():
     assert feeds.decode_text("é".encode(), "no-such-set") == "é" and feeds.decode_text(b"\xff") == "�"
 
 
-ROBOTS = """User-agent: *
-Disallow: /private/
-Disallow: /*.php$
-Allow: /private/open   # but this
-Crawl-delay: 2
-
-User-agent: SpecialBot
-User-agent: otherbot
-Disallow: /
-Sitemap: https://n.example/map.xml
-Disallow: /never
+RULES = """# made for tests
+sitemap: https://r.example/all.xml
+USER-AGENT: Loomer
+user-agent: *
+allow: /files/*.txt$
+disallow: /files
+crawl-delay: 0.5
+crawl-delay: soon
+User-Agent: Grabber/3
+Allow: news
+Disallow: *
+Disallow:
+no colon here
 """
 
 
 def test_parse_robots():
-    rules, delays, sitemaps = robots.parse_robots(ROBOTS)
-    assert (0, "*", False, "/private/") in rules and (1, "specialbot", False, "/") in rules and (1, "otherbot", False, "/never") in rules
-    assert delays == {0: 2.0} and sitemaps == ["https://n.example/map.xml"]
-    assert robots.product_token("MyBot/2.0 (+https://x)") == "mybot"
-
-
-def test_decisions(spark):
-    o = "https://n.example"
-    table = spark.createDataFrame([(o, 200, ROBOTS), ("https://down.example", 503, None), ("https://free.example", 404, "User-agent: *\nDisallow: /"), ("https://lost.example", None, None)], "origin string, status int, text string")
-    urls = [f"{o}/private/x", f"{o}/private/open/1", f"{o}/a.php", f"{o}/a.php?x=1", f"{o}/robots.txt", f"{o}/", "https://down.example/", "https://free.example/x", "https://unknown.example/", "https://lost.example/x"]
-    pages = spark.createDataFrame([(u,) for u in urls], "url string")
-    decide = lambda agent: {r.url: r.allowed for r in robots.decide(pages, table, agent).collect()}
-    assert [decide("Loom/1")[u] for u in urls] == [False, True, False, True, True, True, False, True, True, False]
-    assert [decide("SpecialBot/1")[u] for u in urls[:5]] == [False, False, False, False, True]
+    rules, delays, sitemaps = robots.parse_robots(RULES)
+    assert [r[1:] for r in rules if r[0] == 0] == [("loomer", True, ""), ("*", True, ""), ("loomer", True, "/files/*.txt$"), ("*", True, "/files/*.txt$"), ("loomer", False, "/files"), ("*", False, "/files")]
+    assert [r[1:] for r in rules if r[0] == 1] == [("grabber/3", True, ""), ("grabber/3", True, "/news"), ("grabber/3", False, "*")]
+    assert (delays, sitemaps) == ({0: 0.5}, ["https://r.example/all.xml"])
+    assert robots.product_token(" Loomer/2.1 beta") == "loomer"
+    assert robots.parse_robots("disallow: /before any agent") == ([], {}, [])
+
+
+AT = "https://r.example"
+STATES = [(AT, 200, RULES), ("https://busy.example", 429, RULES), ("https://gone.example", 410, RULES), ("https://silent.example", None, None), ("https://empty.example", 204, None)]
+
+
+@pytest.mark.parametrize(
+    ("agent", "want"),
+    [
+        ("Loomer", {f"{AT}/files/a": False, f"{AT}/files/a.txt": True, f"{AT}/files/a.txt?v=2": False, f"{AT}": True, f"{AT}/filesystem": False}),
+        ("anyone/9", {f"{AT}/files": False, f"{AT}/robots.txt": True, "https://busy.example/robots.txt": False, "https://gone.example/files": True, "https://silent.example/": False, "https://empty.example/files": True, "https://new.example/files": True}),
+        ("grabber/3", {f"{AT}/news/1": True, f"{AT}/files/%61.txt": True, f"{AT}/files/%61.doc": False}),
+    ],
+)
+def test_decisions(spark, agent, want):
+    table = spark.createDataFrame(STATES, "origin string, status int, text string")
+    pages = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r.url: r.allowed for r in robots.decide(pages, table, agent).collect()} == want
 
 
 def test_tie_allows(spark):

@@ -30,18 +30,22 @@ def test_sessions_and_usage(spark):
     assert sorted((r.user_id, r.day.day, r.pages) for r in windows.daily_usage(df, key="user_id").collect()) == [(1, 1, 18), (2, 2, 8)]
 
 
+KIND = "workspace_id long, arrival long, canonical_url string, title string, body string, confidence double"
+
+
 def test_incremental_store_equals_one_load(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(80))
-    rows = [(1, i, f"u{i % 7}", f"t{i % 3}", f"{long} {i % 5}", 0.9) for i in range(14)]
-    kind = "workspace_id long, arrival long, canonical_url string, title string, body string, confidence double"
-    store = incremental.ArticleStore(spark, str(tmp_path / "store"))
-    for batch, part in enumerate((rows[:5], rows[5:])):
-        store.apply(spark.createDataFrame(part, kind), batch)
-    store.apply(spark.createDataFrame(rows[5:], kind), 1)  # run again after a failure
-    got = {(r.canonical_url, r.id, r.title, r.body, r.duplicate_of) for r in store.snapshot(2).collect()}
-    want, _ = upsert(spark.createDataFrame([], incremental.STORE), spark.createDataFrame(rows, kind))
-    assert {g[0] for g in got} == {w.canonical_url for w in want.collect()} and len(got) == 7
-    assert {(g[0], g[2], g[3]) for g in got} == {(w.canonical_url, w.title, w.body) for w in want.collect()}
+    rows = [(1 + i % 2, i, f"u{i % 11}", f"t{i % 3}", f"{long} {i % 4}", 0.9) for i in range(24)]
+    store = incremental.ArticleStore(spark, str(tmp_path / "store"), buckets=4)
+    for batch, part in enumerate((rows[:5], rows[5:6], [], rows[6:])):
+        store.apply(spark.createDataFrame(part, KIND), batch)
+    store.apply(spark.createDataFrame(rows[6:], KIND), 3)  # run again after a failure
+    key = lambda r: (r.id, r.workspace_id, r.canonical_url, r.title, r.body, r.duplicate_of)
+    want, _ = upsert(spark.createDataFrame([], incremental.STORE), spark.createDataFrame(rows, KIND))
+    assert sorted(map(key, store.snapshot(4).collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    assert store.snapshot(1).count() == 5 and store.snapshot(0).count() == 0
+    # a batch of one URL rewrites its bucket only
+    assert len(list((tmp_path / "store" / "rows" / "v=000000000001").glob("bucket=*"))) == 1
 
 
 def test_for_each_batch(spark, tmp_path):
