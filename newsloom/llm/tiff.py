@@ -36,21 +36,26 @@ PAD = b" "
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            out += bytes((257 - (j - i), data[i]))
-            i = j
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three bytes or more as runs, what lies between them as literals."""
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1]) if len(raw) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(raw)))
+    out, done = bytearray(), 0
+
+    def literals(upto: int) -> None:
+        for i in range(done, upto, 128):
+            part = data[i : min(i + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for at, n in zip(starts[sizes >= 3].tolist(), sizes[sizes >= 3].tolist(), strict=True):
+        literals(at)
+        while n >= 2:
+            k = min(n, 128)
+            out.extend((257 - k, data[at]))
+            at, n = at + k, n - k
+        done = at
+    literals(len(data))
     return bytes(out)
 
 
@@ -71,54 +76,41 @@ def packbits_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes: dict[bytes, int] = {}
-    acc = bits = 0
-    width = 9
-    out = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc = acc << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    def fresh() -> None:
-        nonlocal width
-        codes.clear()
-        codes.update({bytes((b,)): b for b in range(256)})
-        width = 9
-
-    fresh()
-    put(CLEAR)
-    free, word = FIRST_FREE, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in codes:
-            word = longer
+    codes, widths, width = [CLEAR], [9], 9
+    table: dict[int, int] = {}  # code of a string and the byte after it
+    free, prefix = FIRST_FREE, -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
             continue
-        put(codes[word])
-        codes[longer] = free
+        longer = table.get(prefix << 8 | byte)
+        if longer is not None:
+            prefix = longer
+            continue
+        codes.append(prefix)
+        widths.append(width)
+        table[prefix << 8 | byte] = free
         free += 1
         # widths change one code early
         if free == MAX_CODES - 1:
-            put(CLEAR)
-            fresh()
-            free = FIRST_FREE
+            codes.append(CLEAR)
+            widths.append(width)
+            table, free, width = {}, FIRST_FREE, 9
         elif free + 1 > 1 << width:
             width += 1
-        word = data[i : i + 1]
-    if word:
-        put(codes[word])
+        prefix = byte
+    if prefix >= 0:
+        codes.append(prefix)
+        widths.append(width)
         free += 1
         if free + 1 > 1 << width and width < 12:
             width += 1
-    put(END)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(END)
+    widths.append(width)
+    size = np.array(widths)
+    # each code's bits, the highest first
+    shift = np.repeat(np.cumsum(size), size) - 1 - np.arange(size.sum())
+    return np.packbits(np.repeat(np.array(codes), size) >> shift & 1).tobytes()
 
 
 def lzw_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
