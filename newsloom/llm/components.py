@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import cut, plain_join
 
 
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) between neighbours of a stream (key, fp) sorted by key, the greater one first; equal ones give none."""
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key = np.concatenate([key[-1:], batch.column("key").to_numpy()])
+        fp = np.concatenate([fp[-1:], batch.column("fp").to_numpy()])
+        same = np.flatnonzero((key[1:] == key[:-1]) & (fp[1:] != fp[:-1]))
+        if len(same):
+            a, b = fp[same], fp[same + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node to the least node among them and itself. Minima are aggregated before they meet the
     edges again, and they meet in a join with plain exchanges on both sides, so that adaptive execution can split a node with

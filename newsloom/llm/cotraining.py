@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.kernels import Words, blocks, grams
 from newsloom.session import stash
 
-#: Bound of the labelled documents that are learned from.
-MAX_LABELLED = 4000
+#: Bound of the labelled documents that are learned from, and how many times as many labels are tried for them.
+MAX_LABELLED, TRIED = 4000, 4
 ROUNDS = 3
 #: A view hands over about so many documents in a round, split like the labels, of which it must be so sure. Such a label
 #: counts less than a given one.
@@ -289,12 +289,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> tuple[pa.Table, np.ndarray]:
-    """Features and labels of the first ``most`` labelled documents in order of a hash of doc_id. A label counts if it is 0 or
-    1; of several the greatest, of several texts under one doc_id that with the least hash."""
+    """Features and labels of ``most`` labelled documents at most, in order of a hash of doc_id, out of TRIED times as many labels.
+    A label counts if it is 0 or 1; of several the greatest, of several texts under one doc_id that with the least hash."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     ticket = F.xxhash64("doc_id")
-    # labels can be of documents that aren't there, so the bound is set after the join
-    met = rows.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("key", "bucket", "count", "place", "dense")).alias("f"))
+    # labels can be of documents that aren't there, so more are tried than taken; both numbers are bounds, fit for a broadcast
+    tried = known.orderBy(ticket, "doc_id").limit(TRIED * most)
+    met = rows.join(F.broadcast(tried), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("key", "bucket", "count", "place", "dense")).alias("f"))
     found = met.select(ticket.alias("ticket"), "doc_id", "label", "f.*").orderBy("ticket", "doc_id").limit(most).toArrow()
     return found, found.column("label").to_numpy().astype(float)
 

@@ -1,9 +1,13 @@
-"""Near-duplicates by similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Decisions on near-duplicates by whole sets of word shingles, and MinHash keys that find candidates.
 
 Two texts are linked if the sets of their shingles (five words in lower case; a shorter text is one shingle) have a Jaccard
 similarity of 0.8 or more. Each text has 40 keys, each of six MinHash values: of the pairs at 0.8 exactly, five in a million
-are expected to share no key, of more similar ones fewer. Texts that share keys form groups; each group's texts meet in one
-place, where every pair that could still join two components is compared by its whole sets, so no link rests on an estimate.
+are expected to share no key, of more similar ones fewer.
+
+Pairs that share keys are far more than are needed to tell components, so they are compared in steps, each of which leaves out
+pairs that already are in one component: first each text with the neighbour that it shares most keys with, then the other
+neighbours in the order of a key, then all pairs under keys that still hold several components. A key with over CROWD texts is
+parted by the other keys of its texts first. Sets meet in joins by pairs, so no group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.components import components
+from newsloom.llm.components import components, neighbours
 from newsloom.llm.kernels import Words, blocks, grams, mix, signed
-from newsloom.llm.simhash import _chain
-from newsloom.session import cut
+from newsloom.session import cut, plain_join, stash
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
+#: Texts under one key of which all pairs are looked at.
+CROWD = 64
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -35,6 +40,11 @@ def text_id(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(id, text) of each different text, written once. Copies are dropped before the exchange."""
+    return stash(docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("id").agg(F.first("text").alias("text")))
+
+
 def shingle_hashes(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Hashes of the shingles of each text, repeats included; no words, none."""
     words = Words([t.lower() for t in texts])
@@ -55,79 +65,85 @@ def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
     return mix(joined + np.arange(BANDS, dtype=_U)[:, None]).T
 
 
-def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """For each set (sorted, no repeats) the place of the first set of its component under all pairs of at least this similarity.
-
-    Sets are visited along links; each visited one is compared with all that no component has yet."""
-    size = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
-    left = np.arange(len(sets))
-    while len(left):
-        head, left = left[0], left[1:]
-        queue = [head]
-        while queue and len(left):
-            x = sets[queue.pop()]
-            fits = np.minimum(size[left], len(x)) >= similarity * np.maximum(size[left], len(x)) - 1e-6
-            near = left[fits]
-            if len(x) and len(near):
-                flat = np.concatenate([sets[i] for i in near])
-                hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
-                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
-                near = near[both / (len(x) + size[near] - both) >= similarity]
-            label[near] = head
-            queue += near.tolist()
-            left = left[~np.isin(left, near)]
-    return label
-
-
-def _keyed(shingle: int):
+def band_rows(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(key, fp) of each key of each text, fp being its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in blocks(batch):
+                key = band_keys(shingle_hashes(raw, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(key)).ravel()), pa.array(np.repeat(part.column("id").to_numpy(), BANDS))], ["key", "fp"])
+
+    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, fp long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets (sorted, no repeats); two empty ones are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) of ids whose texts are that similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch):
-                ids = part.column("id").to_numpy()
-                ids, at = np.unique(ids, return_index=True)
-                key = band_keys(shingle_hashes([texts[i] for i in at], shingle))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(key)).ravel()), pa.array(np.repeat(ids, BANDS))], ["key", "fp"])
-
-    return run
-
-
-def components_of_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, label) of the different texts of docs (text) that are near others: text_id() of the text, and one that all texts
-    of the component share. Texts without words are near each other."""
-    known = docs.select(text_id().alias("id"), F.col("text").cast("binary").alias("text"))
-    pairs = known.mapInArrow(_keyed(shingle), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_chain, "u long, v long")
-    groups = components(pairs.filter("u != v").distinct())
-    members = known.join(groups, F.col("id") == F.col("node")).select("label", "id", "text").dropDuplicates(["id"])
-
-    def decide(table: pa.Table) -> pa.Table:
-        ids, sets = [], []
-        for batch in table.sort_by("id").to_batches():
-            for part, texts in blocks(batch):
-                ids.append(part.column("id").to_numpy())
-                sets += [np.unique(h) for h in shingle_hashes(texts, shingle)]
-        ids = np.concatenate(ids)
-        return pa.table({"id": ids, "label": ids[linked(sets, similarity)]})
-
-    return members.groupBy("label").applyInArrow(decide, "id long, label long")
-
-
-def _row_id(docs: DataFrame) -> Column:
-    """64-bit hash of all columns of a row."""
-    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-
-
-def heads(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, doc_id) of one row of docs (doc_id, text) for each component: that with the smallest doc_id; a null one comes
-    last, and of rows with one doc_id the one with the smallest hash is taken. row is the hash of all its columns."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
-    per_text = docs.select(text_id().alias("id"), "doc_id", _row_id(docs).alias("row")).groupBy("id").agg(first.alias("first"))
-    label = components_of_texts(docs, shingle, similarity)
-    of_component = per_text.join(label, "id", "left").groupBy(F.coalesce("label", "id")).agg(F.min("first").alias("first"))
-    return cut(of_component.select("first.row", "first.doc_id"))
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each component of near-duplicates, by heads(). Rows alike in all columns are one."""
-    kept = docs.withColumn("row", _row_id(docs)).join(heads(docs, shingle, similarity), "row", "left_semi")
-    return kept.groupBy("row").agg(*(F.first(c).alias(c) for c in docs.columns)).drop("row")
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                u, v = part.column("u").to_numpy(), part.column("v").to_numpy()
+                sets: dict[int, np.ndarray] = {}
+                for ids, column in ((u, "a"), (v, "b")):
+                    # neighbouring rows share texts
+                    once, at = np.unique(ids, return_index=True)
+                    for piece, raw in blocks(pa.RecordBatch.from_arrays([pa.array(once), part.column(column).take(pa.array(at))], ["id", "text"])):
+                        sets |= {k: np.unique(h) for k, h in zip(piece.column("id").to_pylist(), shingle_hashes(raw, shingle), strict=True)}
+                good = np.array([jaccard(sets[x], sets[y]) >= similarity for x, y in zip(u.tolist(), v.tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
+
+    text = lambda key, name: texts.select(F.col("id").alias(key), F.col("text").cast("binary").alias(name))
+    return plain_join(plain_join(pairs.select("u", "v"), text("u", "a"), ["u"]), text("v", "b"), ["v"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs that aren't in one component yet."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    known = plain_join(plain_join(pairs, of("u"), ["u"], "left"), of("v"), ["v"], "left")
+    return known.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(*pairs.columns)
+
+
+def _crossing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, fp, label): pairs (u, v) of different labels under keys with at most CROWD rows, and the rows of other keys that
+    hold several labels."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed and n > 2")
+    open_ = cut(plain_join(rows, sizes.select("key", "n"), ["key"]))
+    few = open_.filter(F.col("n") <= CROWD).select("key", "fp", "label")
+    other = few.select("key", F.col("fp").alias("v"), F.col("label").alias("to"))
+    pairs = few.select("key", F.col("fp").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
+    return pairs, open_.filter(F.col("n") > CROWD).select("key", "fp", "label")
+
+
+def near_groups(texts: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, label) of texts (id, text) that are similar to others: label is the least id of the component. Compared are the
+    candidate pairs (u, v with u > v) and those that share MinHash keys."""
+    rows = cut(band_rows(texts, shingle))
+    chained = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(neighbours, "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    tried = cut(chained.unionByName(candidates.distinct().withColumn("n", F.lit(BANDS).cast("long"))).groupBy("u", "v").agg(F.sum("n").alias("n")))
+    nearest = tried.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    links = cut(similar(nearest, texts, shingle, similarity))
+    label = components(links)
+    rest = _apart(tried.select("u", "v").join(nearest, ["u", "v"], "left_anti"), label)
+    links = links.unionByName(cut(similar(rest, texts, shingle, similarity)))
+    label = cut(components(links))
+    # what else is under keys of several components
+    labelled = plain_join(rows, label.select(F.col("node").alias("fp"), "label"), ["fp"], "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    pairs, crowded = _crossing(labelled)
+    parted = plain_join(crowded, rows.select(F.col("key").alias("second"), "fp"), ["fp"]).filter("key != second")
+    more, left = _crossing(parted.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "fp", "label").distinct())
+    # texts that share two keys with very many others: all pairs of different components, dealt out by both ends
+    other = left.select("key", F.col("fp").alias("v"), F.col("label").alias("to"))
+    last = left.select("key", F.col("fp").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
+    fresh = pairs.unionByName(more).unionByName(last).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    links = links.unionByName(cut(similar(fresh, texts, shingle, similarity)))
+    return components(links).select(F.col("node").alias("id"), "label")

@@ -9,6 +9,9 @@ share an index. Up to four differing bits fall on the three segments in one of t
 * every segment differs in at most two bits: key = an index of each.
 
 Pairs that share a key are verified by counting bits. Exact copies are one fingerprint before any key is made.
+
+near_texts() links texts by the similarity of their shingles instead: fingerprints within four bits are candidates, and as such
+bits reach only a part of the pairs at 0.8, MinHash keys give the others (see shingles); whole shingle sets decide on all.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.components import components
+from newsloom.llm import shingles
+from newsloom.llm.components import components, neighbours
 from newsloom.llm.kernels import blocks
 from newsloom.session import cut, plain_join
 
@@ -237,18 +241,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v)], ["u", "v"])
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between neighbours of a stream sorted by key."""
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        key = np.concatenate([key[-1:], batch.column("key").to_numpy()])
-        fp = np.concatenate([fp[-1:], batch.column("fp").to_numpy()])
-        same = np.flatnonzero(key[1:] == key[:-1])
-        if len(same):
-            a, b = fp[same], fp[same + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within MAX_BITS of the distinct fingerprints fps (fp).
 
@@ -264,7 +256,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     direct = found.filter("v is not null")
     crowded = found.filter("v is null").select(F.col("u").alias("fp"))
-    halfway = crowded.mapInArrow(_halfway, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_chain, "u long, v long")
+    halfway = crowded.mapInArrow(_halfway, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(neighbours, "u long, v long")
     return direct.unionByName(halfway.distinct())
 
 
@@ -284,3 +276,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     of_linked = plain_join(grouped, heads, ["label"]).select("fp", "head")
     of_fp = per_fp.join(of_linked, "fp", "left").select("fp", F.coalesce("head", "first_doc").alias("component_id"))
     return plain_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_texts(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """(id, label) of the different texts of docs (text) whose shingle sets have a Jaccard similarity with another's of at least
+    ``similarity``: shingles.text_id() of the text, and one that all texts of its component share.
+
+    A null text counts as empty; texts without words are near each other. Copies of a text are one before anything else is
+    done with it. Other columns are ignored; an empty table gives no rows.
+    """
+    texts = shingles.distinct_texts(docs)
+    # the first text of a fingerprint stands for it
+    fps = cut(fingerprints(texts.withColumnRenamed("id", "doc_id"), shingle))
+    of_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    near = links(of_fp.select("fp"))
+    end = lambda c, name: of_fp.select(F.col("fp").alias(c), F.col("id").alias(name))
+    found = near.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    same = plain_join(fps, of_fp, ["fp"]).filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    pairs = found.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return shingles.near_groups(texts, pairs, shingle, similarity)
+
+
+def _row_id(docs: DataFrame) -> Column:
+    """64-bit hash of all columns of a row."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def heads(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """(row, doc_id) of one row of docs (doc_id, text) for each component of near_texts(): that with the smallest doc_id; a null
+    one comes last, and of rows with one doc_id the one with the smallest hash is taken. row is the hash of all its columns."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
+    per_text = docs.select(shingles.text_id().alias("id"), "doc_id", _row_id(docs).alias("row")).groupBy("id").agg(first.alias("first"))
+    of_component = per_text.join(near_texts(docs, shingle, similarity), "id", "left").groupBy(F.coalesce("label", "id")).agg(F.min("first").alias("first"))
+    return cut(of_component.select("first.row", "first.doc_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """One row of docs for each component of near-duplicates, by heads(). Rows alike in all columns are one."""
+    once = docs.withColumn("row", _row_id(docs)).groupBy("row").agg(*(F.first(c).alias(c) for c in docs.columns))
+    return once.join(heads(docs, shingle, similarity), "row", "left_semi").drop("row")

@@ -66,3 +66,19 @@ def test_run_gives_the_last_stage(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     assert out.count() > 40 and {"sequence_id", "offset", "ids_crc32"} <= set(out.columns)
     assert language.UNKNOWN == "und" and lines.MIN_DOCS == 10
+
+
+def test_stages_on_odd_rows(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "the weather and the ness with tion " * 9
+    rows = [(None, text, None, None, None), (4, text, "aa", "s", 1), (4, text, "aa", "s", 1), (5, None, None, None, None), (None, None, "aa", "s", 1), (6, "", "aa", "s", 0), (7, "word " * 30_000 + "end", "aa", "s", 1)]
+    docs = spark.createDataFrame([*rows, *((100 + i, f"{text} own{i}", "aa", "s", 1) for i in range(20))], shape)
+    left = {}
+    for name, stage in cp.STAGES:
+        left[name] = stage(spark, docs, "").collect()
+        assert stage(spark, docs.filter("false"), "").count() == 0
+    ids = lambda name: sorted((r.doc_id for r in left[name]), key=str)
+    assert all(r.text for r in left["language_id"]) and {r.doc_id for r in left["language_id"]} >= {4, 7, None}
+    assert len(left["line_dedup"]) == len(left["secret_scan"]) == 27
+    assert ids("near_dedup") == sorted([4, 5, 7], key=str) or {4, 7} <= set(ids("near_dedup")) <= {4, 5, 6, 7}
+    assert sorted({r.doc_id for r in left["best_fit_packing"]}, key=str) == sorted({r[0] for r in rows} | {100 + i for i in range(20)}, key=str)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
 from newsloom.llm import shingles, simhash
@@ -37,10 +38,32 @@ def roots(texts):
     return root
 
 
-def test_linked_against_all_pairs():
-    texts = corpus()
+def test_jaccard_of_sets():
+    texts = corpus()[:40]
     sets = [np.unique(h) for h in shingles.shingle_hashes([t.encode() for t in texts])]
-    assert shingles.linked(sets).tolist() == roots(texts)
+    assert all(shingles.jaccard(a, b) == jaccard(t, u) for a, t in zip(sets, texts, strict=True) for b, u in zip(sets, texts, strict=True))
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_groups_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    rng = random.Random(crowd)
+    texts = corpus(crowd)
+    # a crowd of texts about as similar as the limit, around one common part
+    common = [f"c{i}" for i in range(90)]
+    texts += [" ".join([*common, *(f"x{i}y{k}" for k in range(rng.randint(8, 16)))]) for i in range(25)]
+    near = simhash.near_texts(spark.createDataFrame([(t,) for t in [*texts, None, texts[9]]], "text string"))
+    ids = [r.id for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", shingles.text_id().alias("id")).orderBy("i").collect()]
+    label = {r.id: r.label for r in near.collect()}
+    root = roots(texts)
+    got = {}
+    for i, k in enumerate(ids):
+        got.setdefault(label.get(k, k), set()).add(i)
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert simhash.near_texts(spark.createDataFrame([], "text string")).count() == 0
 
 
 def test_stage_links_at_similarity(spark):
