@@ -43,21 +43,23 @@ class Codec:
     def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int], merges: bool = False):
         self.text_of = {i: p for p, _, i in pieces}
         self.score_of = {p: s for p, s, _ in pieces}
+        self.scores = {i: s for _, s, i in pieces}
+        self.characters = {p for p in self.score_of if len(p) == 1}
         self.byte_ids = byte_ids
         self.byte_of = {i: b for b, i in byte_ids.items()}
         self.merges = merges
         self.uncovered = min(self.score_of.values(), default=0.0) - UNCOVERED
         self.automaton = ahocorasick.Automaton()
-        for piece, score, i in pieces:
+        for piece, _, i in pieces:
             # a piece that no merges lead to is never part of their result
             if not merges or self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, (len(piece), score, i))
+                self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         # words can be cut before a run of marks if marks stand only at the head of pieces
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         self.seen: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], float] = {}
+        self.pairs: dict[int, bool] = {}
         self.bytes_of = {i: p.encode() for i, p in self.text_of.items()} | {i: bytes((b,)) for i, b in self.byte_of.items()}
 
     @classmethod
@@ -90,39 +92,66 @@ class Codec:
                 return []
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def step(self, before: int, i: int) -> float:
-        """0 if the merges leave piece i apart from the piece before it, else minus infinity."""
-        known = self.pairs.get((before, i))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            a = self.text_of[before]
-            known = self.pairs[before, i] = 0.0 if self.merged(a + self.text_of[i], len(a)) else _NEVER
+    def apart(self, before: int, i: int) -> bool:
+        """Whether the merges leave piece i apart from the piece before it."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        a = self.text_of[before]
+        known = self.pairs[before << 32 | i] = bool(self.merged(a + self.text_of[i], len(a)))
         return known
 
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best segmentation; of equally good ones, the one whose last pieces are longest."""
+        return self._one_path(marked) if self.merges else self._best_path(marked)
+
+    def _one_path(self, marked: str) -> list[int]:
+        """The path of a merge model, in which a score is 0 or minus infinity: a position's last piece is the one piece that ends
+        there and stands apart from the last piece of the position before it. -2 is a position without a path yet, -1 one behind
+        which a piece begins anew."""
+        last = [-1] + [-2] * len(marked)
+        size_of = [1] * (len(marked) + 1)
+        lone = not self.characters.issuperset(marked)
+        if lone:
+            for at, c in enumerate(marked):
+                if c not in self.characters:
+                    last[at + 1] = -1
+        pairs = self.pairs
+        for end, (size, i) in self.automaton.iter(marked):
+            end += 1
+            if last[end] == -2:
+                before = last[end - size]
+                if before >= 0:
+                    known = pairs.get(before << 32 | i)
+                    if known is None:
+                        known = self.apart(before, i)
+                    if not known:
+                        continue
+                elif before == -2:
+                    continue
+                last[end] = i
+                size_of[end] = size
+        out: list[int] = []
+        at = len(marked)
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(marked[at - 1].encode()))
+            at -= size_of[at]
+        out.reverse()
+        return out
+
+    def _best_path(self, marked: str) -> list[int]:
+        """The path of a unigram model, by the sum of scores."""
         n = len(marked)
         best = [0.0] + [_NEVER] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         done = 0  # positions up to here are final
-        merges, pairs = self.merges, self.pairs
-        for end, (size, score, i) in self.automaton.iter(marked):
+        for end, (size, i) in self.automaton.iter(marked):
             if done < end:
                 self._settle(marked, best, back, done, end)
                 done = end
-            held = best[end + 1]
-            if merges:
-                if held == 0:
-                    continue  # one path only
-                before = back[end + 1 - size][1]
-                if before >= 0:
-                    score = pairs.get((before, i))
-                    if score is None:
-                        score = self.step(before, i)
-                else:
-                    score = 0.0
-            total = best[end + 1 - size] + score
+            total, held = best[end + 1 - size] + self.scores[i], best[end + 1]
             if total > held or total == held and size > back[end + 1][0]:
                 best[end + 1], back[end + 1] = total, (size, i)
         self._settle(marked, best, back, done, n)
@@ -135,12 +164,10 @@ class Codec:
         return out[::-1]
 
     def _settle(self, marked: str, best: list[float], back: list[tuple[int, int]], done: int, upto: int) -> None:
-        """Make positions final: a character without a piece is written in bytes, which no piece crosses."""
+        """Make positions final: a character without a piece can be written in bytes."""
         for at in range(done + 1, upto + 1):
-            if marked[at - 1] not in self.score_of:
-                total = best[at - 1] + (0.0 if self.merges else self.uncovered)
-                if total > best[at]:
-                    best[at], back[at] = total, (1, -1)
+            if marked[at - 1] not in self.characters and best[at - 1] + self.uncovered > best[at]:
+                best[at], back[at] = best[at - 1] + self.uncovered, (1, -1)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text: a mark is put before it, and spaces become marks; an empty text has none."""
