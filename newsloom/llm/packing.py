@@ -27,7 +27,7 @@ END_ID = 0
 #: Lengths that are tried as the second and third of a pattern, for each first length.
 PARTNERS = 16
 SWEEPS = 30
-#: About so many documents of equal length are ranked in one group; more of them are ranked in more groups.
+#: At most about so many documents of equal length are ranked in one group, and fewer if that is over a task's share of all.
 RANKED = 1 << 18
 
 #: Where the two tokenizer libraries below might cut words differently; such texts take the slower one.
@@ -189,14 +189,15 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
 
     A row's ids are those of its text (null: none) and END_ID; only rows of more than ``capacity`` ids are cut, the first
     piece taking what is over. Each row counts, also when it repeats a doc_id or has none. Other columns are ignored; an
-    empty table gives no rows. Pieces of equal length are ranked in groups of about RANKED, so the driver sees one number for
-    each length and one more for each RANKED pieces. Full pieces need no rank and take sequences of their own.
+    empty table gives no rows. Pieces of equal length are ranked in groups of about a task's share, RANKED at most, so the driver
+    sees one number for each length, task and RANKED pieces. Full pieces need no rank and take sequences of their own.
     """
     pieces = cut(token_pieces(docs, paths, capacity))
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    groups = np.maximum(1, -(-counts // RANKED))
+    share = int(counts.sum()) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = np.maximum(1, -(-counts // max(1, min(RANKED, share))))
     first_group = np.cumsum(groups) - groups
     # groups are looked up in an array of one small number for each length
     of_length = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.col("length").cast("int"))
