@@ -116,3 +116,14 @@ _EMAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+")
 
 def is_email(text: Column | str) -> Column:
     return _col(text).rlike(f"^(?:{_EMAIL.pattern})$")
+
+
+def workspace_name(text: Column | str) -> Column:
+    """A name with single spaces, none at its ends; empty is NULL."""
+    return F.nullif(F.trim(F.regexp_replace(_col(text), r"(?U)\s+", " ")), F.lit(""))
+
+
+def personal_name(email: Column | str) -> Column:
+    """What a person's own workspace is called: after the part of the address before the @, dots and underscores as spaces."""
+    local = F.coalesce(F.nullif(F.substring_index(_col(email), "@", 1), F.lit("")), F.lit("My"))
+    return F.concat(F.substring(F.trim(F.translate(local, "._", "  ")), 1, 60), F.lit("'s workspace"))

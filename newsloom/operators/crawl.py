@@ -69,14 +69,57 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, max_pages: int, ke
     return ranked.withColumn("visit", F.row_number().over(Window.orderBy("depth", F.col("score").desc(), "url"))).drop("score")
 
 
+#: What a visit came to: the fetch went through, changed nothing, was refused by the server or failed on the way; or it wasn't made.
+FETCHED, NOT_MODIFIED, HTTP_ERROR, NETWORK_ERROR, ROBOTS, SKIPPED = "fetched", "not_modified", "http_error", "network_error", "robots", "skipped"
+ANSWERED = (FETCHED, NOT_MODIFIED, HTTP_ERROR)
+STOPS = ("max_pages", "daily_quota", "time_budget", "cancelled")
+CHECK_EVERY, LAST_ERRORS = 20, 20
+
+
 def crawl_stats(visits: DataFrame) -> DataFrame:
-    """Counters of a run over visits (seq, host, status, outcome, error): totals, the last 20 errors, hosts that gave none but errors."""
-    totals = visits.agg(
-        F.count(F.lit(1)).alias("discovered"),
-        F.count("status").alias("fetched"),
-        *(F.count_if(F.col("outcome") == o).alias(o) for o in ("new", "updated", "unchanged", "duplicate", "near_duplicate")),
-        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    """The counters of each run over its visits (run, seq, host, seed, result, article, error, rendered, llm_calls, discovered): article
+    is what an article came to in the store, error a message. Errors are the last 20; hosts_unreachable are those whose visits
+    were skipped after failures (column dead). A run has a bounded number of visits, so its lists are short."""
+    is_ = lambda *kinds: F.coalesce(F.col("result").isin(*kinds), F.lit(False))
+    count = lambda test, name: F.count_if(test).alias(name)
+    kind = lambda *names: F.coalesce(F.col("article").isin(*names), F.lit(False))
+    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seq", F.concat_ws(": ", "url", "error").alias("text")))))
+    return visits.groupBy("run").agg(
+        count(is_(*ANSWERED) & ~F.col("seed"), "pages_fetched"), count(is_(*ANSWERED) & F.col("seed"), "seed_fetches"), count(is_(*ANSWERED, NETWORK_ERROR), "fetches"),
+        F.coalesce(F.sum("llm_calls"), F.lit(0)).alias("llm_calls"), count(is_(HTTP_ERROR, NETWORK_ERROR), "pages_failed"), count(is_(SKIPPED), "pages_skipped"),
+        count(is_(NOT_MODIFIED), "not_modified"), count(is_(ROBOTS), "robots_blocked"), count(F.coalesce(F.col("rendered"), F.lit(False)), "rendered"),
+        count(F.col("article").isNotNull(), "articles_found"), count(kind("new"), "articles_new"), count(kind("updated"), "articles_updated"),
+        count(kind("duplicate", "near_duplicate"), "duplicates"), F.coalesce(F.sum("discovered"), F.lit(0)).alias("discovered"),
+        F.array_sort(F.collect_set(F.when(F.col("dead"), F.col("host")))).alias("hosts_unreachable"),
+        F.transform(F.slice(errors, -F.least(F.size(errors), F.lit(LAST_ERRORS)), LAST_ERRORS), lambda e: e["text"]).alias("errors"),
+    )
+
+
+def stopped(visits: DataFrame, max_pages: int, pages_left: int | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(visits that a run makes, (run, stopped_reason)) of runs over their possible visits (run, seq, seed, result, elapsed, cancel) in
+    order of seq.
+
+    Before each visit a run stops if it has fetched its pages, its workspace's quota is used up, its time has passed (elapsed,
+    in seconds, when the visit would begin), or, after every 20th visit, it has been cancelled. A run without any of these ends
+    when the frontier is empty.
+    """
+    before = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda test: F.coalesce(F.sum(test.cast("int")).over(before), F.lit(0))
+    answered = F.coalesce(F.col("result").isin(*ANSWERED), F.lit(False))
+    made = F.coalesce(F.count(F.lit(1)).over(before), F.lit(0))
+    cancelled = (made > 0) & (made % CHECK_EVERY == 0) & F.coalesce(F.lag("cancel").over(Window.partitionBy("run").orderBy("seq")), F.lit(False))
+    network = answered | F.coalesce(F.col("result") == NETWORK_ERROR, F.lit(False))
+    tests = (
+        so_far(answered & ~F.col("seed")) >= max_pages,
+        so_far(network) >= pages_left if pages_left is not None else F.lit(False),
+        F.col("elapsed") > seconds if seconds is not None else F.lit(False),
+        cancelled,
     )
-    errors = visits.filter("error is not null").orderBy(F.col("seq").desc()).limit(20).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "error"))), lambda x: x["error"]).alias("errors"))
-    dead = visits.groupBy("host").agg(F.count("status").alias("n")).filter("n = 0").agg(F.sort_array(F.collect_list("host")).alias("hosts_unreachable"))
-    return totals.crossJoin(errors).crossJoin(dead)  # one row each
+    reason = F.lit(None).cast("string")
+    for name, test in reversed(list(zip(STOPS, tests, strict=True))):
+        reason = F.when(test, name).otherwise(reason)
+    marked = visits.withColumn("_stop", reason)
+    first = marked.filter("_stop is not null").groupBy("run").agg(F.min(F.struct("seq", "_stop")).alias("first"))
+    ends = visits.select("run").distinct().join(first, "run", "left")
+    kept = visits.join(ends, "run").filter("first is null or seq < first.seq").drop("first")
+    return kept, ends.select("run", F.coalesce("first._stop", F.lit("frontier_exhausted")).alias("stopped_reason"))

@@ -181,7 +181,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, originals: DataFrame | None =
     """(new snapshot, outcome of each arrival) for a store of articles, as if the arrivals came one after the other.
 
     stored has (workspace_id, id, canonical_url, title, body, confidence, content_hash, simhash, duplicate_of); incoming has
-    (workspace_id, arrival, canonical_url, title, body, confidence), numbers of arrival being unique. Ids of new articles
+    (workspace_id, arrival, canonical_url, title, body, confidence), numbers of arrival being unique; fingerprints that it has
+    already (content_hash and simhash) are taken. Ids of new articles
     follow the greatest stored one in order of arrival. An update replaces title, body, confidence and fingerprints, leaves
     duplicate_of as it is, and counts for what arrives later, also in the same batch: originals stay originals, whatever
     they come near to. Articles without a canonical URL stand alone. Where stored is only the part of a store that has the
@@ -190,7 +191,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, originals: DataFrame | None =
     """
     key = ["workspace_id", "canonical_url"]
     texts = ["title", "body", "confidence", "content_hash", "simhash"]
-    marked = cut(fingerprinted(incoming).withColumn("arrival", F.col("arrival").cast("long")))
+    printed = incoming if {"content_hash", "simhash"} <= set(incoming.columns) else fingerprinted(incoming)
+    marked = cut(printed.withColumn("arrival", F.col("arrival").cast("long")))
     folded = cut(fold_updates(stored, marked))
     top = (stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) if top is None else top
     originals = (stored.filter("duplicate_of is null") if originals is None else originals).select(*WHO, "canonical_url", "content_hash", "simhash")

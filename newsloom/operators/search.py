@@ -7,8 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MAX_TERMS = 10
 #: Weight of a term in the title, the description and the body.
@@ -123,16 +125,47 @@ def matches(fields: dict[str, Column], q: str) -> Column:
     return out
 
 
-def rank(fields: dict[str, Column], q: str) -> Column:
-    """Weighted number of places of the wanted words, dampened by the length of the field."""
-    wanted = sorted({w for a in parse_query(q) for keep, words in a if keep for w in words})
-    total = F.lit(0.0)
-    for name, toks in fields.items():
-        places = F.size(F.filter(toks, lambda t: t.isin(wanted))) if wanted else F.lit(0)
-        total = total + FIELD_WEIGHTS.get(name, 0.1) * places / (F.lit(1.0) + F.log(F.size(toks) + F.lit(1)))
+def cover_density(places: list[tuple[int, str, float]], alternatives: list[set[str]]) -> float:
+    """Rank of a document by its covers: the shortest stretches of its places (position, word, weight; in order) that hold all words of
+    an alternative. A cover counts the harmonic mean of its places' weights, divided by one more than the words between."""
+    total, begin = 0.0, 0
+    while begin < len(places):
+        # the first place up to which an alternative is whole
+        held: set[str] = set()
+        end = next((i for i in range(begin, len(places)) if held.add(places[i][1]) or any(a <= held for a in alternatives)), None)
+        if end is None:
+            break
+        # from there backwards, the last place from which one is
+        held = set()
+        begin = next(i for i in range(end, begin - 1, -1) if held.add(places[i][1]) or any(a <= held for a in alternatives))
+        inside = places[begin : end + 1]
+        between = inside[-1][0] - inside[0][0] - (len(inside) - 1)
+        total += len(inside) / sum(1 / w for _, _, w in inside) / (1 + max(between, 0))
+        begin += 1
     return total
 
 
+def _scorer(q: str) -> Callable[[Column], Column]:
+    """An Arrow UDF from a document's places (position, term, weight) of a query's words to its rank, NULL where it doesn't match."""
+    parsed = parse_query(q)
+    wanted = [{w for keep, words in a if keep for w in words} for a in parsed]
+
+    def score(places: list | None) -> float | None:
+        found = sorted((p["pos"], p["term"], p["weight"]) for p in (places if places is not None else []))
+        at: dict[str, set[int]] = {}
+        for pos, term, _ in found:
+            at.setdefault(term, set()).add(pos)
+        there = lambda words: any(all(p + k in at.get(w, ()) for k, w in enumerate(words)) for p in at.get(words[0], ()))
+        held = [w for w, a in zip(wanted, parsed, strict=True) if all(there(words) == keep for keep, words in a)]
+        return cover_density(found, [w for w in held if w]) if held else None
+
+    @F.pandas_udf(DoubleType())
+    def scored(places: pd.Series) -> pd.Series:
+        return pd.Series([score(p) for p in places], dtype="float64")
+
+    return scored
+
+
 def default_order(query: SearchQuery) -> list[Column]:
     """Newest first, those without a date last, then the greatest id; or by the time of storing."""
     if query.sort == "created_at":
@@ -140,7 +173,7 @@ def default_order(query: SearchQuery) -> list[Column]:
     return [F.col("published_at").desc_nulls_last(), F.col("id").desc()]
 
 
-Backend = Callable[[DataFrame, SearchQuery], SearchPage]
+Backend = Callable[[DataFrame, SearchQuery, DataFrame | None], SearchPage]
 _backends: dict[str, Backend] = {}
 
 
@@ -148,11 +181,13 @@ def register_backend(name: str, backend: Backend) -> None:
     _backends[name] = backend
 
 
-def search(articles: DataFrame, query: SearchQuery, backend: str = "fulltext") -> SearchPage:
-    """A page of articles (id, workspace_id, title, description, body, ...) by one of the backends."""
-    if backend not in _backends:
-        raise KeyError(f"no backend {backend!r}; there are {sorted(_backends)}")
-    return _backends[backend](articles, query)
+def search(articles: DataFrame, query: SearchQuery, backend: str = "auto", index: DataFrame | None = None) -> SearchPage:
+    """A page of articles (id, workspace_id, title, description, body, ...) by one of the backends; by default full text where there
+    is an index (see postings()), else substrings. Without an index full text reads the articles' words anew."""
+    name = backend if backend != "auto" else "fulltext" if index is not None else "like"
+    if name not in _backends:
+        raise KeyError(f"no backend {name!r}; there are {sorted(_backends)}")
+    return _backends[name](articles, query, index)
 
 
 def _page(found: DataFrame, query: SearchQuery, order: list[Column], name: str, score: str | None = None) -> SearchPage:
@@ -160,21 +195,29 @@ def _page(found: DataFrame, query: SearchQuery, order: list[Column], name: str,
     return SearchPage(items, found.agg(F.count(F.lit(1)).alias("total")), name, items.select("id", score) if score else None)
 
 
-def _like(articles: DataFrame, query: SearchQuery) -> SearchPage:
+def _like(articles: DataFrame, query: SearchQuery, index: DataFrame | None = None) -> SearchPage:
     """Substring search; it has no rank, so relevance falls back to the date."""
     found = apply_filters(articles, query)
     test = like_terms(["title", "description", "body"], query.q)
     return _page(found if test is None else found.filter(test), query, default_order(query), "like")
 
 
-def _fulltext(articles: DataFrame, query: SearchQuery) -> SearchPage:
+def _fulltext(articles: DataFrame, query: SearchQuery, index: DataFrame | None = None) -> SearchPage:
+    """Boolean full text with phrases, by a join with the postings of the query's words only."""
     if not (query.q or "").strip():
         page = _like(articles, query)
         return SearchPage(page.items, page.total, "fulltext")
-    fields = {c: tokens(F.col(c)) for c in FIELD_WEIGHTS}
-    found = apply_filters(articles, query).filter(matches(fields, query.q)).withColumn("rank", rank(fields, query.q))
+    found = apply_filters(articles, query)
+    parsed = parse_query(query.q)
+    words = sorted({w for a in parsed for _, words in a for w in words})
+    hits = (postings(found) if index is None else index).filter(F.col("term").isin(words))
+    place = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"), F.col("weight").alias("weight")))
+    per_id = hits.groupBy("id").agg(F.flatten(F.collect_list(place)).alias("places"))
+    # what has none of the words can match only if some alternative asks for none
+    how = "left" if any(not any(keep for keep, _ in a) for a in parsed) else "inner"
+    ranked = found.join(per_id, "id", how).withColumn("rank", _scorer(query.q)("places")).drop("places").filter("rank is not null")
     order = [F.col("rank").desc(), F.col("published_at").desc_nulls_last(), F.col("id").desc()] if query.sort == "relevance" else default_order(query)
-    return _page(found, query, order, "fulltext", "rank")
+    return _page(ranked, query, order, "fulltext", "rank")
 
 
 register_backend("like", _like)
@@ -182,6 +225,19 @@ register_backend("fulltext", _fulltext)
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """The inverted index: (term, id, field, weight, positions), to be stored and joined where one corpus is searched often."""
-    parts = [articles.select("id", F.lit(c).alias("field"), F.lit(w).alias("weight"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for c, w in FIELD_WEIGHTS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("term", "id", "field", "weight").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """The inverted index: (term, id, field, weight, positions), to be stored where one corpus is searched often. Positions go on from
+    field to field."""
+    read = articles.select("id", *(tokens(F.col(c)).alias(c) for c in FIELD_WEIGHTS))
+    parts, before = [], F.lit(0)
+    for c, weight in FIELD_WEIGHTS.items():
+        placed = F.transform(c, lambda t, i: F.struct((i + before).alias("pos"), t.alias("term")))  # noqa: B023
+        parts.append(F.transform(placed, lambda p: F.struct(F.lit(c).alias("field"), F.lit(weight).alias("weight"), p["pos"].alias("pos"), p["term"].alias("term"))))  # noqa: B023
+        before = before + F.size(c)
+    each = read.select("id", F.inline(F.concat(*parts)))
+    return each.groupBy("term", "id", "field", "weight").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def term_counts(articles: DataFrame, field: str = "body") -> DataFrame:
+    """(term, docs, places) of a field: documents that have a word, and how often it stands in them. Counted without positions."""
+    each = articles.select("id", F.explode(tokens(F.col(field))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("places"))

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import plain_join
+
 ACTIVE = ("pending", "running")
 #: What a workspace may have if it says nothing else.
 DEFAULT_LIMITS = {"max_sources": 10, "max_pages_per_day": 500, "max_pages_per_crawl": 200, "min_interval_minutes": 30, "max_concurrent_crawls": 2, "max_llm_per_day": 25, "max_members": 25}
@@ -96,6 +98,53 @@ def usage_meter(used: Column, limit: Column) -> tuple[Column, Column]:
     return share, F.when(share >= 1, "full").when(share >= 0.8, "high").otherwise("ok")
 
 
+def workspace_counts(workspaces: DataFrame, sources: DataFrame, members: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(id, sources, members, admins, active_crawls) of each workspace, 0 where there is nothing; the other tables have workspace_id."""
+    one = F.count(F.lit(1))
+    per = lambda rows, *aggs: rows.groupBy(F.col("workspace_id").alias("id")).agg(*aggs)
+    parts = [
+        per(sources, one.alias("sources")),
+        per(members, one.alias("members"), F.count_if(F.col("role") == "admin").alias("admins")),
+        per(jobs.filter(F.col("status").isin(*ACTIVE)), one.alias("active_crawls")),
+    ]
+    out = workspaces.select("id")
+    for part in parts:
+        out = out.join(part, "id", "left")
+    return out.fillna(0, ["sources", "members", "admins", "active_crawls"])
+
+
+#: Roles, the least first.
+ROLES = ("viewer", "editor", "admin")
+
+
+def visible(rows: DataFrame, workspace_id: int) -> DataFrame:
+    """Rows of one workspace; every read of the store goes through this."""
+    return rows.filter(F.col("workspace_id") == workspace_id)
+
+
+def may(role: Column, least: str) -> Column:
+    """Whether a role is at least the one that an action asks for; unknown roles may nothing."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), role) >= ROLES.index(least) + 1, F.lit(False)) & role.isin(*ROLES)
+
+
+def member_list(members: DataFrame) -> DataFrame:
+    """Members by role, in the descending order of its name, then by address."""
+    return members.orderBy(F.col("role").desc(), "email")
+
+
+def job_list(jobs: DataFrame, source_id: int | None = None, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest jobs, of one source or status if asked for."""
+    for column, value in (("source_id", source_id), ("status", status)):
+        jobs = jobs if value is None else jobs.filter(F.col(column) == value)
+    return jobs.orderBy(F.col("id").desc()).limit(limit)
+
+
+def with_source_names(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """articles (source_id, site_name) with source_name: that of sources (id, name), else the site's."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"))
+    return articles.join(names, "source_id", "left").withColumn("source_name", F.coalesce("_name", "site_name")).drop("_name")
+
+
 # scheduling
 
 
@@ -131,16 +180,35 @@ def reap(jobs: DataFrame, as_of: datetime, budget_seconds: int = 1800) -> DataFr
 # pages
 
 
-def page_book(fetches: DataFrame) -> DataFrame:
-    """The state of each page after its fetches (workspace_id, url_hash, seq, status, error, etag): number of fetches, errors
-    since the last success (a 304 neither counts nor resets), the last error, and the last etag of a full answer."""
-    ok, unchanged = F.col("status").between(200, 299), F.col("status") == 304
-    failed = F.col("error").isNotNull()
-    last_ok = F.max(F.when(ok & ~failed, F.col("seq")))
-    per_page = fetches.groupBy("workspace_id", "url_hash").agg(F.count(F.lit(1)).alias("fetch_count"), last_ok.alias("last_ok"), F.max_by("etag", F.when(~failed & ~unchanged, F.col("seq"))).alias("etag"))
-    errors = fetches.filter(failed).join(per_page.select("workspace_id", "url_hash", "last_ok"), ["workspace_id", "url_hash"]).filter("last_ok is null or seq > last_ok")
-    since = errors.groupBy("workspace_id", "url_hash").agg(F.count(F.lit(1)).alias("failure_count"), F.substring(F.max_by("error", "seq"), 1, 1000).alias("last_error"))
-    return per_page.join(since, ["workspace_id", "url_hash"], "left").select("workspace_id", "url_hash", "fetch_count", F.coalesce("failure_count", F.lit(0)).alias("failure_count"), "last_error", F.substring("etag", 1, 512).alias("etag"))
+PAGE = ("workspace_id", "url_hash")
+
+
+def page_book(fetches: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Pages (workspace_id, url_hash, fetch_count, failure_count, last_error, etag, status) after fetches (workspace_id, url_hash, seq,
+    status, error, etag), on top of what is stored of them.
+
+    Errors are counted since the last success; a 304 neither counts nor resets. status is NULL where no answer came; the etag
+    is that of the last full answer, none if it had none.
+    """
+    answered, ok = F.col("status").isNotNull(), F.col("status").between(200, 299) & F.col("error").isNull()
+    full = answered & (F.col("status") != 304)
+    last_ok = F.max(F.when(ok, F.col("seq"))).alias("last_ok")
+    last = F.struct(F.max(F.when(full, F.col("seq"))).alias("seq"), F.max_by("etag", F.when(full, F.col("seq"))).alias("etag")).alias("tag")
+    per_page = fetches.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), last_ok, last, F.max_by("status", F.when(answered, F.col("seq"))).alias("seen"))
+    errors = plain_join(fetches.filter("error is not null"), per_page.select(*PAGE, "last_ok"), [*PAGE]).filter("last_ok is null or seq > last_ok")
+    since = errors.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("failed"), F.substring(F.max_by("error", "seq"), 1, 1000).alias("said"))
+    new = per_page.join(since, [*PAGE], "left")
+    empty = new.select(*PAGE, F.lit(0).cast("long").alias("fetch_count"), F.lit(0).cast("long").alias("failure_count"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("int").alias("status")).limit(0)
+    old = (empty if stored is None else stored).select(*empty.columns)
+    reset = F.col("last_ok").isNotNull()
+    return old.join(new, [*PAGE], "full").select(
+        *PAGE,
+        (F.coalesce("fetch_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("fetch_count"),
+        (F.when(reset, 0).otherwise(F.coalesce("failure_count", F.lit(0))) + F.coalesce("failed", F.lit(0))).alias("failure_count"),
+        F.coalesce("said", F.when(~reset | F.col("last_ok").isNull(), F.col("last_error"))).alias("last_error"),
+        F.when(F.col("tag.seq").isNotNull(), F.substring("tag.etag", 1, 512)).otherwise(F.col("etag")).alias("etag"),
+        F.coalesce("seen", "status").cast("int").alias("status"),
+    )
 
 
 def breaker(fetches: DataFrame, key: str, order: list[str], failed: Column, limit: int = MAX_FAILURES) -> DataFrame:

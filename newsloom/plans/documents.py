@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import hashing, languages, text
+from newsloom.functions import display, hashing, languages, text
 from newsloom.operators import dedup, search, stats
-from newsloom.session import cut, table, texts
+from newsloom.session import cut, stash, table, texts
 
 #: The documents table as articles: three workspaces, a date for six of seven, the first line as title.
 AS_OF = datetime(2024, 2, 15)
@@ -90,8 +90,10 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_like_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = search.SearchQuery(q="OUR %%% the_", include_duplicates=True, limit=200)
-    return articles(spark, sf_dir).filter(search.like_terms(["title", "description", "body"], "AND %%% the")).select("id", F.lit(q.limit).alias("page_limit"))
+    """The first page of a substring search, in which % and _ mean themselves."""
+    q = search.SearchQuery(q="AND %%% the", include_duplicates=True, limit=200)
+    page = search.search(articles(spark, sf_dir), q, "like")
+    return page.items.select("id")
 
 
 def article_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +117,38 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best twenty for a query, by weighted frequency."""
-    toks = {c: search.tokens(F.col(c)) for c in ("title", "body")}
-    found = articles(spark, sf_dir).filter(search.matches(toks, "the of"))
-    ranked = found.select("id", F.round(search.rank(toks, "the of"), 6).alias("rank"))
-    return ranked.orderBy(F.col("rank").desc(), F.col("id").desc()).limit(20)
+    """The best twenty for a query, by cover density, from stored postings."""
+    rows = articles(spark, sf_dir)
+    index = stash(search.postings(rows))
+    page = search.search(rows, search.SearchQuery(q="the of", include_duplicates=True, sort="relevance", limit=20), index=index)
+    return page.items.select("id", F.round("rank", 6).alias("rank"))
+
+
+def search_created_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a listing by the time of storing."""
+    rows = articles(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7919 % 5000))
+    page = search.search(rows, search.SearchQuery(workspace_id=1, include_duplicates=True, sort="created_at", limit=20, offset=40))
+    return page.items.select("id", "workspace_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+def article_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listing shows of an article, without its body, and what one article shows."""
+    d = articles(spark, sf_dir).withColumn("content_hash", hashing.content_hash("body"))
+    return d.select("id", "title", "language", "source_name", F.col("content_hash").isNotNull().alias("has_body"), F.length("body").alias("chars"))
+
+
+def content_hash_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of texts written with ligatures, wide digits and decomposed letters, which are those of the plain texts."""
+    d = texts(spark, sf_dir, "documents")
+    spelled = F.col("text")
+    for plain, form in (("fi", "\ufb01"), ("é", "e\u0301"), ("1", "\uff11"), ("the", "\uff54he")):
+        spelled = F.replace(spelled, F.lit(plain), F.lit(form))
+    return d.select("doc_id", hashing.content_hash(spelled).alias("content_hash"))
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and places of each word of the index."""
-    index = search.postings(articles(spark, sf_dir)).filter("field = 'body'")
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).alias("places"))
+    """Documents and places of each word of the bodies."""
+    return search.term_counts(articles(spark, sf_dir))
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +181,74 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.resolve(dedup.fingerprinted(articles(spark, sf_dir)))
 
 
+#: Stand-in fingerprints that SQL can make too: three single bits, so that many differ in two.
+PRINT = "shiftleft(1L, int({k} % 11)) + shiftleft(1L, 20 + int({k} * 7 % 13)) + shiftleft(1L, 40 + int({k} * 3 % 9))"
+_PRINT = "((1::BIGINT << ({k} % 11)::INTEGER) + (1::BIGINT << (20 + {k} * 7 % 13)::INTEGER) + (1::BIGINT << (40 + {k} * 3 % 9)::INTEGER))"
+
+
+def customers_as_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in three workspaces, with hashes that some share and fingerprints near each other's; some have none."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_nationkey") % 3).cast("long").alias("workspace_id"))
+    content = F.when(F.col("id") % 23 != 0, F.concat(F.lit("h"), (F.col("id") * 13 % 2000).cast("string")))
+    return c.select("*", content.alias("content_hash"), F.when(F.col("id") % 19 != 0, F.expr(PRINT.format(k="id"))).alias("simhash"))
+
+
+_CUSTOMERS = f"""SELECT c_custkey::BIGINT AS id, (c_nationkey % 3)::BIGINT AS ws, CASE WHEN c_custkey % 23 <> 0 THEN 'h' || (c_custkey * 13 % 2000) END AS h, CASE WHEN c_custkey % 19 <> 0 THEN {_PRINT.format(k="c_custkey")} END AS fp FROM customer"""
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' fingerprints within three bits, the first of equal ones standing for all."""
+    return dedup.near_pairs(customers_as_articles(spark, sf_dir))
+
+
+def fingerprint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four bands of each fingerprint, its form for people, and its distance from the next one's."""
+    rows = customers_as_articles(spark, sf_dir).filter("simhash is not null")
+    band = F.inline(hashing.bands("simhash")).alias("band", "value")
+    return rows.select("id", display.signature("simhash").alias("signature"), hashing.hamming("simhash", F.expr(PRINT.format(k="(id + 1)"))).alias("distance"), band)
+
+
+def greedy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of storing all customers as articles in order of id."""
+    return dedup.resolve(customers_as_articles(spark, sf_dir))
+
+
+def upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each arrival of customers as articles under half as many URLs, in two batches: revisits update articles, and what an
+    article is now decides on what comes after."""
+    c = customers_as_articles(spark, sf_dir)
+    n = F.col("id")
+    rows = c.select(
+        "workspace_id", n.alias("arrival"), F.when(n % 31 != 0, F.concat(F.lit("u"), (n * 7 % 701).cast("string"))).alias("canonical_url"), F.concat(F.lit("t"), (n % 2).cast("string")).alias("title"),
+        F.lit("").alias("body"), (F.lit(0.5) + n % 5 / 10).alias("confidence"), "content_hash", "simhash",
+    )
+    store = rows.limit(0).select("workspace_id", F.col("arrival").alias("id"), "canonical_url", "title", "body", "confidence", "content_hash", "simhash", F.lit(None).cast("long").alias("duplicate_of"))
+    store, first = dedup.upsert(store, rows.filter("arrival % 1000 < 500"))
+    # numbers of arrival only order a batch, so the later ones may be any
+    _, second = dedup.upsert(cut(store), rows.filter("arrival % 1000 >= 500"))
+    return first.unionByName(second).select("workspace_id", "arrival", "outcome", "duplicate_of", "distance")
+
+
+_DISTANCE = "bit_count(xor(x.fp, a.fp))"
+_GREEDY = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ({_CUSTOMERS})),
+r AS (SELECT 0::BIGINT AS n, CAST([] AS STRUCT(id BIGINT, ws BIGINT, h VARCHAR, fp BIGINT)[]) AS o, NULL::BIGINT AS ws, NULL::BIGINT AS id, NULL::BIGINT AS best UNION ALL
+SELECT s.n, CASE WHEN s.best IS NULL THEN list_append(s.o, {{'id': s.id, 'ws': s.ws, 'h': s.h, 'fp': s.fp}}) ELSE s.o END, s.ws, s.id, s.best FROM
+ (SELECT a.n, r.o, a.ws, a.id, a.h, a.fp, list_min(list_transform(list_filter(r.o, lambda x: x.ws = a.ws AND (coalesce(x.h = a.h, false) OR coalesce({_DISTANCE} <= 3, false))), lambda x: CASE WHEN coalesce(x.h = a.h, false) THEN 0 ELSE 1 + {_DISTANCE} END * 1000000000::BIGINT + x.id)) AS best
+  FROM r JOIN a ON a.n = r.n + 1) s)
+SELECT ws AS workspace_id, id, CASE WHEN best IS NULL THEN 'new' WHEN best < 1000000000 THEN 'duplicate' ELSE 'near_duplicate' END AS outcome, best % 1000000000 AS duplicate_of,
+ CASE WHEN best >= 1000000000 THEN CAST(best // 1000000000 - 1 AS INTEGER) END AS distance FROM r WHERE n > 0"""
+_UPSERT = f"""WITH RECURSIVE a AS (SELECT *, CASE WHEN id % 31 <> 0 THEN 'u' || (id * 7 % 701) END AS url, 't' || (id % 2) AS title, 0.5 + (id % 5) / 10.0 AS conf, row_number() OVER (ORDER BY id % 1000 >= 500, id) AS n FROM ({_CUSTOMERS})),
+r AS (SELECT 0::BIGINT AS n, CAST([] AS STRUCT(id BIGINT, ws BIGINT, url VARCHAR, title VARCHAR, h VARCHAR, fp BIGINT, conf DOUBLE, dup BIGINT)[]) AS o, NULL::BIGINT AS ws, NULL::BIGINT AS arrival, NULL::VARCHAR AS said, NULL::BIGINT AS best UNION ALL
+SELECT n, CASE said WHEN 'unchanged' THEN o WHEN 'updated' THEN list_transform(o, lambda x: CASE WHEN x.id = held.id THEN {{'id': x.id, 'ws': x.ws, 'url': x.url, 'title': title, 'h': h, 'fp': fp, 'conf': conf, 'dup': x.dup}} ELSE x END)
+  ELSE list_append(o, {{'id': len(o) + 1, 'ws': ws, 'url': url, 'title': title, 'h': h, 'fp': fp, 'conf': conf, 'dup': best % 1000000000}}) END, ws, id, said, CASE WHEN said = 'first' THEN best END FROM
+ (SELECT *, CASE WHEN held IS NULL THEN 'first' WHEN held.h IS NOT DISTINCT FROM h AND held.title = title OR conf + 0.1 < held.conf THEN 'unchanged' ELSE 'updated' END AS said FROM
+  (SELECT a.n, r.o, a.ws, a.id, a.url, a.title, a.h, a.fp, a.conf::DOUBLE AS conf, list_filter(r.o, lambda x: x.ws = a.ws AND coalesce(x.url = a.url, false))[1] AS held,
+   list_min(list_transform(list_filter(r.o, lambda x: x.dup IS NULL AND x.ws = a.ws AND (coalesce(x.h = a.h, false) OR coalesce({_DISTANCE} <= 3, false))), lambda x: CASE WHEN coalesce(x.h = a.h, false) THEN 0 ELSE 1 + {_DISTANCE} END * 1000000000::BIGINT + x.id)) AS best
+   FROM r JOIN a ON a.n = r.n + 1)))
+SELECT ws AS workspace_id, arrival, CASE WHEN said <> 'first' THEN said WHEN best IS NULL THEN 'new' WHEN best < 1000000000 THEN 'duplicate' ELSE 'near_duplicate' END AS outcome, best % 1000000000 AS duplicate_of,
+ CASE WHEN best >= 1000000000 THEN CAST(best // 1000000000 - 1 AS INTEGER) END AS distance FROM r WHERE n > 0"""
+
+
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of texts that declare none, by frequent words."""
     return texts(spark, sf_dir, "documents").select("doc_id", languages.detect_language("text").alias("language"))
@@ -177,7 +268,6 @@ def usage_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 _TOKENS_OF = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
-_RANK_PART = "{w} * len(list_filter({t}, lambda w: w IN ('the', 'of'))) / (1.0 + ln(len({t}) + 1))"
 
 QUERIES = {
     "content_hash_docs": (content_hash_docs, f"SELECT doc_id, content_hash FROM ({_HASHES})"),
@@ -205,7 +295,7 @@ QUERIES = {
     ),
     "search_like_terms": (
         search_like_terms,
-        r"SELECT doc_id AS id, 200 AS page_limit FROM documents WHERE text ILIKE '%AND%' AND text ILIKE '%\%\%\%%' ESCAPE '\' AND text ILIKE '%the%'",
+        f"SELECT id FROM ({_ARTICLES})" + r" WHERE body ILIKE '%AND%' AND body ILIKE '%\%\%\%%' ESCAPE '\' AND body ILIKE '%the%' ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 200",
     ),
     "article_page": (
         article_page,
@@ -222,9 +312,31 @@ QUERIES = {
     ),
     "search_ranked": (
         search_ranked,
-        f"""WITH a AS ({_ARTICLES}), t AS (SELECT id, {_TOKENS_OF.format("title")} AS tt, {_TOKENS_OF.format("body")} AS tb FROM a)
-SELECT id, round({_RANK_PART.format(w="1.0", t="tt")} + {_RANK_PART.format(w="0.2", t="tb")}, 6) AS rank FROM t WHERE list_contains(tb, 'the') AND list_contains(tb, 'of') ORDER BY rank DESC, id DESC LIMIT 20""",
+        f"""WITH a AS ({_ARTICLES}), t AS (SELECT id, {_TOKENS_OF.format("title")} AS tt, {_TOKENS_OF.format("body")} AS tb FROM a), w AS (SELECT id, len(tt) AS k, list_concat(tt, tb) AS ws FROM t),
+p AS (SELECT id, i, ws[i] AS term, CASE WHEN i <= k THEN 1.0 ELSE 0.2 END AS weight FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN ('the', 'of')),
+c AS (SELECT *, lag(i) OVER o AS pi, lag(term) OVER o AS pt, lag(weight) OVER o AS pw FROM p WINDOW o AS (PARTITION BY id ORDER BY i))
+SELECT id, round(sum(2 / (1 / weight + 1 / pw) / (i - pi)), 6) AS rank FROM c WHERE term <> pt GROUP BY id ORDER BY sum(2 / (1 / weight + 1 / pw) / (i - pi)) DESC, (SELECT published_at FROM a WHERE a.id = c.id) DESC NULLS LAST, id DESC LIMIT 20""",
+    ),
+    "search_created_order": (
+        search_created_order,
+        f"SELECT id, workspace_id, strftime(TIMESTAMP '2024-01-01' + to_seconds(id * 7919 % 5000), '%Y-%m-%d %H:%M:%S') AS created FROM ({_ARTICLES}) WHERE workspace_id = 1 ORDER BY id * 7919 % 5000 DESC, id DESC LIMIT 20 OFFSET 40",
+    ),
+    "article_projection": (
+        article_projection,
+        f"SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang AS language, source AS source_name, {_NORMAL} <> '' AS has_body, CAST(length(text) AS INTEGER) AS chars FROM documents",
+    ),
+    "content_hash_forms": (content_hash_forms, f"SELECT doc_id, content_hash FROM ({_HASHES})"),
+    "near_fingerprints": (
+        near_fingerprints,
+        f"""WITH c AS ({_CUSTOMERS}), f AS (SELECT ws, fp, min(id) AS earlier FROM c WHERE fp IS NOT NULL GROUP BY 1, 2)
+SELECT c.ws AS workspace_id, c.id, f.earlier, CAST(bit_count(xor(c.fp, f.fp)) AS INTEGER) AS distance FROM c JOIN f ON c.ws = f.ws AND f.earlier < c.id AND bit_count(xor(c.fp, f.fp)) <= 3""",
+    ),
+    "fingerprint_bands": (
+        fingerprint_bands,
+        f"SELECT id, printf('%016x', fp) AS signature, CAST(bit_count(xor(fp, {_PRINT.format(k='(id + 1)')})) AS INTEGER) AS distance, i::INTEGER AS band, (fp >> (16 * i)::INTEGER) & 65535 AS value FROM ({_CUSTOMERS}), range(4) t(i) WHERE fp IS NOT NULL",
     ),
+    "greedy_outcomes": (greedy_outcomes, _GREEDY),
+    "upsert_outcomes": (upsert_outcomes, _UPSERT),
     "term_frequencies": (
         term_frequencies,
         f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",

@@ -67,11 +67,12 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scheduler_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that a scheduler tick starts: each source's next crawl is six hours after its last job."""
+    """Sources that a scheduler tick starts: each source's next crawl is six hours after its last job; pending jobs of the last
+    half day are still active."""
     j = jobs(spark, sf_dir)
     sources = j.groupBy(F.col("source_id").alias("id"), "workspace_id").agg((F.max("created_at") + F.expr("INTERVAL 6 HOURS")).alias("next_crawl_at")).withColumn("enabled", F.col("id") % 4 != 0)
-    active = j.filter(F.col("created_at") >= F.lit(datetime(2024, 1, 30)))
-    spaces = spark.range(5).select("id", F.lit(10).alias("max_concurrent_crawls"))
+    active = j.filter(F.col("created_at") >= F.lit(datetime(2024, 1, 30, 12)))
+    spaces = spark.range(5).select("id", F.lit(60).alias("max_concurrent_crawls"))
     usage = spark.range(5).select(F.col("id").alias("workspace_id"), F.lit(datetime(2024, 1, 31)).cast("date").alias("day"), F.when(F.col("id") == 3, 500).otherwise(10).alias("pages"))
     return stats.dispatch(sources, active.filter("status = 'pending'"), spaces, usage, datetime(2024, 1, 31), 100)
 
@@ -92,7 +93,7 @@ def page_book(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("workspace_id"),
         F.col("user_id").alias("url_hash"),
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 304).otherwise(500).alias("status"),
+        F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 304).when(F.col("event_type") != "error", 500).alias("status"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"),
         F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("etag"),
     )
@@ -100,11 +101,11 @@ def page_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refetch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which users as pages would be fetched again on the last day."""
+    """Which users as pages, and as many unknown pages, would be fetched again on the last day."""
     e = events(spark, sf_dir)
     pages = e.groupBy(F.col("user_id").alias("url_hash")).agg(F.max("ts").alias("last_fetched_at"), F.max(F.col("event_type") == "purchase").alias("is_article")).withColumn("workspace_id", F.lit(0))
     via = F.when(F.col("id") % 3 == 0, "link").otherwise("feed")
-    found = spark.range(200).select(F.col("id").alias("url_hash"), F.lit(0).alias("workspace_id"), via.alias("via"))
+    found = pages.select(F.explode(F.array("url_hash", -1 - F.col("url_hash"))).alias("id")).select(F.col("id").alias("url_hash"), F.lit(0).alias("workspace_id"), via.alias("via"))
     return stats.refetch(found, pages, datetime(2024, 1, 31), 12).select(F.col("url_hash").alias("page"), "via", "fetch")
 
 
@@ -179,10 +180,10 @@ SELECT (SELECT count(*) FROM s) AS sources, (SELECT count(*) FROM s WHERE enable
     ),
     "scheduler_due": (
         scheduler_due,
-        f"""WITH j AS ({_JOBS}), s AS (SELECT source_id AS id, workspace_id, max(created_at) + INTERVAL 6 HOUR AS nxt FROM j GROUP BY 1, 2), a AS (SELECT * FROM j WHERE status = 'pending' AND created_at >= TIMESTAMP '2024-01-30'),
+        f"""WITH j AS ({_JOBS}), s AS (SELECT source_id AS id, workspace_id, max(created_at) + INTERVAL 6 HOUR AS nxt FROM j GROUP BY 1, 2), a AS (SELECT * FROM j WHERE status = 'pending' AND created_at >= TIMESTAMP '2024-01-30 12:00:00'),
 due AS (SELECT * FROM s WHERE id % 4 <> 0 AND nxt <= TIMESTAMP '2024-01-31' ORDER BY nxt NULLS FIRST, id LIMIT 100), idle AS (SELECT * FROM due WHERE id NOT IN (SELECT source_id FROM a)),
 r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY nxt NULLS FIRST, id) AS turn FROM idle), n AS (SELECT workspace_id, count(*) AS n FROM a GROUP BY 1)
-SELECT r.id AS source_id, r.workspace_id FROM r LEFT JOIN n USING (workspace_id) WHERE turn + coalesce(n, 0) <= 10 AND r.workspace_id <> 3""",
+SELECT r.id AS source_id, r.workspace_id FROM r LEFT JOIN n USING (workspace_id) WHERE turn + coalesce(n, 0) <= 60 AND r.workspace_id <> 3""",
     ),
     "job_reaper": (
         job_reaper,
@@ -204,7 +205,7 @@ SELECT k.user_id AS page, k.n AS fetch_count, coalesce(e.n, 0) AS failure_count,
     "refetch_gate": (
         refetch_gate,
         """WITH p AS (SELECT user_id, max(ts) AS last, bool_or(event_type = 'purchase') AS art FROM events GROUP BY 1)
-SELECT i AS page, CASE WHEN i % 3 = 0 THEN 'link' ELSE 'feed' END AS via, i % 3 = 0 OR NOT coalesce(art, false) OR last IS NULL OR last < TIMESTAMP '2024-01-30 12:00:00' AS fetch FROM range(200) t(i) LEFT JOIN p ON p.user_id = i""",
+SELECT i AS page, CASE WHEN i % 3 = 0 THEN 'link' ELSE 'feed' END AS via, i % 3 = 0 OR NOT coalesce(art, false) OR last IS NULL OR last < TIMESTAMP '2024-01-30 12:00:00' AS fetch FROM (SELECT DISTINCT unnest([user_id, -1 - user_id]) AS i FROM events) LEFT JOIN p ON p.user_id = i""",
     ),
     "host_pace": (
         host_pace,

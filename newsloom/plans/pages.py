@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import dates, display, http, urls
+from newsloom.functions import dates, display, http, text, urls
 from newsloom.operators import articles, crawl
 from newsloom.session import table, texts
 from newsloom.sources import feeds, robots
@@ -71,28 +71,45 @@ def url_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id")
-    u = F.when(n % 5 == 0, F.col("url")).when(n % 5 == 1, "ftp://a.example.com/").when(n % 5 == 2, "http://10.0.0.1/x").when(n % 5 == 3, "http://user:pw@a.com/").otherwise("https://a.internal:443/")
+    """Which forms of the pages' URLs may be fetched: other schemes, credentials, ports, names and addresses."""
+    n, h, rest = F.col("page_id"), urls.host("url"), F.concat(urls.path("url"), F.lit("?n="), F.col("page_id").cast("string"))
+    ip = F.concat_ws(".", *((F.col("page_id") * k % 256).cast("string") for k in (37, 11, 5, 3)))
+    made = [
+        F.col("url"), F.concat(F.lit("ftp://"), h, rest), F.concat(F.lit("http://u:p@"), h, rest), F.concat(F.lit("https://"), h, F.lit(":22"), rest), F.concat(F.lit("http://"), h, F.lit(".internal"), rest),
+        F.concat(F.lit("http://10."), (n % 200).cast("string"), F.lit(".0.7"), rest), F.concat(F.lit("http://[fe80::"), F.hex(n), F.lit("]"), rest), F.concat(F.lit("http://host"), n.cast("string"), rest), F.concat(F.lit("http://"), ip, rest),
+    ]
+    u = made[0]
+    for k, form in enumerate(made):
+        u = F.when(n % len(made) == k, form).otherwise(u)
     return pages(spark, sf_dir).select("page_id", urls.guard_reason(u).alias("reason"))
 
 
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and headings by pattern, as they stand in the source."""
+    return _heads(pages(spark, sf_dir)).select("page_id", "title", "h1", "lang")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
     get = lambda tag: F.regexp_extract("html", f"(?s)<{tag}>(.*?)</{tag}>", 1)
-    return pages(spark, sf_dir).select("page_id", get("title").alias("title"), get("h1").alias("h1"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    return rows.select("page_id", "url", "html", get("title").alias("title"), get("h1").alias("h1"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
 def page_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of links, paragraphs and scripts, the text's length without tags, and whether a script would have to draw the page."""
+    # every other page as a shell that scripts fill
+    n = F.col("page_id") % 4
+    html = F.when(n == 1, F.concat(F.lit('<html><body><div class="x" id="root"></div>'), F.repeat(F.lit("<script src=a></script>"), (F.col("page_id") % 13).cast("int")), F.lit("</body></html>"))).when(
+        n == 3, F.concat(F.lit("<html><body><p>"), F.repeat(F.lit("word "), (F.col("page_id") % 101).cast("int")), F.lit("</p><script>window.__INITIAL_STATE__ = {}</script></body></html>"))
+    ).otherwise(F.col("html"))
     bare = F.length(F.regexp_replace("html", "<[^>]*>", ""))
     count = lambda p: F.regexp_count("html", F.lit(p))
-    shell = (bare < 500) & (F.col("html").rlike('id="(root|app|__next)"') | (count("<script") >= 10))
-    return pages(spark, sf_dir).select("page_id", count("<a ").alias("links"), count("<p>").alias("paragraphs"), count("<script").alias("scripts"), bare.alias("text_chars"), F.contains("html", F.lit("<article>")).alias("has_article"), shell.alias("js_shell"))
+    shell = http.needs_script("shown", text.word_count(F.regexp_replace("shown", "<[^>]*>", " ")))
+    return pages(spark, sf_dir).withColumn("shown", html).select("page_id", count("<a ").alias("links"), count("<p>").alias("paragraphs"), count("<script").alias("scripts"), bare.alias("text_chars"), F.contains("html", F.lit("<article>")).alias("has_article"), shell.alias("js_shell"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with candidates for title, body and language by pattern."""
-    p = page_heads(spark, sf_dir).join(pages(spark, sf_dir).select("page_id", "url", "html"), "page_id")
+    p = _heads(pages(spark, sf_dir))
     body = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1), "\n\n")
     teaser = F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1)
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
@@ -154,12 +171,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred URLs to visit."""
+    """The frontier in order of visit: of the first 5,000 URLs seen, the first hundred."""
     n = F.col("page_id")
     via = F.when(n % 4 == 0, "feed").when(n % 4 == 1, "sitemap").when(n % 4 == 2, "link").otherwise("seed")
     published = F.when(n % 3 == 0, F.lit(AS_OF) - F.make_interval(days=(n % 50).cast("int")))
     found = pages(spark, sf_dir).select(urls.normalize_plain_url("url").alias("url"), n.alias("seq"), F.round(crawl.priority(F.col("url"), via, published, AS_OF), 6).alias("prio"))
-    return crawl.frontier(found, 200).limit(100).select("url", "seq", "prio")
+    return crawl.frontier(found).limit(100).select("url", "seq", "prio")
 
 
 _PLAIN_URL = """(SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS normal
@@ -176,7 +193,7 @@ def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     links = p.select(name(n).alias("url"), F.explode(F.array(name(2 * n + 1), name(2 * n + 2), name((n / 3).cast("long")))).alias("target"))
     seeds = p.filter("page_id = 0").select(name(n).alias("url"))
-    return crawl.crawl(seeds, links, 5, 40).select("url", "depth")
+    return crawl.crawl(seeds, links, 5, 200).select("url", "depth")
 
 
 def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +282,17 @@ QUERIES = {
         f"""SELECT page_id, CASE WHEN NOT regexp_matches(u, '^(http|https)://') THEN 'scheme' WHEN length(u) > 2048 THEN 'too_long' WHEN NOT regexp_matches(lower(regexp_extract(u, '^[^:/?#]+://([^/?#:]*)', 1)), '(^|\\.)example\\.(com|net)$') THEN 'off_site'
  WHEN {_NOT_HTML} THEN 'non_html' WHEN {_IS_TRAP} THEN 'trap' WHEN contains(u, '/es/') THEN 'excluded' END AS reason FROM {_TRAP}""",
     ),
-    "url_guard": (url_guard, "SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'scheme' WHEN 2 THEN 'private_address' WHEN 3 THEN 'credentials' WHEN 4 THEN 'internal_name' END AS reason FROM pages"),
+    "url_guard": (
+        url_guard,
+        """SELECT page_id, CASE page_id % 9 WHEN 1 THEN 'scheme' WHEN 2 THEN 'credentials' WHEN 3 THEN 'port' WHEN 4 THEN 'internal_name' WHEN 5 THEN 'private_address' WHEN 6 THEN 'private_address' WHEN 7 THEN 'single_label'
+ WHEN 8 THEN CASE WHEN a IN (0, 10, 127) OR a >= 224 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 192 AND b = 0 AND c IN (0, 2) OR a = 198 AND b IN (18, 19) OR a = 198 AND b = 51 AND c = 100 OR a = 203 AND b = 0 AND c = 113
+ OR a = 192 AND b = 88 AND c = 99 THEN 'private_address' END END AS reason FROM (SELECT page_id, page_id * 37 % 256 AS a, page_id * 11 % 256 AS b, page_id * 5 % 256 AS c FROM pages)""",
+    ),
     "page_heads": (page_heads, f"SELECT page_id, title, h1, lang FROM {_P}"),
     "page_shape": (
         page_shape,
         """SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS paragraphs, CAST(len(regexp_extract_all(html, '<script')) AS INTEGER) AS scripts, CAST(n AS INTEGER) AS text_chars,
- contains(html, '<article>') AS has_article, n < 500 AND (regexp_matches(html, 'id="(root|app|__next)"') OR len(regexp_extract_all(html, '<script')) >= 10) AS js_shell FROM (SELECT *, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages)""",
+ contains(html, '<article>') AS has_article, CASE page_id % 4 WHEN 1 THEN true WHEN 3 THEN page_id % 101 < 47 ELSE false END AS js_shell FROM (SELECT *, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages)""",
     ),
     "merge_candidates": (
         merge_candidates,
@@ -288,12 +310,12 @@ QUERIES = {
         frontier_top,
         f"""WITH s AS (SELECT *, {_SCORE_OF} AS score FROM {_SCORED.format(u="url", t=_PLAIN_URL)}),
 f AS (SELECT normal AS url, page_id AS seq, round(CASE WHEN page_id % 4 = 3 THEN 0.5 ELSE CASE page_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN greatest(0.0, 1 - (page_id % 50) / 30.0) * 0.5 ELSE 0 END + score END, 6) AS prio FROM s),
-o AS (SELECT url, min(seq) AS seq, arg_min(prio, seq) AS prio FROM f GROUP BY url ORDER BY seq LIMIT 200) SELECT url, seq, prio FROM o ORDER BY prio DESC, seq LIMIT 100""",
+o AS (SELECT url, min(seq) AS seq, arg_min(prio, seq) AS prio FROM f GROUP BY url ORDER BY seq LIMIT 5000) SELECT url, seq, prio FROM o ORDER BY prio DESC, seq LIMIT 100""",
     ),
     "crawl_levels": (
         crawl_levels,
         """WITH RECURSIVE e AS (SELECT page_id AS n, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS t FROM pages), r AS (SELECT CAST(0 AS BIGINT) AS n, 0 AS d UNION SELECT e.t, d + 1 FROM r JOIN e USING (n) WHERE d < 5),
-m AS (SELECT n, min(d) AS depth FROM r GROUP BY n) SELECT 'https://example.com/p/' || n AS url, depth FROM m ORDER BY depth, CASE WHEN regexp_matches(CAST(n AS VARCHAR), '[0-9]{5,}') THEN 1 ELSE 0 END DESC, url LIMIT 40""",
+m AS (SELECT n, min(d) AS depth FROM r GROUP BY n) SELECT 'https://example.com/p/' || n AS url, depth FROM m ORDER BY depth, CASE WHEN regexp_matches(CAST(n AS VARCHAR), '[0-9]{5,}') THEN 1 ELSE 0 END DESC, url LIMIT 200""",
     ),
     "robots_decisions": (
         robots_decisions,

@@ -15,8 +15,8 @@ def members_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anti-join: customers without an order."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Anti-join: customers without an order in 1995."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1995)
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
@@ -47,7 +47,7 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "members_of": (members_of, "SELECT n_name, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY n_name"),
-    "without_orders": (without_orders, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "without_orders": (without_orders, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1995)"),
     "pricing_summary": (
         pricing_summary,
         "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS sum_disc_price, round(avg(l_discount), 4) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

@@ -59,8 +59,31 @@ def test_rank(articles):
     assert ids(page) == [1, 4] and {r.id for r in page.scores.collect()} == {1, 4}
 
 
+def test_cover_density():
+    half = [(0, "a", 1.0), (3, "b", 0.2), (4, "a", 0.2), (9, "b", 0.2)]
+    pair = lambda v, w, between: 2 / (1 / v + 1 / w) / (1 + between)
+    assert s.cover_density(half, [{"a", "b"}]) == pytest.approx(pair(1.0, 0.2, 2) + pair(0.2, 0.2, 0) + pair(0.2, 0.2, 4))
+    assert s.cover_density(half, [{"a"}]) == pytest.approx(1.2) and s.cover_density(half, [{"a", "z"}]) == 0
+    assert s.cover_density([(0, "a", 1.0), (1, "a", 1.0), (2, "b", 1.0), (3, "c", 1.0)], [{"a", "b", "c"}]) == pytest.approx(1.0)
+
+
+def test_stored_index_gives_the_same(articles, spark, tmp_path):
+    s.postings(articles).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for q in ('"the vote" or budgets', "-vote", "council -copy", "budget", "-", '"100 done_so"'):
+        query = s.SearchQuery(workspace_id=1, q=q, include_duplicates=True, sort="relevance")
+        assert [r.asDict() for r in s.search(articles, query, index=index).items.collect()] == [r.asDict() for r in s.search(articles, query, "fulltext").items.collect()]
+    assert s.search(articles, s.SearchQuery(q="x"), index=index).backend == "fulltext" and s.search(articles, s.SearchQuery(q="x")).backend == "like"
+    assert set(ids(run(articles, q="-vote", workspace_id=1))) == {2, 5}
+
+
+def test_term_counts(articles):
+    got = {r.term: (r.docs, r.places) for r in s.term_counts(articles).collect()}
+    assert got["budget"] == (1, 3) and got["the"] == (3, 4 + 1 + 2)
+
+
 def test_registry(articles):
-    s.register_backend("none", lambda a, q: s.SearchPage(a.limit(0), a.limit(0), "none"))
+    s.register_backend("none", lambda a, q, i: s.SearchPage(a.limit(0), a.limit(0), "none"))
     assert ids(run(articles, "none")) == []
     with pytest.raises(KeyError):
         run(articles, "nowhere")
@@ -70,7 +93,8 @@ def test_registry(articles):
 
 def test_postings(articles):
     rows = {(r.term, r.id, r.field): r.positions for r in s.postings(articles).collect()}
-    assert rows["the", 1, "body"] == [0, 4, 7, 11][: len(rows["the", 1, "body"])] and rows["budget", 4, "body"] == [0, 1, 2] and ("budgets", 2, "description") in rows
+    # three words of the title, and two, come before the body
+    assert rows["the", 1, "body"] == [3, 7, 10, 14][: len(rows["the", 1, "body"])] and rows["budget", 4, "body"] == [2, 3, 4] and rows["budgets", 2, "description"] == [2]
 
 
 def test_filters_reach_the_scan(spark, articles, tmp_path):

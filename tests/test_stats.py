@@ -58,7 +58,8 @@ def test_page_book(spark):
     rows = [(1, "a", 1, 200, None, "x"), (1, "a", 2, 500, "e1", None), (1, "a", 3, 304, None, "y"), (1, "a", 4, None, "e2", None), (1, "b", 1, None, "e0", None), (1, "b", 2, 200, None, "z")]
     df = spark.createDataFrame(rows, "workspace_id long, url_hash string, seq long, status int, error string, etag string")
     got = {r.url_hash: (r.fetch_count, r.failure_count, r.last_error, r.etag) for r in stats.page_book(df).collect()}
-    assert got == {"a": (4, 2, "e2", "x"), "b": (2, 0, None, "z")}
+    # the answer with status 500 had no etag
+    assert got == {"a": (4, 2, "e2", None), "b": (2, 0, None, "z")}
 
 
 def test_breaker(spark):
@@ -100,6 +101,54 @@ def test_orders_and_stats(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in kids.select(crawl.too_old(F.col("published_at"), F.col("lastmod"), NOW, 30)).collect()] == [False, True, False, False]
-    visits = spark.createDataFrame([(i, "h" if i % 2 else "g", 200 if i % 2 else None, "new" if i % 2 else None, None if i % 2 else f"e{i}") for i in range(50)], "seq int, host string, status int, outcome string, error string")
-    r = crawl.crawl_stats(visits).first()
-    assert (r.discovered, r.fetched, r.new, r.failed, r.hosts_unreachable) == (50, 25, 25, 25, ["g"]) and len(r.errors) == 20 and r.errors[-1] == "e48"
+
+
+VISIT = "run long, seq int, url string, host string, seed boolean, result string, article string, error string, rendered boolean, llm_calls int, discovered int, dead boolean, elapsed double, cancel boolean"
+
+
+def visit(run, seq, result="fetched", host="h", **kw):
+    return (run, seq, f"u{seq}", host, kw.get("seed", False), result, kw.get("article"), kw.get("error"), kw.get("rendered"), kw.get("llm_calls"), kw.get("discovered", 1), kw.get("dead", False), kw.get("elapsed", float(seq)), kw.get("cancel", False))
+
+
+def test_run_counters(spark):
+    rows = [visit(1, 0, seed=True), visit(1, 1, article="new", rendered=True, llm_calls=2), visit(1, 2, "not_modified"), visit(1, 3, "http_error", error="HTTP 500"), visit(1, 4, "network_error", "g", error="lost")]
+    rows += [visit(1, 5, "skipped", "g", dead=True), visit(1, 6, "robots"), visit(1, 7, article="near_duplicate"), visit(1, 8, article="unchanged"), visit(1, 9, article="updated"), visit(1, 10, article="duplicate")]
+    rows += [visit(2, i, "network_error", error=f"e{i}") for i in range(30)]
+    got = {r.run: r.asDict() for r in crawl.crawl_stats(spark.createDataFrame(rows, VISIT)).collect()}
+    want = {"pages_fetched": 7, "seed_fetches": 1, "fetches": 9, "llm_calls": 2, "pages_failed": 2, "pages_skipped": 1, "not_modified": 1, "robots_blocked": 1, "rendered": 1, "articles_found": 5, "articles_new": 1, "articles_updated": 1, "duplicates": 2, "discovered": 11, "hosts_unreachable": ["g"], "errors": ["u3: HTTP 500", "u4: lost"]}
+    assert {k: got[1][k] for k in want} == want
+    assert got[2]["errors"] == [f"u{i}: e{i}" for i in range(10, 30)] and got[2]["pages_failed"] == 30
+
+
+def test_a_run_stops(spark):
+    rows = [visit(1, i) for i in range(9)] + [visit(2, i, "network_error") for i in range(9)] + [visit(3, i, seed=True, elapsed=30.0 * i) for i in range(9)]
+    rows += [visit(4, i, "skipped", cancel=i >= 25, elapsed=0.0) for i in range(70)] + [visit(5, i, "not_modified", elapsed=0.0) for i in range(3)]
+    kept, why = crawl.stopped(spark.createDataFrame(rows, VISIT), 5, 7, 100.0)
+    assert {r.run: r.stopped_reason for r in why.collect()} == {1: "max_pages", 2: "daily_quota", 3: "time_budget", 4: "cancelled", 5: "frontier_exhausted"}
+    assert {r["run"]: r["count"] for r in kept.groupBy("run").count().collect()} == {1: 5, 2: 7, 3: 4, 4: 40, 5: 3}
+
+
+def test_pages_on_top_of_stored_ones(spark):
+    kind = "workspace_id long, url_hash string, seq int, status int, error string, etag string"
+    first = [(1, "a", 1, 200, None, "x"), (1, "a", 2, None, "lost", None), (1, "b", 3, 500, "HTTP 500", None), (1, "c", 4, 304, None, None)]
+    more = [(1, "a", 5, None, "lost again", None), (1, "b", 6, 200, None, None), (1, "d", 7, 200, None, "y"), (1, "c", 8, None, "z" * 2000, None)]
+    df = lambda rows: spark.createDataFrame(rows, kind)
+    step = stats.page_book(df(more), spark.createDataFrame(stats.page_book(df(first)).collect(), stats.page_book(df(first)).schema))
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(step) == key(stats.page_book(df(first + more)))
+    got = {r.url_hash: (r.fetch_count, r.failure_count, r.last_error and len(r.last_error), r.etag, r.status) for r in step.collect()}
+    assert got == {"a": (3, 2, 10, "x", 200), "b": (2, 0, None, None, 200), "c": (2, 1, 1000, None, 304), "d": (1, 0, None, "y", 200)}
+
+
+def test_members_and_roles(spark):
+    from pyspark.sql import functions as F
+
+    members = spark.createDataFrame([(1, "viewer", "c@x"), (1, "admin", "b@x"), (2, "editor", "a@x"), (1, "viewer", "a@x")], "workspace_id long, role string, email string")
+    assert [r.email for r in stats.member_list(stats.visible(members, 1)).collect()] == ["a@x", "c@x", "b@x"]
+    roles = spark.createDataFrame([(x,) for x in ("viewer", "editor", "admin", "owner", None)], "role string")
+    assert [tuple(r) for r in roles.select(*(stats.may(F.col("role"), x) for x in stats.ROLES)).collect()] == [(True, False, False), (True, True, False), (True, True, True)] + [(False,) * 3] * 2
+    spaces = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    jobs = spark.createDataFrame([(1, 1, 7, "pending"), (2, 2, 7, "failed"), (3, 1, 8, "running")], "id long, workspace_id long, source_id long, status string")
+    counts = {r.id: (r.sources, r.members, r.admins, r.active_crawls) for r in stats.workspace_counts(spaces, jobs, members, jobs).collect()}
+    assert counts == {1: (2, 3, 1, 2), 2: (1, 1, 0, 0), 3: (0, 0, 0, 0)}
+    assert [r.id for r in stats.job_list(jobs, source_id=7).collect()] == [2, 1] and [r.id for r in stats.job_list(jobs, status="running").collect()] == [3]
