@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.components import components, neighbours
+from newsloom.llm.components import components
 from newsloom.llm.kernels import Words, blocks, grams, mix, signed
 from newsloom.session import cut, plain_join, stash
 
@@ -40,11 +40,6 @@ def text_id(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(id, text) of each different text, written once. Copies are dropped before the exchange."""
-    return stash(docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("id").agg(F.first("text").alias("text")))
-
-
 def shingle_hashes(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Hashes of the shingles of each text, repeats included; no words, none."""
     words = Words([t.lower() for t in texts])
@@ -65,16 +60,34 @@ def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
     return mix(joined + np.arange(BANDS, dtype=_U)[:, None]).T
 
 
-def band_rows(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp) of each key of each text, fp being its id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw in blocks(batch):
-                key = band_keys(shingle_hashes(raw, shingle))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(key)).ravel()), pa.array(np.repeat(part.column("id").to_numpy(), BANDS))], ["key", "fp"])
-
-    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, fp long")
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a stream (key, id) sorted by both: rows whose key has several ids, with the id before (null for the first). A row is held
+    back until the next one tells whether it is alone."""
+    key = ids = np.zeros(0, np.int64)
+    before = -1  # the id before the held row, under its key
+    with_before = False
+    for batch in batches:
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        ids = np.concatenate([ids, batch.column("id").to_numpy()])
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(key) else np.zeros(0, bool)
+        key, ids = key[new], ids[new]
+        if len(key) < 2:
+            continue
+        same = key[1:] == key[:-1]
+        after, prior = same, np.concatenate([[with_before], same[:-1]])
+        prior_id = np.concatenate([[before], ids[:-2]])
+        keep = after | prior
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(ids[:-1][keep]), pa.array(prior_id[keep], mask=~prior[keep])], ["key", "id", "before"])
+        before, with_before = int(ids[-2]), bool(same[-1])
+        key, ids = key[-1:], ids[-1:]
+    if len(key) and with_before:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array([before], pa.int64())], ["key", "id", "before"])
+
+
+def shared_keys(marks: DataFrame) -> DataFrame:
+    """(key, id, before) of the keys that several texts share, from marks (id, keys): before is the next smaller id under the key."""
+    rows = marks.select(F.explode("keys").alias("key"), "id")
+    return cut(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, before long"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -114,36 +127,43 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _crossing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, fp, label): pairs (u, v) of different labels under keys with at most CROWD rows, and the rows of other keys that
+    """Of rows (key, id, label): pairs (u, v) of different labels under keys with at most CROWD rows, and the rows of other keys that
     hold several labels."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed and n > 2")
     open_ = cut(plain_join(rows, sizes.select("key", "n"), ["key"]))
-    few = open_.filter(F.col("n") <= CROWD).select("key", "fp", "label")
-    other = few.select("key", F.col("fp").alias("v"), F.col("label").alias("to"))
-    pairs = few.select("key", F.col("fp").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
-    return pairs, open_.filter(F.col("n") > CROWD).select("key", "fp", "label")
+    few = open_.filter(F.col("n") <= CROWD).select("key", "id", "label")
+    return _pairs(few), open_.filter(F.col("n") > CROWD).select("key", "id", "label")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different labels under one key."""
+    other = rows.select("key", F.col("id").alias("v"), F.col("label").alias("to"))
+    return rows.select("key", F.col("id").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
 
 
-def near_groups(texts: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, label) of texts (id, text) that are similar to others: label is the least id of the component. Compared are the
-    candidate pairs (u, v with u > v) and those that share MinHash keys."""
-    rows = cut(band_rows(texts, shingle))
-    chained = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(neighbours, "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+def near_groups(docs: DataFrame, marks: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, label) of the texts of docs that are similar to others: label is the least id of the component. marks (id, keys) has the
+    keys of each text; compared are candidates (u, v with u > v) and pairs that share keys."""
+    rows = shared_keys(marks)
+    chained = rows.filter("before is not null").groupBy(F.col("id").alias("u"), F.col("before").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     tried = cut(chained.unionByName(candidates.distinct().withColumn("n", F.lit(BANDS).cast("long"))).groupBy("u", "v").agg(F.sum("n").alias("n")))
-    nearest = tried.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    # texts are needed only of these, each once; copies are dropped before the exchange
+    needed = rows.select("id").unionByName(candidates.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    texts = docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = stash(plain_join(texts, needed, ["id"], "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    nearest = cut(tried.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v")))
     links = cut(similar(nearest, texts, shingle, similarity))
-    label = components(links)
-    rest = _apart(tried.select("u", "v").join(nearest, ["u", "v"], "left_anti"), label)
+    rest = _apart(tried.select("u", "v").join(nearest, ["u", "v"], "left_anti"), components(links))
     links = links.unionByName(cut(similar(rest, texts, shingle, similarity)))
     label = cut(components(links))
     # what else is under keys of several components
-    labelled = plain_join(rows, label.select(F.col("node").alias("fp"), "label"), ["fp"], "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    labelled = plain_join(rows.select("key", "id"), label.select(F.col("node").alias("id"), "label"), ["id"], "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     pairs, crowded = _crossing(labelled)
-    parted = plain_join(crowded, rows.select(F.col("key").alias("second"), "fp"), ["fp"]).filter("key != second")
-    more, left = _crossing(parted.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "fp", "label").distinct())
+    parted = plain_join(crowded, rows.select(F.col("key").alias("second"), "id"), ["id"]).filter("key != second")
     # texts that share two keys with very many others: all pairs of different components, dealt out by both ends
-    other = left.select("key", F.col("fp").alias("v"), F.col("label").alias("to"))
-    last = left.select("key", F.col("fp").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
-    fresh = pairs.unionByName(more).unionByName(last).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    more, left = _crossing(parted.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "label").distinct())
+    fresh = cut(pairs.unionByName(more).unionByName(_pairs(left)).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
+    if fresh.isEmpty():
+        return label.select(F.col("node").alias("id"), "label")
     links = links.unionByName(cut(similar(fresh, texts, shingle, similarity)))
     return components(links).select(F.col("node").alias("id"), "label")

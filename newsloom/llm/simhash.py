@@ -285,16 +285,37 @@ def near_texts(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: flo
     A null text counts as empty; texts without words are near each other. Copies of a text are one before anything else is
     done with it. Other columns are ignored; an empty table gives no rows.
     """
-    texts = shingles.distinct_texts(docs)
+    marks = cut(_marks(docs, shingle))
     # the first text of a fingerprint stands for it
-    fps = cut(fingerprints(texts.withColumnRenamed("id", "doc_id"), shingle))
-    of_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    of_fp = marks.groupBy("fp").agg(F.min("id").alias("least"))
     near = links(of_fp.select("fp"))
-    end = lambda c, name: of_fp.select(F.col("fp").alias(c), F.col("id").alias(name))
+    end = lambda c, name: of_fp.select(F.col("fp").alias(c), F.col("least").alias(name))
     found = near.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
-    same = plain_join(fps, of_fp, ["fp"]).filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    pairs = found.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    return shingles.near_groups(texts, pairs, shingle, similarity)
+    same = plain_join(marks.select("id", "fp"), of_fp, ["fp"]).filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    pairs = cut(found.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    return shingles.near_groups(docs, marks.select("id", "keys"), pairs, shingle, similarity)
+
+
+def _marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, fp, keys) of each different text of docs (text): its shingles.text_id(), fingerprint and MinHash keys. Copies are dropped
+    before they are read, within a partition, and then between partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # ids of one partition
+        for batch in batches:
+            for part, texts in blocks(batch):
+                ids = part.column("id").to_pylist()
+                some = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+                if some:
+                    once = [texts[i] for i in some]
+                    fp = np.array([fingerprint(t, shingle) for t in once], _U)
+                    keys = shingles.band_keys(shingles.shingle_hashes(once, shingle))
+                    flat = pa.array(np.ascontiguousarray(keys).ravel().view(np.int64))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * shingles.BANDS), flat)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(fp.view(np.int64)), lists], ["id", "fp", "keys"])
+
+    read = docs.select(shingles.text_id().alias("id"), F.col("text").cast("binary").alias("text"))
+    return read.mapInArrow(run, "id long, fp long, keys array<long>").groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
 
 
 def _row_id(docs: DataFrame) -> Column:
@@ -303,15 +324,21 @@ def _row_id(docs: DataFrame) -> Column:
 
 
 def heads(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """(row, doc_id) of one row of docs (doc_id, text) for each component of near_texts(): that with the smallest doc_id; a null
-    one comes last, and of rows with one doc_id the one with the smallest hash is taken. row is the hash of all its columns."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
-    per_text = docs.select(shingles.text_id().alias("id"), "doc_id", _row_id(docs).alias("row")).groupBy("id").agg(first.alias("first"))
+    """(row, doc_id, n) of one row of docs (doc_id, text) for each component of near_texts(): that with the smallest doc_id; a null
+    one comes last, and of rows with one doc_id the one with the smallest hash is taken. row is the hash of all its columns, n
+    the number of rows alike."""
+    per_row = docs.select(shingles.text_id().alias("id"), "doc_id", _row_id(docs).alias("row")).groupBy("row").agg(F.first("id").alias("id"), F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("n").alias("n")))
+    per_text = per_row.groupBy("id").agg(first.alias("first"))
     of_component = per_text.join(near_texts(docs, shingle, similarity), "id", "left").groupBy(F.coalesce("label", "id")).agg(F.min("first").alias("first"))
-    return cut(of_component.select("first.row", "first.doc_id"))
+    return cut(of_component.select("first.row", "first.doc_id", "first.n"))
 
 
 def keep_one(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
     """One row of docs for each component of near-duplicates, by heads(). Rows alike in all columns are one."""
-    once = docs.withColumn("row", _row_id(docs)).groupBy("row").agg(*(F.first(c).alias(c) for c in docs.columns))
-    return once.join(heads(docs, shingle, similarity), "row", "left_semi").drop("row")
+    found = heads(docs, shingle, similarity)
+    rows = docs.withColumn("row", _row_id(docs))
+    alone = rows.join(found.filter("n = 1").select("row"), "row", "left_semi")
+    # only rows that are repeated as a whole have to meet
+    repeated = plain_join(rows, found.filter("n > 1").select("row"), ["row"], "left_semi").groupBy("row").agg(*(F.first(c).alias(c) for c in docs.columns))
+    return alone.unionByName(repeated).drop("row")
