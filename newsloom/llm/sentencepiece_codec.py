@@ -59,7 +59,9 @@ class Codec:
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         self.seen: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        # what is known of pairs of pieces, by the first one's id
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(max(self.text_of, default=-1) + 1)] if merges else []
+        self.n_pairs = 0
         self.bytes_of = {i: p.encode() for i, p in self.text_of.items()} | {i: bytes((b,)) for i, b in self.byte_of.items()}
 
     @classmethod
@@ -94,10 +96,13 @@ class Codec:
 
     def apart(self, before: int, i: int) -> bool:
         """Whether the merges leave piece i apart from the piece before it."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
+        if self.n_pairs >= PAIRS:
+            for row in self.pairs:
+                row.clear()
+            self.n_pairs = 0
         a = self.text_of[before]
-        known = self.pairs[before << 32 | i] = bool(self.merged(a + self.text_of[i], len(a)))
+        known = self.pairs[before][i] = bool(self.merged(a + self.text_of[i], len(a)))
+        self.n_pairs += 1
         return known
 
     def viterbi(self, marked: str) -> list[int]:
@@ -121,7 +126,7 @@ class Codec:
             if last[end] == -2:
                 before = last[end - size]
                 if before >= 0:
-                    known = pairs.get(before << 32 | i)
+                    known = pairs[before].get(i)
                     if known is None:
                         known = self.apart(before, i)
                     if not known:
