@@ -52,8 +52,8 @@ def _decided(nodes: DataFrame, sources: DataFrame, max_distance: int) -> DataFra
     for an original.
 
     sources (workspace_id, id, content_hash, simhash, since, until, settled) are texts that articles had from ``since`` to
-    ``until``; a settled one's article is an original, another is a node itself. Whether an earlier article is an original is
-    decided first: each round decides the nodes whose neighbours are, and only what it decided meets the links still open.
+    ``until``; a settled one's article is an original, another is a node itself. Which nodes are originals is decided in
+    rounds, on links between nodes that are still undecided; the closest original is looked for once, at the end.
     """
     then = (F.col("since") < F.col("at")) & (F.col("at") < F.col("until"))
     right = sources.select("workspace_id", F.col("id").alias("earlier"), "content_hash", F.col("simhash").alias("other"), "since", "until", "settled")
@@ -64,27 +64,26 @@ def _decided(nodes: DataFrame, sources: DataFrame, max_distance: int) -> DataFra
     link = F.struct("rank", "earlier")
     ranked = same.select(*WHO, "earlier", "settled", F.lit(-1).alias("rank")).unionByName(near.select(*WHO, "earlier", "settled", F.col("distance").alias("rank")))
     links = cut(ranked.groupBy(*WHO, "earlier", "settled").agg(F.min("rank").alias("rank")))
-    # the closest known original of each node, and links whose other end is yet to be decided
-    known = links.filter("settled").groupBy(*WHO).agg(F.min(link).alias("best"))
-    waiting = cut(nodes.select(*WHO).join(known, WHO, "left"))
-    open_ = links.filter("not settled").drop("settled")
-    done: list[DataFrame] = []
-    while True:
-        stuck = open_.select(*WHO).distinct()
-        fresh = cut(waiting.join(stuck, WHO, "left_anti"))
-        done.append(fresh)
-        waiting = cut(waiting.join(stuck, WHO, "left_semi"))
-        if waiting.isEmpty():
-            break
-        news = fresh.select("workspace_id", F.col("id").alias("earlier"), F.col("best").isNull().alias("original"))
-        met = plain_join(open_, news, ["workspace_id", "earlier"])
-        better = met.filter("original").groupBy(*WHO).agg(F.min(link).alias("closer"))
-        waiting = cut(waiting.join(better, WHO, "left").select(*WHO, F.least("best", "closer").alias("best")))
-        open_ = cut(plain_join(open_, news, ["workspace_id", "earlier"], "left").filter("original is null").drop("original"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    # a node that has an original before it is none itself, whatever else is before it; one that has none but such is an original
+    waiting = cut(nodes.select(*WHO).join(links.filter("settled").select(*WHO).distinct(), WHO, "left_anti"))
+    earlier = lambda rows: rows.select("workspace_id", F.col("id").alias("earlier"))
+    open_ = links.filter("not settled").select(*WHO, "earlier").join(waiting, WHO, "left_semi")
+    open_ = cut(open_.join(earlier(waiting), ["workspace_id", "earlier"], "left_semi"))
+    won: list[DataFrame] = []
+    while not waiting.isEmpty():
+        fresh = cut(waiting.join(open_.select(*WHO).distinct(), WHO, "left_anti"))
+        won.append(fresh)
+        beaten = plain_join(open_, earlier(fresh), ["workspace_id", "earlier"], "left_semi").select(*WHO).distinct()
+        waiting = cut(waiting.join(fresh.unionByName(beaten), WHO, "left_anti"))
+        open_ = plain_join(open_.join(waiting, WHO, "left_semi"), earlier(waiting), ["workspace_id", "earlier"], "left_semi")
+        open_ = cut(open_)
+    originals = won[0] if won else waiting
+    for more in won[1:]:
+        originals = originals.unionByName(more)
+    originals = cut(originals)
+    standing = plain_join(links, earlier(originals).withColumn("original", F.lit(True)), ["workspace_id", "earlier"], "left").filter("settled or original")
+    best = standing.groupBy(*WHO).agg(F.min(link).alias("best"))
+    return nodes.select(*WHO).join(best, WHO, "left")
 
 
 def _outcomes(articles: DataFrame, versions: DataFrame, alone: Column, max_distance: int) -> DataFrame:
@@ -126,8 +125,8 @@ def resolve(articles: DataFrame, max_distance: int = hashing.MAX_DISTANCE) -> Da
     """(workspace_id, id, outcome, duplicate_of, distance) of articles (workspace_id, id, content_hash, simhash) in order of id.
 
     An article is a duplicate of the first *original* with its content hash, else a near duplicate of the closest earlier
-    original (of equally close ones the first), else new. The number of rounds is the longest chain of decisions, not the
-    number of articles; links are those between different texts.
+    original (of equally close ones the first), else new. The rounds follow chains of decisions, not the number of articles;
+    links are those between different texts.
     """
     base = articles.select(*WHO, F.col("id").alias("at"), "content_hash", "simhash")
     versions = base.select(*WHO, "content_hash", "simhash", F.col("at").alias("since"), F.lit(NEVER).alias("until"), F.lit(False).alias("settled"))

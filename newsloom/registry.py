@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import documents, events, pages, relational
+from newsloom.plans import documents, events, pages, relational, store
 
-_ALL = documents.QUERIES | events.QUERIES | pages.QUERIES | relational.QUERIES
+_ALL = documents.QUERIES | events.QUERIES | pages.QUERIES | relational.QUERIES | store.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
