@@ -28,7 +28,9 @@ STOP_WORDS = {
     "nl": "de het een en van in is dat op te zijn voor met niet aan er om",
 }
 _TABLE = {w: [k for k, v in STOP_WORDS.items() if w in v.split()] for v in STOP_WORDS.values() for w in v.split()}
-MIN_CHARS, MAX_CHARS = 50, 5000
+MIN_CHARS = 50
+#: A word that several languages have counts its part of this for each.
+WHOLE = 60
 
 
 def normalize_language(value: Column | str) -> Column:
@@ -40,17 +42,23 @@ def normalize_language(value: Column | str) -> Column:
 
 
 def guess(text: str | None) -> str | None:
-    """The language whose frequent words are most of a text's first characters; None for short texts and no such words."""
+    """The language whose frequent words are most in a text, of equals the first; None for short texts and no such words."""
     if not text or len(text) < MIN_CHARS:
         return None
-    score = dict.fromkeys(STOP_WORDS, 0.0)
-    for w in re.findall(r"\w+", text[:MAX_CHARS].lower()):
+    score = dict.fromkeys(STOP_WORDS, 0)
+    for w in re.findall(r"\w+", text.lower()):
         for k in _TABLE.get(w, ()):
-            score[k] += 1 / len(_TABLE[w])
+            score[k] += WHOLE // len(_TABLE[w])
     best = max(score, key=score.get)
     return best if score[best] else None
 
 
+def frequent_words() -> list[tuple[str, str, int, int]]:
+    """(word, language, what it counts, place of the language) of all frequent words."""
+    order = list(STOP_WORDS)
+    return [(w, k, WHOLE // len(found), order.index(k)) for w, found in sorted(_TABLE.items()) for k in found]
+
+
 @F.pandas_udf(StringType())
 def detect_language(text: pd.Series) -> pd.Series:
     return text.map(guess)

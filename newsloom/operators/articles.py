@@ -189,8 +189,3 @@ def trace(extracted: DataFrame, clip: int = 500, links: int = 100) -> DataFrame:
     prints = F.struct(F.col("_hash").alias("content_hash"), F.col("_simhash").alias("simhash"))
     parts = [shown.alias("candidates"), "signals", "directives", prints.alias("fingerprints"), F.slice("links", 1, links).alias("links"), "feeds", "errors"]
     return printed.select("page_id", F.to_json(F.struct(*parts)).alias("trace"))
-
-
-def first_of(meta: Column, keys: list[str]) -> Column:
-    """The first value of the first of the keys that a map of lists has."""
-    return F.coalesce(*(F.try_element_at(F.try_element_at(meta, F.lit(k)), F.lit(1)) for k in keys))

@@ -355,7 +355,12 @@ SELECT c.ws AS workspace_id, c.id, f.earlier, CAST(bit_count(xor(c.fp, f.fp)) AS
     ),
     "simhash_pairs": (simhash_pairs, None),
     "greedy_dedup": (greedy_dedup, None),
-    "language_guess": (language_guess, None),
+    "language_guess": (
+        language_guess,
+        f"""WITH s(w, k, n, o) AS (VALUES {", ".join(f"('{w}', '{k}', {n}, {o})" for w, k, n, o in languages.frequent_words())}),
+t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM documents WHERE length(text) >= 50), c AS (SELECT doc_id, k, sum(n) * 100 - any_value(o) AS score FROM t JOIN s USING (w) GROUP BY 1, 2)
+SELECT doc_id, g.language FROM documents LEFT JOIN (SELECT doc_id, arg_max(k, score) AS language FROM c GROUP BY 1) g USING (doc_id)""",
+    ),
     "usage_left": (
         usage_left,
         """WITH u AS (SELECT CAST(substr(source, 4) AS BIGINT) AS id, count(*) AS used FROM documents GROUP BY 1), l AS (SELECT *, CASE WHEN id % 2 = 0 THEN 40 ELSE 500 END AS lim FROM u)

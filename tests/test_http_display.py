@@ -3,7 +3,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions import display, http
-from newsloom.operators.articles import first_of
 
 NOW = datetime(2024, 5, 10, 12)
 
@@ -40,8 +39,3 @@ def test_display(spark):
     assert col(spark, [0.123, 1.0], display.percent("v"), "double") == ["12%", "100%"]
     assert col(spark, ["daily_quota", "odd"], display.stop_reason("v")) == ["daily quota", "odd"]
     assert col(spark, [-1, 10], display.signature("v"), "long") == ["f" * 16, "000000000000000a"]
-
-
-def test_first_of(spark):
-    df = spark.createDataFrame([({"b": ["x", "y"], "c": []},), ({},)], "m map<string,array<string>>")
-    assert [r[0] for r in df.select(first_of(F.col("m"), ["a", "c", "b"])).collect()] == ["x", None]
