@@ -4,10 +4,12 @@ Two texts are linked if the sets of their shingles (five words in lower case; a
 similarity of 0.8 or more. Each text has 40 keys, each of six MinHash values: of the pairs at 0.8 exactly, five in a million
 are expected to share no key, of more similar ones fewer.
 
-Pairs that share keys are far more than are needed to tell components, so they are compared in steps, each of which leaves out
-pairs that already are in one component: first each text with the neighbour that it shares most keys with, then the other
-neighbours in the order of a key, then all pairs under keys that still hold several components. A key with over CROWD texts is
-parted by the other keys of its texts first. Sets meet in joins by pairs, so no group is ever gathered in one task.
+Pairs that share keys are far more than are needed to tell components. Under each key texts are put in the order of their next
+two keys, so that those that share more of them stand side by side, and neighbours are compared: a text has two neighbours
+under each of its keys at most, however many share it. First each text meets the neighbour that it has most often, then the
+others that aren't in its component yet. A pair of which either text has others between it and the other under all their common
+keys is not compared itself; it is found if those others link it. Sets meet in joins by pairs, so no group is ever gathered
+in one task.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from newsloom.session import cut, plain_join, stash
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-#: Texts under one key of which all pairs are looked at.
-CROWD = 64
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -61,8 +61,8 @@ def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream (key, id) sorted by both: rows whose key has several ids, with the id before (null for the first). A row is held
-    back until the next one tells whether it is alone."""
+    """Of a stream (key, id) sorted by key: rows whose key has several ids, with the id before (null for the first). A row is held back
+    until the next one tells whether it is alone."""
     key = ids = np.zeros(0, np.int64)
     before = -1  # the id before the held row, under its key
     with_before = False
@@ -85,9 +85,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_keys(marks: DataFrame) -> DataFrame:
-    """(key, id, before) of the keys that several texts share, from marks (id, keys): before is the next smaller id under the key."""
-    rows = marks.select(F.explode("keys").alias("key"), "id")
-    return cut(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, before long"))
+    """(key, id, before) of the keys that several texts share, from marks (id, keys): before is the text next to it under the key, in the
+    order of the two keys that follow."""
+    after = lambda k: F.get("keys", (F.col("band") + k) % BANDS)
+    rows = marks.select("id", "keys", F.posexplode("keys").alias("band", "key")).select("key", after(1).alias("second"), after(2).alias("third"), "id")
+    order = ["key", "second", "third", "id"]
+    return cut(rows.repartition("key").sortWithinPartitions(*order).select("key", "id").mapInArrow(_shared, "key long, id long, before long"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -126,26 +129,11 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return known.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(*pairs.columns)
 
 
-def _crossing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, id, label): pairs (u, v) of different labels under keys with at most CROWD rows, and the rows of other keys that
-    hold several labels."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed and n > 2")
-    open_ = cut(plain_join(rows, sizes.select("key", "n"), ["key"]))
-    few = open_.filter(F.col("n") <= CROWD).select("key", "id", "label")
-    return _pairs(few), open_.filter(F.col("n") > CROWD).select("key", "id", "label")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different labels under one key."""
-    other = rows.select("key", F.col("id").alias("v"), F.col("label").alias("to"))
-    return rows.select("key", F.col("id").alias("u"), "label").join(other, "key").filter("u > v and label != to").select("u", "v").distinct()
-
-
 def near_groups(docs: DataFrame, marks: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, label) of the texts of docs that are similar to others: label is the least id of the component. marks (id, keys) has the
-    keys of each text; compared are candidates (u, v with u > v) and pairs that share keys."""
+    keys of each text; compared are candidates (u, v with u > v) and neighbours under keys."""
     rows = shared_keys(marks)
-    chained = rows.filter("before is not null").groupBy(F.col("id").alias("u"), F.col("before").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    chained = rows.filter("before is not null").groupBy(F.greatest("id", "before").alias("u"), F.least("id", "before").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     tried = cut(chained.unionByName(candidates.distinct().withColumn("n", F.lit(BANDS).cast("long"))).groupBy("u", "v").agg(F.sum("n").alias("n")))
     # texts are needed only of these, each once; copies are dropped before the exchange
     needed = rows.select("id").unionByName(candidates.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
@@ -155,15 +143,4 @@ def near_groups(docs: DataFrame, marks: DataFrame, candidates: DataFrame, shingl
     links = cut(similar(nearest, texts, shingle, similarity))
     rest = _apart(tried.select("u", "v").join(nearest, ["u", "v"], "left_anti"), components(links))
     links = links.unionByName(cut(similar(rest, texts, shingle, similarity)))
-    label = cut(components(links))
-    # what else is under keys of several components
-    labelled = plain_join(rows.select("key", "id"), label.select(F.col("node").alias("id"), "label"), ["id"], "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    pairs, crowded = _crossing(labelled)
-    parted = plain_join(crowded, rows.select(F.col("key").alias("second"), "id"), ["id"]).filter("key != second")
-    # texts that share two keys with very many others: all pairs of different components, dealt out by both ends
-    more, left = _crossing(parted.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "label").distinct())
-    fresh = cut(pairs.unionByName(more).unionByName(_pairs(left)).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
-    if fresh.isEmpty():
-        return label.select(F.col("node").alias("id"), "label")
-    links = links.unionByName(cut(similar(fresh, texts, shingle, similarity)))
     return components(links).select(F.col("node").alias("id"), "label")

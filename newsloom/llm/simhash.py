@@ -241,8 +241,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v)], ["u", "v"])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs within MAX_BITS of the distinct fingerprints fps (fp).
+def links(fps: DataFrame, crowded_too: bool = True) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs within MAX_BITS of the distinct fingerprints fps (fp); without
+    ``crowded_too``, of those under keys with no more than BUCKET fingerprints.
 
     A key with over BUCKET fingerprints is not compared pair by pair: its fingerprints are linked through the words halfway,
     exactly and in proportion to their number, at 2,081 rows each. One task reads the fingerprints of a key, as a stream, of
@@ -255,6 +256,8 @@ def links(fps: DataFrame) -> DataFrame:
         fps.repartition(parts, F.xxhash64("fp")).mapInArrow(_keyed, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
     )
     direct = found.filter("v is not null")
+    if not crowded_too:
+        return direct
     crowded = found.filter("v is null").select(F.col("u").alias("fp"))
     halfway = crowded.mapInArrow(_halfway, shape).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(neighbours, "u long, v long")
     return direct.unionByName(halfway.distinct())
@@ -288,7 +291,8 @@ def near_texts(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: flo
     marks = cut(_marks(docs, shingle))
     # the first text of a fingerprint stands for it
     of_fp = marks.groupBy("fp").agg(F.min("id").alias("least"))
-    near = links(of_fp.select("fp"))
+    # candidates only: texts under crowded keys share MinHash keys as well
+    near = links(of_fp.select("fp"), crowded_too=False)
     end = lambda c, name: of_fp.select(F.col("fp").alias(c), F.col("least").alias(name))
     found = near.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
     same = plain_join(marks.select("id", "fp"), of_fp, ["fp"]).filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
