@@ -116,3 +116,12 @@ def test_near_duplicates(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    changed = [*words[:-3], "other", "last", "words"]
+    docs = spark.createDataFrame([(9, " ".join(words)), (4, " ".join(changed)), (5, "one short text of its own")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {9: 4, 4: 4, 5: 5}
