@@ -11,7 +11,7 @@ from newsloom.functions import dates, display, http, text, urls
 from newsloom.operators import articles, crawl
 from newsloom.session import table, texts
 from newsloom.sources import feeds, robots
-from newsloom.sources.extraction import extract_candidates
+from newsloom.sources.extraction import page_graph
 
 AS_OF = datetime(2024, 6, 1)
 
@@ -167,7 +167,7 @@ def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link graph of the pages."""
-    return extract_candidates(pages(spark, sf_dir), AS_OF).select("page_id", F.posexplode("links").alias("pos", "target"))
+    return page_graph(pages(spark, sf_dir)).select("page_id", F.posexplode("links").alias("pos", "target"))
 
 
 def frontier_top(spark: SparkSession, sf_dir: str) -> DataFrame:

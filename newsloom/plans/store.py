@@ -126,7 +126,7 @@ def page_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _n("id")
     head = _say('<base href="/b/"><link rel="alternate" type="application/rss+xml" href="/feed', i, '.xml"><meta name="newsloom-x" content="noarchive"><meta name="robots" content="none">')
     body = _say('<a href="p', i, '?utm_id=1">a</a><a href="../q#f">b</a><a rel="nofollow" href="/n">c</a><a href="x.pdf">d</a><a href="p', i, '">e</a><a href="mailto:a@b.example">f</a><a href="//o', i, '.example">g</a>')
-    made = extraction.extract_candidates(_made(_suppliers(spark, sf_dir), head, body), AS_OF)
+    made = extraction.page_graph(_made(_suppliers(spark, sf_dir), head, body))
     return made.select("page_id", F.array_join("links", " ").alias("links"), F.array_join("feeds", " ").alias("feeds"), F.array_join("directives", ",").alias("directives"))
 
 
