@@ -7,8 +7,8 @@ are expected to share no key, of more similar ones fewer.
 Pairs that share keys are far more than are needed to tell components. Under each key texts are put in the order of their next
 two keys, so that those that share more of them stand side by side, and neighbours are compared: a text has two neighbours
 under each of its keys at most, however many share it. First each text meets the neighbour that it has most often, then the
-others that aren't in its component yet. A pair of which either text has others between it and the other under all their common
-keys is not compared itself; it is found if those others link it. Sets meet in joins by pairs, so no group is ever gathered
+others that aren't in its component yet, and then texts of other components up to WIDE places off. A pair with more texts
+between under all common keys is not compared itself; it is found if those others link it. Sets meet in joins by pairs, so no group is ever gathered
 in one task.
 """
 
@@ -28,6 +28,8 @@ from newsloom.session import cut, plain_join, stash
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
+#: How far apart texts of different components are still compared under a key; with so many others all pairs are.
+WIDE = 4
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,6 +95,21 @@ def shared_keys(marks: DataFrame) -> DataFrame:
     return cut(rows.repartition("key").sortWithinPartitions(*order).select("key", "id").mapInArrow(_shared, "key long, id long, before long"))
 
 
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a stream (key, id, label) sorted by key: pairs (u, v) of different labels that stand at most WIDE apart under a key."""
+    key = ids = label = np.zeros(0, np.int64)
+    for batch in batches:
+        fresh = len(key)
+        key, ids, label = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in ((key, "key"), (ids, "id"), (label, "label")))
+        for step in range(1, WIDE + 1):
+            at = np.arange(max(fresh - step, 0), max(len(key) - step, 0))
+            at = at[(at + step >= fresh) & (key[at] == key[at + step]) & (label[at] != label[at + step])]
+            if len(at):
+                a, b = ids[at], ids[at + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+        key, ids, label = key[-WIDE:], ids[-WIDE:], label[-WIDE:]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sets (sorted, no repeats); two empty ones are equal."""
     if not len(a) and not len(b):
@@ -143,4 +160,10 @@ def near_groups(docs: DataFrame, marks: DataFrame, candidates: DataFrame, shingl
     links = cut(similar(nearest, texts, shingle, similarity))
     rest = _apart(tried.select("u", "v").join(nearest, ["u", "v"], "left_anti"), components(links))
     links = links.unionByName(cut(similar(rest, texts, shingle, similarity)))
+    label = cut(components(links))
+    # texts that are in different components, near each other under a key
+    labelled = plain_join(rows.select("key", "id"), label.select(F.col("node").alias("id"), "label"), ["id"], "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    crossing = labelled.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crossing, "u long, v long").distinct()
+    fresh = cut(crossing.join(tried.select("u", "v"), ["u", "v"], "left_anti"))
+    links = links.unionByName(cut(similar(fresh, texts, shingle, similarity)))
     return components(links).select(F.col("node").alias("id"), "label")
