@@ -65,4 +65,23 @@ def repetition_rules() -> str:
 FROM (SELECT *, array_to_string(list_filter([{reasons}], lambda x: x IS NOT NULL), ',') AS r FROM m)"""
 
 
-SQL = {"op4_line_dedup": LINE_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_repetition_rules": repetition_rules()}
+def centroid_clustering(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64, scale: int = 1024) -> str:
+    """One set of centroids and one assignment a round; a centroid without vectors stays."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k}))",
+    ]
+    near = "SELECT v.row, min({d} * 16 + j) AS best FROM v CROSS JOIN c{r} c GROUP BY v.row"
+    d = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT row, CAST(best % 16 AS BIGINT) AS j, CAST(best // 16 AS BIGINT) AS d FROM ({near.format(d=d, r=r)}))")
+        if r < rounds:
+            mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT j, list({mean} ORDER BY i) AS x FROM
+ (SELECT a.j, i, CAST(sum(v.x[i]) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{r} a JOIN v USING (row) CROSS JOIN range(1, {dims + 1}) q(i) GROUP BY a.j, i) GROUP BY j) m ON m.j = c.j)""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+ CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON c.j = a.j"""
+
+
+SQL = {"op4_line_dedup": LINE_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_repetition_rules": repetition_rules(), "op11_centroid_clustering": centroid_clustering()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import cotraining, language, lines, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
+from newsloom.llm import clustering, cotraining, language, lines, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
 from newsloom.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +78,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(texts(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_secret_scan, op2_simhash_near_dedup, op3_tiff_media, op4_line_dedup, op5_substring_dedup,
         op6_quality_cotraining, op7_repetition_rules, op8_language_id, op9_sentencepiece, op10_best_fit_packing,
+        op11_centroid_clustering,
     )
     return {f.__name__: f for f in found}
 
