@@ -84,4 +84,22 @@ def centroid_clustering(k: int = 8, rounds: int = 10, seed: int = 3, dims: int =
  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON c.j = a.j"""
 
 
-SQL = {"op4_line_dedup": LINE_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_repetition_rules": repetition_rules(), "op11_centroid_clustering": centroid_clustering()}
+_BREAKS = r"[.,;:!?\x0A-\x0D]"
+COLLOCATIONS = rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT id, lang, unnest(string_split_regex(t, '{_BREAKS}')) AS piece, generate_subscripts(string_split_regex(t, '{_BREAKS}'), 1) AS pos FROM d),
+w AS (SELECT id, lang, pos, unnest(regexp_extract_all(piece, '[^\x20\x09]+')) AS word, generate_subscripts(regexp_extract_all(piece, '[^\x20\x09]+'), 1) AS i FROM p),
+g AS (SELECT lang, word AS x, lead(word, 1) OVER o AS y, lead(word, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY id, pos ORDER BY i)),
+f1 AS (SELECT lang, x, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, x), f2 AS (SELECT lang, x, y, CAST(count(*) AS HUGEINT) AS f FROM g WHERE y IS NOT NULL GROUP BY lang, x, y),
+f3 AS (SELECT lang, x, y, z, CAST(count(*) AS HUGEINT) AS f FROM g WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+shadow AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y AS x, z AS y, f FROM f3) GROUP BY lang, x, y),
+cut AS (SELECT lang, p.x || ' ' || p.y AS phrase, p.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 p JOIN f1 l USING (lang, x) JOIN f1 r ON r.lang = p.lang AND r.x = p.y LEFT JOIN shadow s ON s.lang = p.lang AND s.x = p.x AND s.y = p.y
+  WHERE p.f >= 10 AND coalesce(100 * s.f < 50 * p.f, TRUE)
+ UNION ALL SELECT lang, p.x || ' ' || p.y || ' ' || p.z, p.f, 1, l.f, r.f FROM f3 p JOIN f1 l USING (lang, x) JOIN f2 r ON r.lang = p.lang AND r.x = p.y AND r.y = p.z
+ UNION ALL SELECT lang, p.x || ' ' || p.y || ' ' || p.z, p.f, 2, l.f, r.f FROM f3 p JOIN f2 l USING (lang, x, y) JOIN f1 r ON r.lang = p.lang AND r.x = p.z),
+scored AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM (SELECT *, 1000000 * a * a // (l * r) AS score FROM cut)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE best = 1)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+SQL = {"op4_line_dedup": LINE_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op7_repetition_rules": repetition_rules(), "op11_centroid_clustering": centroid_clustering(), "op12_phrase_collocations": COLLOCATIONS}

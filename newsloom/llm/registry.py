@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import clustering, cotraining, language, lines, mixture, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
+from newsloom.llm import clustering, collocations, cotraining, language, lines, mixture, oracles, packing, quality_rules, secrets, sentencepiece_codec, simhash, substring, tiff
 from newsloom.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(texts(spark, sf_dir, "documents"))
+
+
 def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.pack(texts(spark, sf_dir, "documents"))
 
@@ -90,7 +94,7 @@ def queries() -> dict[str, Query]:
     found = (
         op1_secret_scan, op2_simhash_near_dedup, op3_tiff_media, op4_line_dedup, op5_substring_dedup,
         op6_quality_cotraining, op7_repetition_rules, op8_language_id, op9_sentencepiece, op10_best_fit_packing,
-        op11_centroid_clustering, op13_mixture_packing,
+        op11_centroid_clustering, op12_phrase_collocations, op13_mixture_packing,
     )
     return {f.__name__: f for f in found}
 
