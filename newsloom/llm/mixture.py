@@ -35,7 +35,7 @@ END_ID = 1
 WINDOW = 32 * CAPACITY
 GRAIN = 256
 #: Remembered pieces of text of each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 # The tokenizer's own words, of characters that it lower-cases as Python does and doesn't compose.
 _SURE = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]*")
@@ -64,39 +64,41 @@ class Encoder:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.kind = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.full.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = [i.to_bytes(self.kind.itemsize, "little") for i in range(size)]
         self.letters = _byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one of the tokenizer's own words, in lower case."""
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            text = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
+            text = word.decode() if word.isascii() else "".join(self.letters[b] for b in word)
+            found = self.young[word] = b"".join([self.code[t.id] for t in self.model.tokenize(text)])
         return found
 
     def _fresh(self, chunk: bytes) -> bytes:
+        if chunk.islower() and chunk[:-1].isalpha():
+            # most are a word, or one with a mark behind it
+            last = chunk[-1:]
+            if last.isalpha():
+                return self._word(chunk)
+            if last in b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'":
+                return self._word(chunk[:-1]) + self._word(last)
         text = chunk.decode("utf-8", "replace")
         if "<|" not in text and _SURE.fullmatch(text):
-            return b"".join(map(self._word, _WORDS.findall(text.lower())))
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            return b"".join([self._word(w.encode()) for w in _WORDS.findall(text.lower())])
+        return b"".join([self.code[i] for i in self.full.encode(text, add_special_tokens=False).ids])
 
     def __call__(self, text: bytes) -> bytes:
         """The ids, in ``kind``, one after the other."""
         # special tokens are told by their case
         chunks = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.young.__getitem__, chunks))
-        except KeyError:
-            pass
-        young, old = self.young, self.old
-        for c in chunks:
-            if c not in young:
-                young[c] = old[c] if c in old else self._fresh(c)
+        young = self.young
+        for c in set(chunks).difference(young):
+            young[c] = self.old.get(c) or self._fresh(c)
         out = b"".join(map(young.__getitem__, chunks))
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
