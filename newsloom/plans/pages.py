@@ -226,6 +226,60 @@ def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("title", "via", F.col("url").alias("normal"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
 
 
+#: What may be wrong with an entry, by page_id % 8: how its title is written, and the title that is read.
+_SPOILED = {
+    0: ("<title>T{}</title>", "T{}"),
+    1: ("<title>T{} & co</title>", "T{} & co"),
+    2: ("<title>T{}&nbsp;&unheardof;</title>", "T{}\u00a0&unheardof;"),
+    3: ("<title>T{}", "T{}"),
+    4: ("<title><b>T{}</title></b>", "T{}"),
+    5: ("<title>T{} < 9</title>", "T{} < 9"),
+    6: ("</p><title>T{}</title></title>", "T{}"),
+    7: ("<TITLE lang=en x='y\">T{}</Title >", "T{}"),
+}
+
+
+def _spoiled(way: int, n: Column) -> Column:
+    """One of the two texts of _SPOILED for each n."""
+    out = F.lit(None)
+    for k, texts_ in _SPOILED.items():
+        head, tail = texts_[way].split("{}")
+        out = F.when(n % len(_SPOILED) == k, F.concat(F.lit(head), n.cast("string"), F.lit(tail))).otherwise(out)
+    return out
+
+
+def _hundreds(rows: DataFrame, entry: Column, head: str, tail: str) -> DataFrame:
+    """A document of each hundred pages, entries in the order of their ids: (base_url, content)."""
+    told = F.sort_array(F.collect_list(F.struct("page_id", entry.alias("entry"))))
+    made = rows.groupBy(F.expr("page_id div 100").alias("hundred")).agg(F.array_join(F.transform(told, lambda e: e["entry"]), "").alias("body"))
+    return made.select(F.col("hundred").cast("string").alias("base_url"), F.concat(F.lit(head), "body", F.lit(tail)).cast("binary").alias("content"))
+
+
+def broken_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of a hundred entries, of which seven in eight aren't well-formed: every entry is read, in order."""
+    n = F.col("page_id")
+    end = F.when(n % 3 == 1, F.lit("")).otherwise(F.lit("</item>"))
+    entry = F.concat(F.lit("<item>"), _spoiled(0, n), F.lit("<link>"), _xml(F.col("url")), F.lit("&amp;a=1&copy=2</link>"), end)
+    made = _hundreds(pages(spark, sf_dir), F.when(F.contains("url", F.lit("?")), entry).otherwise(F.replace(entry, F.lit("&amp;a=1&copy=2"), F.lit("?a=1&copy=2"))), '<?xml version="1.0"><rss><channel><title>All & none</title>', "</rss>")
+    found = feeds.discover(made, AS_OF)
+    return found.select(F.col("base_url").cast("long").alias("hundred"), "pos", "title", (F.col("url").rlike("[?&]a=1(&|$)") & F.col("url").rlike("[?&]copy=2(&|$)")).alias("whole_url"))
+
+
+def broken_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of a hundred entries with bare ampersands, missing ends and crossed tags."""
+    n = F.col("page_id")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 90).cast("int")), "yyyy-MM-dd")
+    loc = F.concat(F.lit("https://m.example/"), n.cast("string"), F.lit("?a=1&reg=2"))
+    entry = (
+        F.when(n % 4 == 0, F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")))
+        .when(n % 4 == 1, F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), day))
+        .when(n % 4 == 2, F.concat(F.lit("<url><loc>"), loc, F.lit("<lastmod>"), day, F.lit("</loc></url>")))
+        .otherwise(F.concat(F.lit("</loc><url><wrap><LOC>"), loc, F.lit("</wrap></LOC><lastmod>"), day, F.lit("</lastmod></url></url>")))
+    )
+    found = feeds.discover(_hundreds(pages(spark, sf_dir), entry, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>"), AS_OF)
+    return found.select(F.col("base_url").cast("long").alias("hundred"), "pos", "url", "via", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"))
+
+
 def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in several ways, read back; implausible ones are NULL."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
@@ -323,6 +377,16 @@ m AS (SELECT n, min(d) AS depth FROM r GROUP BY n) SELECT 'https://example.com/p
 SELECT page_id, CASE WHEN o LIKE '%org' THEN true WHEN contains(o, '//m.') THEN false WHEN regexp_matches(t, '^/es/2') THEN true WHEN regexp_matches(t, '^/es/') OR regexp_matches(t, '^/.*/1') THEN false ELSE true END AS allowed FROM p""",
     ),
     "sitemap_rows": (sitemap_rows, f"SELECT page_id, 'sitemap' AS via, normal, strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') AS lastmod FROM {_PLAIN_URL}"),
+    "broken_feeds": (
+        broken_feeds,
+        f"""SELECT page_id // 100 AS hundred, CAST(row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS INTEGER) AS pos, CASE page_id % 8 {" ".join(f"WHEN {k} THEN '{told.split('{}')[0]}' || page_id || '{told.split('{}')[1]}'" for k, (_, told) in _SPOILED.items())} END AS title,
+ true AS whole_url FROM pages""",
+    ),
+    "broken_sitemaps": (
+        broken_sitemaps,
+        """SELECT page_id // 100 AS hundred, CAST(row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS INTEGER) AS pos, 'https://m.example/' || page_id || '?a=1&reg=2' AS url, 'sitemap' AS via,
+ strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') AS lastmod FROM pages""",
+    ),
     "feed_rows": (feed_rows, f"SELECT 'T' || page_id AS title, 'feed' AS via, normal, strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') || ' 08:30' AS published FROM {_PLAIN_URL}"),
     "date_forms": (date_forms, "SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-01-03' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"),
     "stored_sources": (stored_sources, "SELECT page_id % 50 AS article_id, sha256(arg_max(html, page_id)) AS html_sha256 FROM pages GROUP BY 1"),
