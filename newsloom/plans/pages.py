@@ -259,8 +259,10 @@ def broken_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of a hundred entries, of which seven in eight aren't well-formed: every entry is read, in order."""
     n = F.col("page_id")
     end = F.when(n % 3 == 1, F.lit("")).otherwise(F.lit("</item>"))
-    entry = F.concat(F.lit("<item>"), _spoiled(0, n), F.lit("<link>"), _xml(F.col("url")), F.lit("&amp;a=1&copy=2</link>"), end)
-    made = _hundreds(pages(spark, sf_dir), F.when(F.contains("url", F.lit("?")), entry).otherwise(F.replace(entry, F.lit("&amp;a=1&copy=2"), F.lit("?a=1&copy=2"))), '<?xml version="1.0"><rss><channel><title>All & none</title>', "</rss>")
+    page = F.regexp_replace("url", "#.*$", "")
+    mark = F.when(F.contains(page, F.lit("?")), F.lit("&amp;")).otherwise(F.lit("?"))
+    entry = F.concat(F.lit("<item>"), _spoiled(0, n), F.lit("<link>"), _xml(page), mark, F.lit("a=1&copy=2</link>"), end)
+    made = _hundreds(pages(spark, sf_dir), entry, '<?xml version="1.0"><rss><channel><title>All & none</title>', "</rss>")
     found = feeds.discover(made, AS_OF)
     return found.select(F.col("base_url").cast("long").alias("hundred"), "pos", "title", (F.col("url").rlike("[?&]a=1(&|$)") & F.col("url").rlike("[?&]copy=2(&|$)")).alias("whole_url"))
 
