@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import display, hashing, languages, text
 from newsloom.operators import dedup, search, stats
-from newsloom.session import cut, stash, table, texts
+from newsloom.session import cut, shared_dir, stash, streamed, table, texts
+from newsloom.streaming import incremental
 
 #: The documents table as articles: three workspaces, a date for six of seven, the first line as title.
 AS_OF = datetime(2024, 2, 15)
@@ -186,9 +188,9 @@ PRINT = "shiftleft(1L, int({k} % 11)) + shiftleft(1L, 20 + int({k} * 7 % 13)) +
 _PRINT = "((1::BIGINT << ({k} % 11)::INTEGER) + (1::BIGINT << (20 + {k} * 7 % 13)::INTEGER) + (1::BIGINT << (40 + {k} * 3 % 9)::INTEGER))"
 
 
-def customers_as_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers_as_articles(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """Customers in three workspaces, with hashes that some share and fingerprints near each other's; some have none."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_nationkey") % 3).cast("long").alias("workspace_id"))
+    c = (table(spark, sf_dir, "customer") if customers is None else customers).select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_nationkey") % 3).cast("long").alias("workspace_id"))
     content = F.when(F.col("id") % 23 != 0, F.concat(F.lit("h"), (F.col("id") * 13 % 2000).cast("string")))
     return c.select("*", content.alias("content_hash"), F.when(F.col("id") % 19 != 0, F.expr(PRINT.format(k="id"))).alias("simhash"))
 
@@ -213,15 +215,19 @@ def greedy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.resolve(customers_as_articles(spark, sf_dir))
 
 
-def upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of each arrival of customers as articles under half as many URLs, in two batches: revisits update articles, and what an
-    article is now decides on what comes after."""
-    c = customers_as_articles(spark, sf_dir)
+def _arrivals(customers: DataFrame) -> DataFrame:
+    """Customers (customers_as_articles()) as arrivals under half as many URLs."""
     n = F.col("id")
-    rows = c.select(
+    return customers.select(
         "workspace_id", n.alias("arrival"), F.when(n % 31 != 0, F.concat(F.lit("u"), (n * 7 % 701).cast("string"))).alias("canonical_url"), F.concat(F.lit("t"), (n % 2).cast("string")).alias("title"),
         F.lit("").alias("body"), (F.lit(0.5) + n % 5 / 10).alias("confidence"), "content_hash", "simhash",
     )
+
+
+def upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each arrival of customers as articles under half as many URLs, in two batches: revisits update articles, and what an
+    article is now decides on what comes after."""
+    rows = _arrivals(customers_as_articles(spark, sf_dir))
     store = rows.limit(0).select("workspace_id", F.col("arrival").alias("id"), "canonical_url", "title", "body", "confidence", "content_hash", "simhash", F.lit(None).cast("long").alias("duplicate_of"))
     store, first = dedup.upsert(store, rows.filter("arrival % 1000 < 500"))
     # numbers of arrival only order a batch, so the later ones may be any
@@ -229,6 +235,28 @@ def upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).select("workspace_id", "arrival", "outcome", "duplicate_of", "distance")
 
 
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by streams into a stored table with an index of blocks: the customers as a file source, read to its end for each half of
+    them; the outcomes are those that the store keeps."""
+    source = streamed(spark, sf_dir, "customer")
+    rows = _arrivals(customers_as_articles(spark, sf_dir, source))
+    store = incremental.ArticleStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    batches = 0
+    for half in ("arrival % 1000 < 500", "arrival % 1000 >= 500"):
+        seen: list[int] = []
+
+        def apply(part: DataFrame, n: int, first: int = batches, seen: list[int] = seen) -> None:
+            store.apply(part, first + n)
+            seen.append(first + n)
+
+        rows.filter(half).writeStream.foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
+        batches = max(seen, default=batches - 1) + 1
+    out = spark.createDataFrame([], incremental.OUTCOME)
+    for batch in range(batches):
+        out = out.unionByName(store.outcomes(batch))
+    return out.select("workspace_id", "arrival", "outcome", "duplicate_of", "distance")
+
+
 _DISTANCE = "bit_count(xor(x.fp, a.fp))"
 _GREEDY = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ({_CUSTOMERS})),
 r AS (SELECT 0::BIGINT AS n, CAST([] AS STRUCT(id BIGINT, ws BIGINT, h VARCHAR, fp BIGINT)[]) AS o, NULL::BIGINT AS ws, NULL::BIGINT AS id, NULL::BIGINT AS best UNION ALL
@@ -337,6 +365,7 @@ SELECT c.ws AS workspace_id, c.id, f.earlier, CAST(bit_count(xor(c.fp, f.fp)) AS
     ),
     "greedy_outcomes": (greedy_outcomes, _GREEDY),
     "upsert_outcomes": (upsert_outcomes, _UPSERT),
+    "store_stream": (store_stream, _UPSERT),
     "term_frequencies": (
         term_frequencies,
         f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS places FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",

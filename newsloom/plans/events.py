@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators import stats
-from newsloom.session import table
+from newsloom.session import streamed, table
 from newsloom.streaming import windows
 
 AS_OF = datetime(2024, 1, 30, 12)
@@ -141,9 +141,7 @@ def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """daily_usage by a stream: the events table as a file source, read to its end, complete counts in memory."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/event[s].parquet")
+    rows = streamed(spark, sf_dir, "events")
     pages = rows.select((F.col("user_id") % 5).alias("workspace_id"), F.col("ts").cast("timestamp").alias("ts"), F.from_json("props", "k int")["k"].alias("pages"))
     name = "usage_stream"
     stream = windows.daily_usage(pages).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
@@ -151,11 +149,6 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("workspace_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "pages")
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 _DAY = "SELECT workspace_id, strftime(created_at, '%Y-%m-%d') AS day, CAST(sum(fetched) AS BIGINT) AS pages FROM ({}) GROUP BY 1, 2".format(_JOBS)
 
 QUERIES = {

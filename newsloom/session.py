@@ -42,6 +42,16 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's Parquet tables, a file or a folder, as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    # a file source takes a single file by a pattern only
+    source = path if folder else f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(source)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder set by setCheckpointDir, or,
     for a local master only, a temporary one; on a cluster that is an error, as its machines have no folder in common then."""

@@ -1,7 +1,8 @@
+import random
 from datetime import datetime, timedelta
 
 from newsloom.operators.dedup import upsert
-from newsloom.streaming import incremental, windows
+from newsloom.streaming import incremental, runs, windows
 
 T0 = datetime(2024, 5, 1)
 
@@ -35,17 +36,61 @@ KIND = "workspace_id long, arrival long, canonical_url string, title string, bod
 
 def test_incremental_store_equals_one_load(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(80))
-    rows = [(1 + i % 2, i, f"u{i % 11}", f"t{i % 3}", f"{long} {i % 4}", 0.9) for i in range(24)]
-    store = incremental.ArticleStore(spark, str(tmp_path / "store"), buckets=4)
-    for batch, part in enumerate((rows[:5], rows[5:6], [], rows[6:])):
+    rows = [(1 + i % 2, i, None if i == 20 else f"u{i % 11}", f"t{i % 3}", f"{long} {i % 4}", 0.9) for i in range(24)]
+    store = incremental.ArticleStore(spark, str(tmp_path / "store"), bucket_rows=3, fan=2)
+    parts = (rows[:5], [], rows[5:12], rows[12:])
+    for batch, part in enumerate(parts):
         store.apply(spark.createDataFrame(part, KIND), batch)
-    store.apply(spark.createDataFrame(rows[6:], KIND), 3)  # run again after a failure
+    store.apply(spark.createDataFrame(parts[-1], KIND), len(parts) - 1)  # run again after a failure
     key = lambda r: (r.id, r.workspace_id, r.canonical_url, r.title, r.body, r.duplicate_of)
-    want, _ = upsert(spark.createDataFrame([], incremental.STORE), spark.createDataFrame(rows, KIND))
+    want, said = upsert(spark.createDataFrame([], incremental.STORE), spark.createDataFrame(rows, KIND))
     assert sorted(map(key, store.snapshot(4).collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    got = [r for batch in range(4) for r in store.outcomes(batch).collect()]
+    assert sorted((r.arrival, r.outcome, r.duplicate_of) for r in got) == sorted((r.arrival, r.outcome, r.duplicate_of) for r in said.collect())
     assert store.snapshot(1).count() == 5 and store.snapshot(0).count() == 0
-    # a batch of one URL rewrites its bucket only
-    assert len(list((tmp_path / "store" / "rows" / "v=000000000001").glob("bucket=*"))) == 1
+    # an index of the originals' present texts, no others
+    present = incremental.index_keys(want.filter("duplicate_of is null")).select("workspace_id", "band", "value", "id")
+    assert sorted(map(tuple, store.index.rows(4).select("workspace_id", "band", "value", "id").collect())) == sorted(map(tuple, present.collect()))
+    assert store.vacuum(4) > 0 and store.vacuum(4) == 0
+    assert sorted(map(key, store.snapshot(4).collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
+RUNS = "k long, id long, v string, live boolean"
+
+
+def test_runs_against_a_dict(spark, tmp_path):
+    rng = random.Random(4)
+    table = runs.RunTable(spark, str(tmp_path / "t"), RUNS, ["k"], ["k", "id"], bucket_rows=5, fan=3)
+    want: dict[tuple[int, int], str] = {}
+    states = []
+    for batch in range(11):
+        fresh = {(rng.randrange(40), rng.randrange(3)): (f"b{batch}", rng.random() < 0.7) for _ in range(rng.choice([0, 1, 12]))}
+        table.add(spark.createDataFrame([(*k, *v) for k, v in fresh.items()], RUNS), batch)
+        for k, (v, live) in fresh.items():
+            want.pop(k, None)
+            if live:
+                want[k] = v
+        states.append(dict(want))
+    for before in (11, 4):
+        assert {(r.k, r.id): r.v for r in table.rows(before).collect()} == states[before - 1]
+    some = spark.createDataFrame([(k,) for k in range(0, 60, 7)], "k long")
+    assert {(r.k, r.id): r.v for r in table.lookup(some, 11).collect()} == {k: v for k, v in want.items() if k[0] % 7 == 0}
+    assert max(r.level for r in table.held(11)[0]) >= 1
+    assert len([r for r in table.held(11)[0] if r.level == 0]) < 3
+    table.vacuum(11)
+    assert {(r.k, r.id): r.v for r in table.rows(11).collect()} == want and table.held(4) == ([], 0)
+
+
+def test_a_lookup_reads_its_buckets_only(spark, tmp_path):
+    read = {}
+    for size in (400, 6400):
+        table = runs.RunTable(spark, str(tmp_path / str(size)), RUNS, ["k"], ["k", "id"], bucket_rows=50)
+        table.add(spark.range(size).selectExpr("id k", "0L id", "string(id) v", "true live"), 0)
+        asked = table.lookup(spark.createDataFrame([(5,), (77,), (123,)], "k long"), 1)
+        assert {r.v for r in asked.collect()} == {"5", "77", "123"}
+        read[size] = (len(asked.inputFiles()), spark.read.parquet(*asked.inputFiles()).count())
+    # sixteen times the table, and the same share is read
+    assert read[6400][0] <= 3 and read[6400][1] <= 3 * 50 * 2 and read[6400][1] <= 2 * read[400][1]
 
 
 def test_for_each_batch(spark, tmp_path):
