@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from newsloom.functions import display, hashing, languages, text
 from newsloom.operators import dedup, search, stats
 from newsloom.session import cut, shared_dir, stash, streamed, table, texts
 from newsloom.streaming import incremental
+from newsloom.streaming.search_index import SearchIndex
 
 #: The documents table as articles: three workspaces, a date for six of seven, the first line as title.
 AS_OF = datetime(2024, 2, 15)
@@ -118,11 +120,36 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).filter(search.matches(toks, '"of the" and')).select("id")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the documents table, in the shared folder: made at the first call, and anew where the table's files have changed."""
+    files = []
+    for path in table(spark, sf_dir, "documents").inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        files.append((path, status.getLen(), status.getModificationTime()))
+    index = SearchIndex(spark, f"{shared_dir(spark)}/search-{hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]}")
+    if not index.table.held(1)[0]:
+        index.update(articles(spark, sf_dir), None, 0)
+    return index
+
+
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best twenty for a query, by cover density, from stored postings."""
-    rows = articles(spark, sf_dir)
-    index = stash(search.postings(rows))
-    page = search.search(rows, search.SearchQuery(q="the of", include_duplicates=True, sort="relevance", limit=20), index=index)
+    """The best twenty for a query, by cover density, from stored postings of its words."""
+    query = search.SearchQuery(q="the of", include_duplicates=True, sort="relevance", limit=20)
+    page = stored_index(spark, sf_dir).search(articles(spark, sf_dir), query, 1)
+    return page.items.select("id", F.round("rank", 6).alias("rank"))
+
+
+def search_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that two batches have changed: some articles came later, some have other bodies, some are gone."""
+    rows, n = articles(spark, sf_dir), F.col("id") % 4
+    index = SearchIndex(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
+    index.update(rows.filter(n != 3), None, 0)
+    other = rows.withColumn("body", F.when(n == 1, F.concat(F.lit("the "), "title", F.lit(" of"))).otherwise(F.col("body")))
+    index.update(other.filter(n.isin(1, 3)), rows.filter(n == 1), 1)
+    index.update(rows.limit(0), rows.filter("id % 8 = 0"), 2)
+    query = search.SearchQuery(q="the of", include_duplicates=True, sort="relevance", limit=20)
+    page = index.search(other.filter("id % 8 != 0"), query, 3)
     return page.items.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -296,6 +323,10 @@ def usage_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 _TOKENS_OF = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+_RANKED = f"""WITH a AS (SELECT * FROM these), t AS (SELECT id, {_TOKENS_OF.format("title")} AS tt, {_TOKENS_OF.format("body")} AS tb FROM a), w AS (SELECT id, len(tt) AS k, list_concat(tt, tb) AS ws FROM t),
+p AS (SELECT id, i, ws[i] AS term, CASE WHEN i <= k THEN 1.0 ELSE 0.2 END AS weight FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN ('the', 'of')),
+c AS (SELECT *, lag(i) OVER o AS pi, lag(term) OVER o AS pt, lag(weight) OVER o AS pw FROM p WINDOW o AS (PARTITION BY id ORDER BY i))
+SELECT id, round(sum(2 / (1 / weight + 1 / pw) / (i - pi)), 6) AS rank FROM c WHERE term <> pt GROUP BY id ORDER BY sum(2 / (1 / weight + 1 / pw) / (i - pi)) DESC, (SELECT published_at FROM a WHERE a.id = c.id) DESC NULLS LAST, id DESC LIMIT 20"""
 
 QUERIES = {
     "content_hash_docs": (content_hash_docs, f"SELECT doc_id, content_hash FROM ({_HASHES})"),
@@ -338,12 +369,10 @@ QUERIES = {
         search_phrase,
         f"SELECT doc_id AS id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'and') AND contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')",
     ),
-    "search_ranked": (
-        search_ranked,
-        f"""WITH a AS ({_ARTICLES}), t AS (SELECT id, {_TOKENS_OF.format("title")} AS tt, {_TOKENS_OF.format("body")} AS tb FROM a), w AS (SELECT id, len(tt) AS k, list_concat(tt, tb) AS ws FROM t),
-p AS (SELECT id, i, ws[i] AS term, CASE WHEN i <= k THEN 1.0 ELSE 0.2 END AS weight FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN ('the', 'of')),
-c AS (SELECT *, lag(i) OVER o AS pi, lag(term) OVER o AS pt, lag(weight) OVER o AS pw FROM p WINDOW o AS (PARTITION BY id ORDER BY i))
-SELECT id, round(sum(2 / (1 / weight + 1 / pw) / (i - pi)), 6) AS rank FROM c WHERE term <> pt GROUP BY id ORDER BY sum(2 / (1 / weight + 1 / pw) / (i - pi)) DESC, (SELECT published_at FROM a WHERE a.id = c.id) DESC NULLS LAST, id DESC LIMIT 20""",
+    "search_ranked": (search_ranked, _RANKED.replace("these", f"({_ARTICLES})")),
+    "search_updated": (
+        search_updated,
+        _RANKED.replace("these", f"(SELECT id, title, CASE WHEN id % 4 = 1 THEN 'the ' || title || ' of' ELSE body END AS body, published_at FROM ({_ARTICLES}) WHERE id % 8 <> 0)"),
     ),
     "search_created_order": (
         search_created_order,
