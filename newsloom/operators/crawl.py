@@ -42,6 +42,41 @@ def sitemap_order(children: DataFrame, limit: int = 25) -> DataFrame:
     return children.orderBy((~news).cast("int"), F.col("lastmod").desc_nulls_last(), "url").limit(limit)
 
 
+def sitemap_walk(roots: DataFrame, children: DataFrame, sizes: DataFrame, max_pages: int, limit: int = 25) -> DataFrame:
+    """(run, map, visit) of the sitemaps that each run reads, in order.
+
+    roots (run, map, pos) are the maps a run begins with, children (run, parent, map, lastmod, pos) those that an index names (only the
+    ones that are wanted), sizes (run, map, urls) how many URLs a map gives. The walk is depth-first: after an index come
+    its children, news first, then the newest, undated last, in the index's order where these are equal; a map is read at its
+    first place only. A run ends after ``limit`` maps, or before the next one once it has three times max_pages URLs, 100 at least.
+
+    A map's place is the path of ranks that leads to it; paths in order are the walk. Each step adds the children of the maps
+    that the last one placed, and keeps ``limit`` places of a run, so a run's tables stay that small however large its sitemaps are.
+    """
+    news = F.contains(F.lower("map"), F.lit("news"))
+    order = Window.partitionBy("run", "parent").orderBy((~news).cast("int"), F.col("lastmod").desc_nulls_last(), "pos")
+    # of equal names under one index the first counts, and no run reads more than the limit of one index's
+    once = children.groupBy("run", "parent", "map").agg(F.min(F.struct("pos", "lastmod")).alias("x")).select("run", "parent", "map", "x.*")
+    ranked = cut(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("run", "parent", "map", "rank"))
+    first = Window.partitionBy("run").orderBy("path")
+
+    def places(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("run", "map").agg(F.min("path").alias("path"))
+        return cut(best.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n"))
+
+    placed = places(roots.select("run", "map", F.array(F.col("pos").cast("int")).alias("path")))
+    fresh = placed
+    while not fresh.isEmpty():
+        found = fresh.withColumnRenamed("map", "parent").join(ranked, ["run", "parent"]).select("run", "map", F.array_append("path", F.col("rank").cast("int")).alias("path"))
+        after = places(placed.unionByName(found))
+        fresh = after.join(placed, ["run", "map", "path"], "left_anti")
+        placed = after
+    before = first.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.coalesce("urls", F.lit(0))).over(before), F.lit(0))
+    walked = placed.join(sizes.select("run", "map", "urls"), ["run", "map"], "left").withColumn("visit", F.row_number().over(first)).withColumn("_seen", seen)
+    return walked.filter(F.col("_seen") < max(3 * max_pages, 100)).select("run", "map", F.col("visit").cast("long").alias("visit"))
+
+
 def newest(urls: DataFrame, max_pages: int) -> DataFrame:
     """The newest URLs of sitemaps, three times as many as pages may be fetched, 100 at least."""
     date = F.coalesce("published_at", "lastmod", F.lit("1970-01-01").cast("timestamp"))
@@ -79,20 +114,23 @@ CHECK_EVERY, LAST_ERRORS = 20, 20
 def crawl_stats(visits: DataFrame) -> DataFrame:
     """The counters of each run over its visits (run, seq, host, seed, result, article, error, rendered, llm_calls, discovered): article
     is what an article came to in the store, error a message. Errors are the last 20; hosts_unreachable are those whose visits
-    were skipped after failures (column dead). A run has a bounded number of visits, so its lists are short."""
+    were skipped after failures (column dead)."""
     is_ = lambda *kinds: F.coalesce(F.col("result").isin(*kinds), F.lit(False))
     count = lambda test, name: F.count_if(test).alias(name)
     kind = lambda *names: F.coalesce(F.col("article").isin(*names), F.lit(False))
-    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seq", F.concat_ws(": ", "url", "error").alias("text")))))
-    return visits.groupBy("run").agg(
+    latest = F.row_number().over(Window.partitionBy("run").orderBy(F.col("seq").desc()))
+    last = visits.filter("error is not null").withColumn("_n", latest).filter(F.col("_n") <= LAST_ERRORS)
+    errors = last.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(": ", "url", "error").alias("text")))).alias("_errors"))
+    counted = visits.groupBy("run").agg(
         count(is_(*ANSWERED) & ~F.col("seed"), "pages_fetched"), count(is_(*ANSWERED) & F.col("seed"), "seed_fetches"), count(is_(*ANSWERED, NETWORK_ERROR), "fetches"),
         F.coalesce(F.sum("llm_calls"), F.lit(0)).alias("llm_calls"), count(is_(HTTP_ERROR, NETWORK_ERROR), "pages_failed"), count(is_(SKIPPED), "pages_skipped"),
         count(is_(NOT_MODIFIED), "not_modified"), count(is_(ROBOTS), "robots_blocked"), count(F.coalesce(F.col("rendered"), F.lit(False)), "rendered"),
         count(F.col("article").isNotNull(), "articles_found"), count(kind("new"), "articles_new"), count(kind("updated"), "articles_updated"),
         count(kind("duplicate", "near_duplicate"), "duplicates"), F.coalesce(F.sum("discovered"), F.lit(0)).alias("discovered"),
         F.array_sort(F.collect_set(F.when(F.col("dead"), F.col("host")))).alias("hosts_unreachable"),
-        F.transform(F.slice(errors, -F.least(F.size(errors), F.lit(LAST_ERRORS)), LAST_ERRORS), lambda e: e["text"]).alias("errors"),
     )
+    told = F.coalesce(F.transform("_errors", lambda e: e["text"]), F.array().cast("array<string>"))
+    return counted.join(errors, "run", "left").withColumn("errors", told).drop("_errors")
 
 
 def stopped(visits: DataFrame, max_pages: int, pages_left: int | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ def url_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_normalized_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the complete normaliser, with a query and a path that need it."""
-    spoiled = F.concat(F.upper(F.substring("url", 1, 8)), F.substring("url", 9, 2000))
+    spoiled = F.concat(F.upper(F.substring("url", 1, 8)), F.expr("substring(url, 9)"))
     return pages(spark, sf_dir).select("page_id", urls.normalize_url(spoiled).alias("normal"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import display, http, text, urls
@@ -206,6 +206,17 @@ def sitemap_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.sitemap_order(rows).select("url", F.date_format("lastmod", "yyyy-MM-dd").alias("day"))
 
 
+def sitemap_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sitemaps forty runs read, of trees in which each index names three others; every fifth map is also named by the first."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40).alias("run"), F.expr("o_orderkey div 40").alias("k"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    name = lambda k: F.concat(F.when(k % 7 == 3, F.lit("news")).otherwise(F.lit("map")), k.cast("string"))
+    maps = o.select("run", "k", "id", name(F.col("k")).alias("map"), F.when(F.col("id") % 11 != 0, F.date_trunc("month", "ts")).alias("lastmod"))
+    parents = F.array_compact(F.array(F.expr("(k - 1) div 3"), F.when(F.col("k") % 5 == 0, F.lit(0).cast("long"))))
+    children = maps.filter("k > 0").select("run", "map", "lastmod", F.col("k").alias("pos"), F.explode(F.array_distinct(parents)).alias("parent")).withColumn("parent", name(F.col("parent")))
+    walked = crawl.sitemap_walk(maps.filter("k = 0").select("run", "map", F.lit(0).alias("pos")), children, maps.select("run", "map", (F.col("id") % 13).alias("urls")), 30)
+    return walked.select(F.col("run").cast("long").alias("run"), "map", "visit")
+
+
 def newest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest URLs of sitemaps, undated ones last."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
@@ -244,7 +255,7 @@ def member_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of one workspace in order, with their places, and what they may do."""
     one = stats.member_list(stats.visible(_members(spark, sf_dir), 7))
     # one workspace's members are few
-    places = one.agg(F.collect_list(F.struct("role", "email")).alias("m")).select(F.posexplode("m").alias("place", "m")).select("place", "m.role", "m.email")
+    places = one.select((F.row_number().over(Window.orderBy(F.col("role").desc(), "email")) - 1).alias("place"), "role", "email")
     return places.withColumns({f"may_{r}": stats.may(F.col("role"), r) for r in stats.ROLES})
 
 
@@ -330,6 +341,17 @@ SELECT k.user_id AS page, k.n AS fetch_count, coalesce(f.n, 0) AS failure_count,
         sitemap_children,
         f"SELECT url, strftime(m, '%Y-%m-%d') AS day FROM (SELECT 'https://s.example/' || CASE WHEN id % 97 = 0 THEN 'News' ELSE 'map' END || id AS url, CASE WHEN id % 11 <> 0 THEN ts END AS m FROM {_ORDERS}) ORDER BY CASE WHEN contains(url, 'News') THEN 0 ELSE 1 END, m DESC NULLS LAST, url LIMIT 25",
     ),
+    "sitemap_walk": (
+        sitemap_walk,
+        """WITH RECURSIVE m AS (SELECT o_orderkey % 40 AS run, o_orderkey // 40 AS k, CASE WHEN (o_orderkey // 40) % 7 = 3 THEN 'news' ELSE 'map' END || (o_orderkey // 40) AS map, o_orderkey % 13 AS urls,
+ CASE WHEN o_orderkey % 11 <> 0 THEN date_trunc('month', o_orderdate::TIMESTAMP) END AS lastmod FROM orders),
+e AS (SELECT run, k, parent, row_number() OVER (PARTITION BY run, parent ORDER BY CASE WHEN contains(map, 'news') THEN 0 ELSE 1 END, lastmod DESC NULLS LAST, k) AS rank FROM
+ (SELECT m.*, (k - 1) // 3 AS parent FROM m WHERE k > 0 UNION ALL SELECT m.*, 0 AS parent FROM m WHERE k > 3 AND k % 5 = 0)),
+w AS (SELECT run, k, [0::BIGINT] AS path FROM m WHERE k = 0 UNION ALL SELECT e.run, e.k, list_append(w.path, e.rank) FROM w JOIN e ON e.run = w.run AND e.parent = w.k),
+f AS (SELECT run, k, min(path) AS path FROM w GROUP BY run, k),
+v AS (SELECT run, map, row_number() OVER o AS visit, coalesce(sum(urls) OVER (PARTITION BY run ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f JOIN m USING (run, k) WINDOW o AS (PARTITION BY run ORDER BY path))
+SELECT CAST(run AS BIGINT) AS run, map, visit FROM v WHERE visit <= 25 AND before < 100""",
+    ),
     "newest_urls": (newest_urls, f"SELECT 'u' || id AS url FROM {_ORDERS} ORDER BY CASE WHEN id % 2 = 0 THEN ts WHEN id % 3 = 0 THEN ts + INTERVAL 30 DAY ELSE TIMESTAMP '1970-01-01' END DESC, 'u' || id LIMIT 180"),
     "waits": (waits, f"SELECT id, CASE id % 5 WHEN 0 THEN CASE WHEN id % 150 <= 120 THEN (id % 150)::DOUBLE END WHEN 1 THEN (60 + id % 60)::DOUBLE WHEN 3 THEN 0.0::DOUBLE END AS wait FROM {_SUPPLIERS}"),
     "workspace_totals": (
