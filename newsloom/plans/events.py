@@ -45,6 +45,14 @@ def pipeline_last_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.last_24h(jobs(spark, sf_dir), AS_OF, ["fetched"])
 
 
+def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven counters of the last day; two of them stand in a job's JSON, which not every job has."""
+    k, n = F.col("fetched"), F.col("id")
+    told = F.when(n % 5 != 0, F.to_json(F.struct((k * 3).alias("discovered"), F.when(n % 2 == 0, k % 4).alias("robots_blocked"))))
+    rows = jobs(spark, sf_dir).withColumns({"articles": k % 7, "new": F.when(n % 3 != 0, k % 5), "duplicates": k % 3, "failed": F.when(F.col("status") == "failed", 1), "said": F.from_json(told, "discovered long, robots_blocked long")})
+    return stats.last_24h(rows.select("*", "said.*"), AS_OF, ["discovered", "fetched", "articles", "new", "duplicates", "failed", "robots_blocked"])
+
+
 def jobs_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("jobs"))
 
@@ -158,6 +166,11 @@ QUERIES = {
 LEFT JOIN (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) c ON CAST(c.day AS DATE) = CAST(d.day AS DATE)""",
     ),
     "pipeline_last_24h": (pipeline_last_24h, f"SELECT CAST(coalesce(sum(fetched), 0) AS BIGINT) AS fetched FROM ({_JOBS}) WHERE created_at >= TIMESTAMP '2024-01-29 12:00:00'"),
+    "pipeline_counters": (
+        pipeline_counters,
+        f"""SELECT {", ".join(f"CAST(coalesce(sum({v}), 0) AS BIGINT) AS {c}" for c, v in {"discovered": "CASE WHEN id % 5 <> 0 THEN fetched * 3 END", "fetched": "fetched", "articles": "fetched % 7", "new": "CASE WHEN id % 3 <> 0 THEN fetched % 5 END",
+ "duplicates": "fetched % 3", "failed": "CASE WHEN status = 'failed' THEN 1 END", "robots_blocked": "CASE WHEN id % 5 <> 0 AND id % 2 = 0 THEN fetched % 4 END"}.items())} FROM ({_JOBS}) WHERE created_at >= TIMESTAMP '2024-01-29 12:00:00'""",
+    ),
     "jobs_by_status": (jobs_by_status, f"SELECT status, count(*) AS jobs FROM ({_JOBS}) GROUP BY status"),
     "latest_status": (latest_status, f"SELECT source_id, arg_max(status, id) AS status FROM (SELECT * FROM ({_JOBS}) ORDER BY id DESC LIMIT 500) GROUP BY source_id"),
     "source_overview": (
