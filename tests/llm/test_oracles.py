@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 
 def compare(spark, folder, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet{'/*.parquet' if os.path.isdir(f'{folder}/documents.parquet') else ''}')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{t}.parquet') else ''}')")
     found = con.execute(oracles.SQL[name])
     names = [d[0] for d in found.description]
     df = registry.queries()[name](spark, folder)
@@ -30,6 +31,9 @@ def small(spark, tmp_path_factory):
     rows += [(80, None), (81, ""), (82, "\n"), (83, "x " * 3000)]
     folder = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [rng.gauss(i % 4, 1) / 8 for _ in range(64)], 0) for i in range(120)]
+    vectors += [(120, None, 0), (121, [], 0), (122, vectors[0][1][:63], 0), (123, [None, *vectors[0][1][1:]], 0), (124, [float("nan"), *vectors[0][1][1:]], 0), (125, vectors[7][1], 1), (8, vectors[9][1], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -45,8 +49,9 @@ def test_smallest_tables(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_every_query_gives_a_row_for_each_document(spark, name):
-    documents = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"op12_phrase_collocations"}))
+def test_every_query_gives_a_row_for_each_row_of_its_table(spark, name):
+    table, key = ("embeddings", "vec_id") if name.startswith("op11") else ("documents", "doc_id")
+    ids = {r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
     out = registry.queries()[name](spark, SF)
-    assert {r.doc_id for r in out.select("doc_id").collect()} == documents
+    assert {r[key] for r in out.select(key).collect()} == ids
