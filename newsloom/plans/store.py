@@ -67,9 +67,11 @@ def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def public_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which addresses are public: of both versions, embedded, reserved and malformed ones."""
     n = F.col("id")
-    last = _n(n % 200 + 1)
-    forms = [_say("8.8.4.", last), _say("10.1.2.", last), _say("192.168.0.", last), _say("100.64.0.", last), _say("100.128.0.", last), _say("::ffff:127.0.0.", last), _say("::ffff:9.9.9.", last), _say("2606:4700::", F.hex(n)), _say("fd00::", F.hex(n)), _say("999.1.1.", last)]
-    ip = forms[0]
+    # parts of addresses stay in their range for ids of any size
+    last, group = _n(F.pmod(n, F.lit(200)) + 1), F.hex(F.pmod(n, F.lit(1 << 16)))
+    forms = [_say("8.8.4.", last), _say("10.1.2.", last), _say("192.168.0.", last), _say("100.64.0.", last), _say("100.128.0.", last), _say("::ffff:127.0.0.", last), _say("::ffff:9.9.9.", last), _say("2606:4700::", group), _say("fd00::", group), _say("999.1.1.", last)]
+    # ids below zero have no form but the first: a private one
+    ip = forms[1]
     for k, form in enumerate(forms):
         ip = F.when(n % 10 == k, form).otherwise(ip)
     return _customers(spark, sf_dir).select("id", urls.is_public_ip(ip).alias("public"))
