@@ -291,18 +291,18 @@ def near_texts(docs: DataFrame, shingle: int = shingles.SHINGLE, similarity: flo
     marks = cut(_marks(docs, shingle))
     # the first text of a fingerprint stands for it
     of_fp = marks.groupBy("fp").agg(F.min("id").alias("least"))
-    # candidates only: texts under crowded keys share MinHash keys as well
+    # candidates only, which come first: similar texts under crowded keys share MinHash keys as well, and all pairs under those count
     near = links(of_fp.select("fp"), crowded_too=False)
     end = lambda c, name: of_fp.select(F.col("fp").alias(c), F.col("least").alias(name))
     found = near.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
     same = plain_join(marks.select("id", "fp"), of_fp, ["fp"]).filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     pairs = cut(found.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    return shingles.near_groups(docs, marks.select("id", "keys"), pairs, shingle, similarity)
+    return shingles.near_groups(docs, marks.select("id", "keys", "sketch"), pairs, shingle, similarity)
 
 
 def _marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, keys) of each different text of docs (text): its shingles.text_id(), fingerprint and MinHash keys. Copies are dropped
-    before they are read, within a partition, and then between partitions."""
+    """(id, fp, keys, sketch) of each different text of docs (text): its shingles.text_id(), fingerprint, MinHash keys and
+    shingles.sketch(). Copies are dropped before they are read, within a partition, and then between partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # ids of one partition
@@ -313,13 +313,14 @@ def _marks(docs: DataFrame, shingle: int) -> DataFrame:
                 if some:
                     once = [texts[i] for i in some]
                     fp = np.array([fingerprint(t, shingle) for t in once], _U)
-                    keys = shingles.band_keys(shingles.shingle_hashes(once, shingle))
+                    hashes = shingles.shingle_hashes(once, shingle)
+                    keys = shingles.band_keys(hashes)
                     flat = pa.array(np.ascontiguousarray(keys).ravel().view(np.int64))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * shingles.BANDS), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(fp.view(np.int64)), lists], ["id", "fp", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array(fp.view(np.int64)), lists, pa.array([shingles.sketch(h) for h in hashes], pa.binary())], ["id", "fp", "keys", "sketch"])
 
     read = docs.select(shingles.text_id().alias("id"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(run, "id long, fp long, keys array<long>").groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    return read.mapInArrow(run, "id long, fp long, keys array<long>, sketch binary").groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
 
 
 def _row_id(docs: DataFrame) -> Column:

@@ -104,3 +104,32 @@ def test_one_row_for_each_component(spark):
     five = [t for i, t in got if i == 5]
     assert len(five) == 1 and five[0] in (d, d + " more")
     assert sorted((x for x in got if x[0] != 5), key=str) == sorted([(None, a), (7, b), (None, c), (8, "x y z"), (3, "p q r")], key=str)
+
+
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_far_apart_under_a_crowded_key(spark, monkeypatch, cell):
+    monkeypatch.setattr(shingles, "CELL", cell)
+    crowd = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    pairs = [(" ".join(f"p{i}x{k}" for k in range(99)), " ".join([*(f"p{i}x{k}" for k in range(97)), "end"])) for i in range(6)]
+    texts = [*crowd, *(t for p in pairs for t in p)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select("text", shingles.text_id().alias("id"))
+    of = {r.text: r.id for r in docs.collect()}
+    order = sorted(of.values())
+    assert any(abs(order.index(of[a]) - order.index(of[b])) > shingles.WIDE for a, b in pairs)
+    # one key that all share, and others of their own
+    own = {t: [7, *(1000 * i + k + 10 for k in range(shingles.BANDS - 1))] for i, t in enumerate(texts)}
+    marks = [(of[t], own[t], bytearray(shingles.sketch(shingles.shingle_hashes([t.encode()])[0]))) for t in texts]
+    none = spark.createDataFrame([], "u long, v long")
+    got = shingles.near_groups(docs, spark.createDataFrame(marks, "id long, keys array<long>, sketch binary"), none)
+    want = {of[t]: min(of[a], of[b]) for a, b in pairs for t in (a, b)}
+    assert {r.id: r.label for r in got.collect()} == want
+
+
+def test_sketches_rule_out_no_similar_pair():
+    texts = [t.encode() for t in corpus()]
+    hashes = shingles.shingle_hashes(texts)
+    raw = [np.frombuffer(shingles.sketch(h), np.uint64) for h in hashes]
+    for a, x in zip(raw, hashes, strict=True):
+        assert a[0] == len(set(x.tolist()))
+        for b, y in zip(raw, hashes, strict=True):
+            assert int(np.bitwise_count(a[1:] ^ b[1:]).sum()) <= len(set(x.tolist()) ^ set(y.tolist()))
