@@ -24,18 +24,29 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges of a task, about, where there are few.
+TASK_EDGES = 50_000
+
+
+def _few(rows: DataFrame, edges: int) -> DataFrame:
+    """rows in as many partitions as so many edges need, if that is fewer than an exchange makes: each task of a round leaves files,
+    and a round of few edges would leave little but files."""
+    parts = max(2, -(-edges // TASK_EDGES))
+    return rows.coalesce(parts) if parts < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """Link the neighbours of each node to the least node among them and itself. Minima are aggregated before they meet the
     edges again, and they meet in a join with plain exchanges on both sides, so that adaptive execution can split a node with
-    very many edges."""
+    very many edges. n: about so many edges there are."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = plain_join(both, least, ["u"])
+    least = _few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n)
+    met = _few(plain_join(both, least, ["u"]), n)
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").distinct()
+    return _few(out.filter("u != v").distinct(), n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before or after["n"] == 0:
             break
         before = after
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(_few(now, after["n"]), True, after["n"]), False, after["n"]))
     # at the fixpoint every edge goes from a node to the least of its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from newsloom.llm import simhash
+from newsloom.llm import components as module
 from newsloom.llm.components import components
 
 
@@ -125,3 +126,24 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(9, " ".join(words)), (4, " ".join(changed)), (5, "one short text of its own")], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == {9: 4, 4: 4, 5: 5}
+
+
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    parts, real = [], module.cut
+
+    def counted(df):
+        out = real(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "cut", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r.node: r.label for r in module.components(spark.createDataFrame([(i + 1, i) for i in range(50)], "u long, v long")).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(51), 0)
+    assert max(parts[1:]) == 2
