@@ -89,3 +89,22 @@ def test_fuzzy_date(spark):
 def test_parse_loose(value, want):
     got = dates.parse_loose(value, AS_OF)
     assert (got and got.minute) == want
+
+
+def test_few_texts_are_python_objects_at_a_time():
+    import pyarrow as pa
+
+    live, most = [0], [0]
+
+    class Held(str):
+        def __del__(self):
+            live[0] -= 1
+
+    def one(t):
+        live[0] += 1
+        most[0] = max(most[0], live[0])
+        return Held(t + "!")
+
+    got = text.in_parts(pa.array(["a", None, "b"] * 500), one, pa.string())
+    assert got.to_pylist() == ["a!", None, "b!"] * 500 and text.in_parts(pa.array([], pa.string()), one, pa.string()).to_pylist() == []
+    assert most[0] <= 2 * text.PART_ROWS
