@@ -102,3 +102,10 @@ def test_filters_reach_the_scan(spark, articles, tmp_path):
     plan = s.apply_filters(spark.read.parquet(str(tmp_path / "a")), s.SearchQuery(workspace_id=1, language="en")).select("id")._jdf.queryExecution().toString()
     assert "EqualTo(workspace_id,1)" in plan and "EqualTo(language,en)" in plan and "body" not in plan.split("ReadSchema")[-1]
     assert F.lit(1) is not None
+
+
+def test_postings_take_no_exchange(spark):
+    articles = spark.createDataFrame([(1, "A b", None, "x a X b")], "id long, title string, description string, body string")
+    found = s.postings(articles)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.term, r.field, r.positions) for r in found.collect()) == [("a", "body", [3]), ("a", "title", [0]), ("b", "body", [5]), ("b", "title", [1]), ("x", "body", [2, 4])]
