@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,13 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259,
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-CLEAR, END, FIRST_FREE, MAX_CODES = 256, 257, 258, 4096
+CLEAR, END, FIRST_FREE, LAST_FREE, MAX_CODES = 256, 257, 258, 4095, 4096
+#: Width of each code after a clear (widths change one code early) and where it ends, until the table is full, and from then on;
+#: places, in 16 bits a code, of the bits that are stored.
+CODE_WIDTHS = np.array([min(12, code.bit_length()) for code in range(FIRST_FREE, MAX_CODES + 1)])
+FULL_WIDTHS = np.full(len(CODE_WIDTHS), 12)
+CODE_ENDS, FULL_ENDS = np.cumsum(CODE_WIDTHS), np.cumsum(FULL_WIDTHS)
+CODE_BITS = np.flatnonzero(np.arange(16) >= 16 - CODE_WIDTHS[:, None])
 
 #: Bytes that a byte of a strip can stand for at most.
 EXPANSION = {NONE: 1, PACKBITS: 64, LZW: MAX_CODES, ADOBE_DEFLATE: 1032, OLD_DEFLATE: 1032}
@@ -76,80 +83,116 @@ def packbits_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes, widths, width = [CLEAR], [9], 9
-    table: dict[int, int] = {}  # code of a string and the byte after it
-    free, prefix = FIRST_FREE, -1
-    for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
-        longer = table.get(prefix << 8 | byte)
-        if longer is not None:
-            prefix = longer
-            continue
-        codes.append(prefix)
-        widths.append(width)
-        table[prefix << 8 | byte] = free
-        free += 1
-        # widths change one code early
-        if free == MAX_CODES - 1:
-            codes.append(CLEAR)
-            widths.append(width)
-            table, free, width = {}, FIRST_FREE, 9
-        elif free + 1 > 1 << width:
-            width += 1
-        prefix = byte
-    if prefix >= 0:
-        codes.append(prefix)
-        widths.append(width)
-        free += 1
-        if free + 1 > 1 << width and width < 12:
-            width += 1
-    codes.append(END)
-    widths.append(width)
-    size = np.array(widths)
-    # each code's bits, the highest first
-    shift = np.repeat(np.cumsum(size), size) - 1 - np.arange(size.sum())
-    return np.packbits(np.repeat(np.array(codes), size) >> shift & 1).tobytes()
+    bits = [np.unpackbits(np.array([CLEAR], ">u2").view(np.uint8))[-9:]]
+    prefix, at = data[0] if data else -1, 1
+    codes: list[int] = []
+    while not codes or codes[-1] == CLEAR:
+        codes, free = [], FIRST_FREE
+        table: dict[int, int] = {}  # code of a string and the byte after it
+        add = codes.append
+        # a byte makes at most one entry, so a part of this length can't overfill the table
+        while part := data[at : at + LAST_FREE - free]:
+            at += len(part)
+            for byte in part:
+                longer = prefix << 8 | byte
+                if longer in table:
+                    prefix = table[longer]
+                else:
+                    add(prefix)
+                    table[longer] = free
+                    free += 1
+                    prefix = byte
+        if free == LAST_FREE:
+            add(CLEAR)
+        else:
+            codes += [prefix, END] if prefix >= 0 else [END]
+        halves = np.frombuffer(array("H", codes), np.uint16).astype(">u2").view(np.uint8)
+        bits.append(np.unpackbits(halves)[CODE_BITS[: CODE_ENDS[len(codes) - 1]]])
+    return np.packbits(np.concatenate(bits)).tobytes()
+
+
+def _string_sizes(codes: np.ndarray) -> np.ndarray:
+    """Bytes that each code after a clear stands for: one more than the code whose output its entry begins with."""
+    strings = np.flatnonzero(codes >= FIRST_FREE)
+    up, size = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    up[strings] = codes[strings] - FIRST_FREE
+    size[strings] = 1
+    while (more := size[up]).any():
+        size += more
+        up = up[up]
+    return size + 1
+
+
+def _strings(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of codes after a clear: entry i is what code i stands for and the byte after it, as they lie in the output."""
+    begin = np.cumsum(size) - size
+    if size.sum() > 64 * len(codes):
+        # long strings are copied one by one
+        out, starts = bytearray(), begin.tolist()
+        for code, n in zip(codes.tolist(), size.tolist(), strict=True):
+            if code < FIRST_FREE:
+                out.append(code)
+            else:
+                at = starts[code - FIRST_FREE]
+                word = out[at : at + n]
+                out += word if len(word) == n else word + word[:1]
+        return np.frombuffer(out, np.uint8)
+    strings = np.flatnonzero(codes >= FIRST_FREE)
+    back = np.zeros(len(codes), np.int64)
+    back[strings] = begin[codes[strings] - FIRST_FREE] - begin[strings]
+    # where each byte comes from, until it is a literal's
+    source = np.arange(size.sum()) + np.repeat(back, size)
+    while not np.array_equal(further := source[source], source):
+        source = further
+    literal = np.zeros(len(source), np.uint8)
+    literal[begin] = codes
+    return literal[source]
 
 
 def lzw_decode(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
-    """At least the first ``most`` bytes; not many more."""
-    start = [bytes((b,)) for b in range(256)] + [b"", b""]
-    table = list(start)
+    """At least the first ``most`` bytes; not many more. The codes after a clear are decoded together, as their widths depend on
+    their number alone; a table that is full stays for the codes that follow it."""
     out: list[bytes] = []
-    acc = bits = at = 0
-    width, word = 9, None
-    made = 0
+    made = bit = 0
+    table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # bytes, start and size of each code's string
     while made < most:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            acc = (acc & (1 << bits) - 1) << 8 | data[at]
-            at += 1
-            bits += 8
-        bits -= width
-        code = acc >> bits & (1 << width) - 1
-        if code == END:
-            return b"".join(out)
-        if code == CLEAR:
-            table, width, word = list(start), 9, None
-            continue
-        if word is None:
-            entry = table[code]  # IndexError: no such code yet
+        widths, ends = (CODE_WIDTHS, CODE_ENDS) if table is None else (FULL_WIDTHS, FULL_ENDS)
+        n = min(int(np.searchsorted(ends, len(data) * 8 - bit, "right")), most - made)
+        if not n:
+            break
+        raw = np.frombuffer(data[bit // 8 : (bit + int(ends[n - 1])) // 8 + 1] + b"\0\0", np.uint8).astype(np.int32)
+        first = ends[:n] - widths[:n] + bit % 8
+        at, low = first >> 3, 24 - (first & 7) - widths[:n]
+        codes = (raw[at] << 16 | raw[at + 1] << 8 | raw[at + 2]) >> low & (1 << widths[:n]) - 1
+        stops = np.flatnonzero(codes >> 1 == CLEAR >> 1)
+        stop = int(codes[stops[0]]) if len(stops) else -1
+        bit += int(ends[stops[0] if len(stops) else n - 1])
+        codes = codes[: stops[0]] if len(stops) else codes
+        # an entry is made with the code after the one that it begins with
+        wrong = np.flatnonzero(codes - FIRST_FREE >= np.arange(len(codes))) if table is None else ()
+        codes = codes[: wrong[0]] if len(wrong) else codes
+        size = _string_sizes(codes) if table is None else table[2][codes]
+        need = int(np.searchsorted(np.cumsum(size), most - made)) + 1
+        codes, size = codes[:need], size[:need]
+        if table is None:
+            text = _strings(codes, size)
         else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = word + word[:1]
-            else:
-                raise ValueError("LZW code out of range")
-            table.append(word + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(entry)
-        made += len(entry)
-        word = entry
+            text = table[0][np.arange(size.sum()) + np.repeat(table[1][codes] - np.cumsum(size) + size, size)]
+        out.append(text.tobytes())
+        made += len(text)
+        if made < most and len(wrong):
+            raise ValueError("LZW code out of range")
+        if stop == END or stop < 0 and n < len(ends):
+            break
+        if stop == CLEAR:
+            table = None
+        elif table is None and made < most:
+            ones, begin = np.arange(FIRST_FREE), np.cumsum(size) - size
+            table = (
+                np.concatenate([ones.astype(np.uint8), text]),
+                np.concatenate([ones, begin[:-1] + FIRST_FREE]),
+                np.concatenate([np.ones(FIRST_FREE, np.int64), size[:-1] + 1]),
+            )
     return b"".join(out)
 
 
@@ -322,9 +365,7 @@ def average_hash(pixels: bytes, line: int) -> int:
     a = np.frombuffer(pixels, np.uint8)[: len(pixels) // line * line].reshape(-1, line)
     if not a.size:
         return 0
-    rows = np.linspace(0, a.shape[0], 9).astype(int)[:-1]
-    columns = np.linspace(0, line, 9).astype(int)[:-1]
-    rows, columns = np.minimum(rows, a.shape[0] - 1), np.minimum(columns, line - 1)
+    rows, columns = np.arange(8) * a.shape[0] // 8, np.arange(8) * line // 8
     sums = np.add.reduceat(np.add.reduceat(a, rows, axis=0, dtype=np.int64), columns, axis=1)
     high = np.maximum(np.diff(np.append(rows, a.shape[0])), 1)[:, None] * np.maximum(np.diff(np.append(columns, line)), 1)[None, :]
     cells = sums / high

@@ -1,4 +1,5 @@
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -31,6 +32,71 @@ def test_lzw_known_stream():
     assert tiff.lzw_decode(raw) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
 
+def lines_run(f, *args):
+    """How many lines of Python f runs: its work apart from numpy's, whatever the machine."""
+    n, before = 0, sys.gettrace()
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        f(*args)
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_lzw_work_a_byte():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(500)]
+    text = b" ".join(words[i] for i in rng.integers(0, 500, 6000))
+    page = np.frombuffer(text[: len(text) // 192 * 192], np.uint8).reshape(-1, 64, 3)
+    data = tiff._predict(page).tobytes()
+    coded = tiff.lzw_encode(data)
+    assert lines_run(tiff.lzw_encode, data) < 7 * len(data)
+    assert lines_run(tiff.lzw_decode, coded) < len(data) / 20
+
+
+def lzw_stream(codes):
+    """Codes as bits, with the widths of a table that grows with each code but the first."""
+    out, known = [], 257
+    for code in codes:
+        out.append(f"{code:0{min(12, max(9, (known + 1).bit_length()))}b}")
+        known = 257 if code == tiff.CLEAR else known + 1
+    bits = "".join(out)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("n", [10, 3837, 3838, 3839, 3840, 3841, 7678, 12000])
+@pytest.mark.parametrize("longest", [False, True])
+def test_lzw_table_that_stays_full(n, longest):
+    rng = np.random.default_rng(n)
+    codes, strings, want = [], [bytes((b,)) for b in range(256)] + [b"", b""], []
+    for i in range(n):
+        top = min(4095, 257 + i)
+        code = 97 if i < 2 else top if longest else int(rng.choice([rng.integers(97, 123), rng.integers(258, top + 1)]))
+        if i and len(strings) < 4096:
+            strings.append(want[-1] + (strings[code] if code < len(strings) else want[-1])[:1])
+        codes.append(code)
+        want.append(strings[code])
+    whole = b"".join(want)
+    for end in ([], [tiff.END], [tiff.CLEAR, 98, 99, 258, tiff.END, 65]):
+        assert tiff.lzw_decode(lzw_stream(codes + end)) == whole + (b"bcbc" if len(end) > 1 else b"")
+    most = len(whole) // 2
+    assert tiff.lzw_decode(lzw_stream(codes), most)[:most] == whole[:most]
+
+
+def test_lzw_codes_that_do_not_exist_yet():
+    for codes in ([258], [65, 259], [65, 66, 300, 67]):
+        with pytest.raises((ValueError, IndexError)):
+            tiff.lzw_decode(lzw_stream(codes))
+    # what was asked for comes before it
+    assert tiff.lzw_decode(lzw_stream([65, 66, 300, 67]), 2) == b"AB"
+
+
 @pytest.mark.parametrize("compression", COMPRESSIONS)
 @pytest.mark.parametrize("tile", [None, (16, 16), (32, 48)])
 @pytest.mark.parametrize(("order", "big", "planar"), [("<", False, 1), (">", False, 2), ("<", True, 1), (">", True, 1)])
